@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,53 +77,45 @@ class _Cells:
             *[(F.sum(n * (F.col(f"__m_{p}") - fitted[p])) / F.sum(n)).alias(f"__f_{p}") for p in self.vars]
         )
 
-    def solve(self, tol: float, max_iter: int, rounds_per_job: int = 4) -> dict[int, DataFrame]:
+    def solve(self, tol: float, max_iter: int) -> dict[int, DataFrame]:
         """Levels of every effect at convergence.
 
-        A few rounds are chained into one job; its result is written, and the
-        largest change of a level relative to the spread of its variable decides
-        whether to go on.
+        Each projection is one job: the cells meet the written (and so
+        size-known) level tables and are summed map-side. The largest change of
+        a level, relative to the spread of its variable, decides when to stop:
+        once all but one key have come out unchanged, the last one would too.
         """
         q = len(self.fe)
         if q == 1:
             return {0: cut_lineage(self.project(0, {}))}
         n = F.col("__n")
         # Spread per variable, to make the stopping rule free of units.
-        spread = self.cells.groupBy(*self.by).agg(
-            *[
-                F.sqrt((F.sum(F.col(f"__w_{p}_{p}")) + F.var_pop(F.col(f"__m_{p}")) * F.sum(n)) / F.sum(n)).alias(f"__s_{p}")
-                for p in self.vars
-            ]
+        spread = cut_lineage(
+            self.cells.groupBy(*self.by).agg(
+                *[
+                    F.sqrt((F.sum(F.col(f"__w_{p}_{p}")) + F.var_pop(F.col(f"__m_{p}")) * F.sum(n)) / F.sum(n)).alias(f"__s_{p}")
+                    for p in self.vars
+                ]
+            )
         )
         levels: dict[int, DataFrame] = {}
-        last, done = q - 1, 0
-        while done < max_iter:
-            chain = rounds_per_job if q == 2 else 1
-            for step in range(chain):
-                before = levels.get(last)
-                for i in range(q):
-                    levels[i] = self.project(i, levels)
-                    if q > 2 and i < last:
-                        levels[i] = cut_lineage(levels[i])
-                done += 1
-            current = levels[last]
-            if before is None:
-                levels[last] = cut_lineage(current)
-                continue
-            old = {f"__f_{p}": f"__o_{p}" for p in self.vars}
-            change = F.greatest(*[F.abs(F.col(f"__f_{p}") - F.col(f"__o_{p}")) / F.greatest(F.col(f"__s_{p}"), F.lit(1e-300)) for p in self.vars])
-            pair = lookup(current, before, self.level_keys(last), old, how="inner")
-            kept = cut_lineage(attach(pair, spread, self.by).withColumn("__change", change).select(*current.columns, "__change"))
-            levels[last] = kept.drop("__change")
-            worst = kept.agg(F.max("__change")).first()[0]
-            if worst is None or worst <= tol:
-                break
-        else:
-            raise RuntimeError(f"effects did not settle in {max_iter} rounds")
-        # Only the last level table is written for two effects; the first follows from it.
-        if q == 2:
-            levels[0] = cut_lineage(self.project(0, {1: levels[1]}))
-        return levels
+        calm = 0
+        for _ in range(max_iter):
+            for i in range(q):
+                new = self.project(i, levels)
+                if i not in levels:
+                    levels[i] = cut_lineage(new)
+                    continue
+                paired = attach(lookup(new, levels[i], self.level_keys(i), {f"__f_{p}": f"__o_{p}" for p in self.vars}, how="inner"), spread, self.by)
+                change = [F.abs(F.col(f"__f_{p}") - F.col(f"__o_{p}")) / F.greatest(F.col(f"__s_{p}"), F.lit(1e-300)) for p in self.vars]
+                seen = Observation()
+                watched = paired.withColumn("__change", F.greatest(*change)).observe(seen, F.max("__change").alias("worst"))
+                levels[i] = cut_lineage(watched.select(*new.columns))
+                worst = seen.get["worst"]
+                calm = calm + 1 if worst is None or worst <= tol else 0
+                if calm >= q - 1:
+                    return levels
+        raise RuntimeError(f"effects did not settle in {max_iter} rounds")
 
 
 def feols(
@@ -165,19 +157,22 @@ def feols(
         *[f"__w_{p}_{q}" for p, q in prob.pairs],
     )
     k = prob.k
-
-    def within(p: str, q: str) -> Column:
-        return F.sum(F.col(f"__w_{p}_{q}") + n * F.col(f"__r_{p}") * F.col(f"__r_{q}"))
-
     names = {v: i for i, v in enumerate(prob.vars[1:])}
-    total = F.sum("__w_y_y") + F.sum(n * F.col("__m_y") * F.col("__m_y")) - F.sum(n * F.col("__m_y")) * F.sum(n * F.col("__m_y")) / F.sum(n)
-    moments = cells.groupBy(*prob.by).agg(
-        F.sum(n).alias("__n"),
-        total.alias("__tss"),
-        within("y", "y").alias("__yy"),
-        *[within(p, q).alias(f"__a{names[p]}_{names[q]}") for p, q in prob.pairs if p != "y"],
-        *[within("y", q).alias(f"__b{names[q]}") for p, q in prob.pairs if p == "y" and q != "y"],
-    )
+
+    def cross(p: str, q: str) -> tuple[Column, str]:
+        """Sum of within products of two variables, and its column name."""
+        name = "__yy" if q == "y" else (f"__b{names[q]}" if p == "y" else f"__a{names[p]}_{names[q]}")
+        return F.sum(F.col(f"__w_{p}_{q}") + n * F.col(f"__r_{p}") * F.col(f"__r_{q}")), name
+
+    products = [cross(p, q) for p, q in prob.pairs]
+    sandwiches = cluster + ([tuple(dict.fromkeys(cluster[0] + cluster[1]))] if len(cluster) == 2 else [])
+    # Cross-products per cluster hold all that the scores need, so the cells are summed before slopes are known.
+    m_y = F.col("__m_y")
+    total = F.sum("__w_y_y") + F.sum(n * m_y * m_y) - F.sum(n * m_y) * F.sum(n * m_y) / F.sum(n)
+    moments = cells.groupBy(*prob.by).agg(F.sum(n).alias("__n"), total.alias("__tss"), *[c.alias(name) for c, name in products])
+    per_cluster = [
+        cells.groupBy(*dict.fromkeys([*by, *key])).agg(*[c.alias(name) for c, name in products if name != "__yy"]) for key in sandwiches
+    ]
     for i, table in levels.items():
         moments = attach(moments, table.groupBy(*prob.by).agg(F.count(F.lit(1)).alias(f"__g{i}")), prob.by)
 
@@ -196,32 +191,22 @@ def feols(
             if len(pdf):
                 yield pdf.assign(__beta=list(fit(pdf)[0]))
 
-    fitted_moments = moments.mapInPandas(with_beta, fit_schema)
+    fitted_moments = cut_lineage(moments.mapInPandas(with_beta, fit_schema))
     final = fitted_moments.drop("__beta")
-    sandwiches = clusters + ([tuple(dict.fromkeys(clusters[0] + clusters[1]))] if len(clusters) == 2 else [])
-    if clusters:
-        scored = attach(cells, fitted_moments.select(*by, "__beta"), by)
-        beta = [F.col("__beta")[i] for i in range(k)]
-
-        def score(i: int) -> Column:
-            """Sum over the cell's rows of within-x times residual."""
-            xi = f"x{i}"
-            w = F.col(f"__w_y_{xi}")
-            e = F.col("__r_y")
+    for c, table in enumerate(per_cluster):
+        table = attach(table, fitted_moments.select(*by, "__beta"), by)
+        scores = []
+        for i in range(k):
+            s = F.col(f"__b{i}")
             for j in range(k):
-                lo, hi = sorted((i, j))
-                w = w - beta[j] * F.col(f"__w_x{lo}_x{hi}")
-                e = e - beta[j] * F.col(f"__r_x{j}")
-            return w + n * F.col(f"__r_{xi}") * e
-
-        scored = scored.select(*prob.keys, *[score(i).alias(f"__s{i}") for i in range(k)])
-        for c, key in enumerate(sandwiches):
-            per = scored.groupBy(*dict.fromkeys([*by, *key])).agg(*[F.sum(f"__s{i}").alias(f"__s{i}") for i in range(k)])
-            meat = per.groupBy(*by).agg(
-                F.count(F.lit(1)).alias(f"__c{c}"),
-                *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__v{c}_{i}_{j}") for i in range(k) for j in range(i, k)],
-            )
-            final = attach(final, meat, by)
+                s = s - F.col("__beta")[j] * F.col(f"__a{min(i, j)}_{max(i, j)}")
+            scores.append(s)
+        scored = table.select(*by, *[s.alias(f"__s{i}") for i, s in enumerate(scores)])
+        meat = scored.groupBy(*by).agg(
+            F.count(F.lit(1)).alias(f"__c{c}"),
+            *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__v{c}_{i}_{j}") for i in range(k) for j in range(i, k)],
+        )
+        final = attach(final, meat, by)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -189,18 +189,22 @@ class Panel:
 
     def __init__(self, panel: DataFrame, unit: str, time: str, y: str, d: str, x: Sequence[str] = (), by: Sequence[str] = ()):
         self.unit, self.time, self.by, self.k = unit, time, list(by), len(x)
-        self.grid = sorted(r[0] for r in panel.select(time).distinct().limit(MAX_PERIODS + 1).collect())
+        g = F.to_json(F.struct(*by)) if by else F.lit("")
+        values = [F.col(c).cast("double") for c in (y, *x)]
+        # One entry per period of the unit; a repeated period is an error.
+        entry = F.struct(F.col(time).alias("key"), F.array(*values).alias("value"))
+        series = cut_lineage(
+            panel.withColumn("__g", g)
+            .groupBy("__g", *by, unit)
+            .agg(F.min(F.when(F.col(d) > 0, F.col(time))).alias("__onset"), F.map_from_entries(F.collect_list(entry)).alias("__s"))
+        )
+        times = series.select(F.explode(F.map_keys("__s")).alias("t")).distinct().limit(MAX_PERIODS + 1).collect()
+        self.grid = sorted(r[0] for r in times)
         if len(self.grid) > MAX_PERIODS:
             raise ValueError(f"more than {MAX_PERIODS} periods")
-        g = F.to_json(F.struct(*by)) if by else F.lit("")
-        at = lambda c: F.array(*[F.max(F.when(F.col(time) == t, F.col(c).cast("double"))) for t in self.grid])
-        rows = panel.withColumn("__g", g)
-        self.units = cut_lineage(
-            rows.groupBy("__g", *by, unit).agg(
-                F.min(F.when(F.col(d) > 0, F.col(time))).alias("__onset"),
-                at(y).alias("__y"),
-                *[at(c).alias(f"__x{i}") for i, c in enumerate(x)],
-            )
+        at = lambda i: F.array(*[F.try_element_at("__s", F.lit(t).cast(panel.schema[time].dataType))[i] for t in self.grid])
+        self.units = series.select(
+            "__g", *by, unit, "__onset", at(0).alias("__y"), *[at(1 + i).alias(f"__x{i}") for i in range(self.k)]
         )
         known = F.lit(True)
         for c in ["__y", *[f"__x{i}" for i in range(self.k)]]:

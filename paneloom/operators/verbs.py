@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,11 +199,12 @@ def order_statistics(
     """Values at exact 1-based ranks within each key, for groups of any size.
 
     Every rank is an expression of ``n`` (the group's count of known values)
-    close to ``share * n``. Two passes: a mergeable quantile sketch brackets
-    the ranks, then only the values inside the bracket (about 8/accuracy of the
-    group) are counted per distinct value and accumulated. No group is sorted
-    whole, and the result is exact. ``extra`` aggregates of the value ride along
-    on the first pass. Returns keys, n, the extras and one column per rank.
+    close to ``share * n``. A mergeable quantile sketch brackets the ranks;
+    values inside the bracket are counted per distinct value, the bracket is cut
+    in slices, and only the slice that holds a rank is put in order. No group
+    and no bracket is sorted whole, and the result is exact. ``extra``
+    aggregates of the value ride along on the first pass. Returns keys, n, the
+    extras and one column per rank.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     slack = 4.0 / accuracy
@@ -228,16 +230,26 @@ def order_statistics(
     inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
     counted = (
         marked.where(F.col("__v") <= F.col("__hi"))
-        .groupBy(*keys, *wanted, inside.alias("__v"))
+        .groupBy(*keys, *wanted, "__lo", "__hi", inside.alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumn("__cum", F.sum("__c").over(w))
-
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col("__cum") >= F.col(rank)) & (F.col("__cum") - F.col("__c") < F.col(rank)), F.col("__v")))
-
-    found = upto.groupBy(*keys).agg(*[at(r).alias(name) for name, r in zip(ranks, wanted)])
+    # Slices of equal width; NULL (everything below the bracket) comes first.
+    slices = 4096
+    depth = F.floor(ratio(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * slices)
+    counted = counted.withColumn("__slice", F.when(F.col("__v").isNull(), -1).otherwise(F.coalesce(depth, F.lit(0))))
+
+    def spans(ordered: DataFrame, part: Sequence[str], by: Column, start: Column) -> DataFrame:
+        """Ranks covered by each row: above __under, up to __cum."""
+        w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return ordered.withColumn("__cum", start + F.sum("__c").over(w)).withColumn("__under", F.col("__cum") - F.col("__c"))
+
+    holds = lambda r: (F.col("__cum") >= F.col(r)) & (F.col("__under") < F.col(r))
+    any_rank = reduce(lambda a, b: a | b, [holds(r) for r in wanted])
+    per_slice = counted.groupBy(*keys, "__slice", *wanted).agg(F.sum("__c").alias("__c"))
+    hit = spans(per_slice, keys, F.col("__slice"), F.lit(0)).where(any_rank).select(*keys, "__slice", F.col("__under").alias("__base"))
+    inner = lookup(counted, hit, [*keys, "__slice"], ["__base"], null_safe=True, how="inner")
+    upto = spans(inner, [*keys, "__slice"], F.col("__v"), F.col("__base"))
+    found = upto.groupBy(*keys).agg(*[F.max(F.when(holds(r), F.col("__v"))).alias(name) for name, r in zip(ranks, wanted)])
     out = attach(sketch.drop("__q", "__min", "__max"), found, keys)
     missed = F.raise_error(F.lit("a rank fell outside its bracket")).cast("double")
     return out.withColumns({name: F.coalesce(F.col(name), missed) for name in ranks})

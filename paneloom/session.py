@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,37 +25,39 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables and checkpoints.
+    """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
     (tests, single-machine runs) is a local temporary folder chosen.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="paneloom-ckpt-")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="paneloom-")
+    return _own_dirs[app]
+
+
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """A fresh path under the shared folder for a table that is written and read back."""
+    return os.path.join(work_dir(spark), f"{stem}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there.
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Iterative operators call this so that a lost executor costs one read of the
-    written files, not a re-run of all earlier rounds.
+    written files, not a re-run of all earlier rounds. A written table also has
+    a known size: small level and coefficient tables are then broadcast by
+    Spark's own size rule, and tables beyond it are joined by shuffle.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def new_folder(spark: SparkSession, stem: str) -> str:
-    """A fresh path under the shared folder for a table that is written and read back."""
-    import uuid
-
-    return os.path.join(work_dir(spark), f"{stem}-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
