@@ -219,8 +219,13 @@ class Panel:
     def periods(self) -> int:
         return len(self.grid)
 
-    def moments(self, models: dict[tuple[str, int], Factors] | None, ranks: Sequence[int]) -> dict[tuple[str, int], Moments]:
-        """Moments of the (filled) controls per group and rank: one pass, merged on the executors."""
+    def moments(
+        self, models: dict[tuple[str, int], Factors] | None, ranks: Sequence[int]
+    ) -> dict[tuple[str, int], Moments]:
+        """Moments of the (filled) controls per group and rank: one pass, merged on the executors.
+
+        With ``models`` only their groups and ranks are computed.
+        """
         k = self.k
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,6 +234,8 @@ class Panel:
                 for g, part in pdf.groupby("__g"):
                     z = _stack(part, k)
                     for r in ranks:
+                        if models is not None and (g, r) not in models:
+                            continue
                         filled = _fill(z, None if models is None else models[(g, r)])
                         m = block_moments(filled.reshape(len(part), -1))
                         found[(g, r)] = m if (g, r) not in found else found[(g, r)].merge(m)
@@ -251,16 +258,16 @@ class Panel:
             moments = {(g, r): m for (g, _), m in shared.items() for r in ranks}
             return moments, {key: solve_factors(m, self.periods, key[1], force) for key, m in moments.items()}
         moments = self.moments(None, ranks)
+        pending = set(moments)
         for _ in range(max_rounds):
-            models = {key: solve_factors(m, self.periods, key[1], force) for key, m in moments.items()}
-            new = self.moments(models, ranks)
-            moved = max(
-                np.max(np.abs(new[key].scatter - m.scatter)) / max(np.max(np.abs(m.scatter)), 1e-300)
-                + np.max(np.abs(new[key].mean - m.mean)) / max(np.max(np.abs(m.mean)), 1e-300)
-                for key, m in moments.items()
-            )
-            moments = new
-            if moved < tol:
+            models = {key: solve_factors(moments[key], self.periods, key[1], force) for key in pending}
+            for key, new in self.moments(models, ranks).items():
+                old = moments[key]
+                moved = [np.max(np.abs(u - v)) / max(np.max(np.abs(v)), 1e-300) for u, v in ((new.scatter, old.scatter), (new.mean, old.mean))]
+                moments[key] = new
+                if sum(moved) < tol:
+                    pending.discard(key)
+            if not pending:
                 return moments, {key: solve_factors(m, self.periods, key[1], force) for key, m in moments.items()}
         raise RuntimeError("filling of unbalanced controls did not settle")
 

@@ -15,8 +15,8 @@ from paneloom.plans.registry import query, rounded
 from paneloom.sources import panels as P
 
 
-def _values(spark, d, element="Export Value"):
-    return P.flows(spark, d).where(F.col("element") == element).select("exporter", "importer", "year", "item", "value")
+def _values(spark, d, element="Export Value", cells=None):
+    return P.flows(spark, d, cells).where(F.col("element") == element).select("exporter", "importer", "year", "item", "value")
 
 
 # --- shift-share ------------------------------------------------------------------
@@ -40,7 +40,7 @@ def exposure_shift(spark, d):
 
 @query("exposure_index", "SELECT exporter, item, round(exposure, 4) AS exposure FROM expo", SHARE_CTE)
 def exposure_index(spark, d):
-    return rounded(SS.exposure(_values(spark, d), LEADER, T0), exposure=4)
+    return rounded(SS.exposure(_values(spark, d, cells=P.staged_cells(spark, d)), LEADER, T0), exposure=4)
 
 
 @query(
@@ -52,7 +52,7 @@ def exposure_index(spark, d):
 )
 def exposure_wide(spark, d):
     units = P.area_codes(spark, d).select(F.col("area").alias("exporter"))
-    return rounded(SS.exposure_wide(_values(spark, d), units, LEADER, T0, ITEMS), **{s: 4 for s in ITEMS.values()})
+    return rounded(SS.exposure_wide(_values(spark, d, cells=P.staged_cells(spark, d)), units, LEADER, T0, ITEMS), **{s: 4 for s in ITEMS.values()})
 
 
 @query(
@@ -72,9 +72,9 @@ OUT_CTE = """tot AS (SELECT reporter, year, element, item, sum(value) AS t FROM
  bd AS (SELECT *, t - max(CASE WHEN year = 1997 THEN t END) OVER (PARTITION BY reporter, element, item) AS d FROM tot)"""
 
 
-def _outcomes(spark, d):
+def _outcomes(spark, d, cells):
     name = F.concat_ws("_", S.label("element", ELEMENTS), S.label("item", ITEMS))
-    m = P.mirrored_flows(spark, d).where(F.col("item").isin(list(ITEMS)))
+    m = P.mirrored_flows(spark, d, cells).where(F.col("item").isin(list(ITEMS)))
     return SS.outcome_base_diff(m, "reporter", T0, OUTCOMES, name)
 
 
@@ -88,15 +88,16 @@ def _outcomes(spark, d):
     OUT_CTE,
 )
 def outcome_base_diff(spark, d):
-    return rounded(_outcomes(spark, d), year=-1, **{c: 4 for c in OUTCOMES})
+    return rounded(_outcomes(spark, d, P.staged_cells(spark, d, items=list(ITEMS))), year=-1, **{c: 4 for c in OUTCOMES})
 
 
 @query("event_regression")
 def event_regression(spark, d):
     units = P.area_codes(spark, d).select(F.col("area").alias("exporter"))
-    expo = SS.exposure_wide(_values(spark, d), units, LEADER, T0, ITEMS).withColumnsRenamed({s: f"ss_{s}" for s in ITEMS.values()})
+    cells = P.staged_cells(spark, d, items=list(ITEMS))
+    expo = SS.exposure_wide(_values(spark, d, cells=cells), units, LEADER, T0, ITEMS).withColumnsRenamed({s: f"ss_{s}" for s in ITEMS.values()})
     xs = [f"ss_{s}" for s in ITEMS.values()]
-    panel = V.lookup(_outcomes(spark, d), expo, {"reporter": "exporter"}, xs).fillna(0.0, xs)
+    panel = V.lookup(_outcomes(spark, d, cells), expo, {"reporter": "exporter"}, xs).fillna(0.0, xs)
     fit = SS.event_regression(panel, OUTCOMES, xs, "reporter", LEADER)
     cols = ("estimate", "std_error", "conf_low", "conf_high", "nobs", "r2")
     return rounded(fit.select("outcome", "year", "term", *cols), year=-1, **{c: 4 for c in cols if c != "nobs"})
@@ -120,7 +121,8 @@ MEASURES = {"Production": "prod", "Import Quantity": "imp_quant", "Export Quanti
    max(CASE WHEN element = 'Export Value' THEN value END) AS ev FROM panel WHERE item = 'PROMO' GROUP BY 1, 2)""",
 )
 def first_order_panel(spark, d):
-    out = SS.first_order_panel(_values(spark, d, "Export Quantity"), P.country_panel(spark, d), LEADER, SHOCK_ITEM, 1998, T0, MEASURES)
+    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
+    out = SS.first_order_panel(_values(spark, d, "Export Quantity", cells), P.country_panel(spark, d, cells), LEADER, SHOCK_ITEM, 1998, T0, MEASURES)
     return rounded(out, export_diff=4, share=8, **{f"{c}_diff": 4 for c in MEASURES.values()})
 
 
@@ -145,8 +147,9 @@ def treatment_assign(spark, d):
     TREAT_CTE,
 )
 def treatment_panel(spark, d):
-    rows = P.country_panel(spark, d).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Production"))
-    treated = DID.treatment_assign(_values(spark, d, "Export Quantity"), LEADER, SHOCK_ITEM, SHOCK_YEAR)
+    cells = P.staged_cells(spark, d)
+    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Production"))
+    treated = DID.treatment_assign(_values(spark, d, "Export Quantity", cells), LEADER, SHOCK_ITEM, SHOCK_YEAR)
     covariate = P.income(spark, d).withColumnRenamed("gdp", "x")
     out = DID.treatment_panel(rows, treated, LEADER, SHOCK_YEAR, min_pre=2, covariate=covariate)
     return rounded(out, year=-1, y=4, lag_x=5)
@@ -157,14 +160,15 @@ STRONG_CTE = """strong AS (SELECT n_name AS area, CASE WHEN value > (SELECT avg(
 L_CTE = "l AS (SELECT importer, value FROM flows WHERE exporter = 'NATION_3' AND year = 1997 AND item = 'PROMO' AND element = 'Export Quantity')"
 
 
-def _strong(spark, d):
-    flows = _values(spark, d, "Export Quantity")
+def _strong(spark, d, cells):
+    flows = _values(spark, d, "Export Quantity", cells)
     mine = flows.where((F.col("exporter") == LEADER) & (F.col("year") == T0) & (F.col("item") == SHOCK_ITEM))
     return DID.treatment_assign(flows, LEADER, SHOCK_ITEM, SHOCK_YEAR, above=mine.agg(F.avg("value")).scalar())
 
 
 def _prepost(spark, d):
-    return V.lookup(prepost(spark, d), _strong(spark, d), {"area": "importer"}, ["treated"])
+    cells = P.staged_cells(spark, d)
+    return V.lookup(prepost(spark, d, cells), _strong(spark, d, cells), {"area": "importer"}, ["treated"])
 
 
 DID_CTE = f"{PREPOST_CTE}, {L_CTE}, {STRONG_CTE}, pp AS (SELECT p.area, value_1997 AS y0, value_1998 AS y1, treat FROM prepost p JOIN strong s ON s.area = p.area)"
@@ -212,8 +216,9 @@ def drdid_panel(spark, d):
 
 @query("drdid_formula")
 def drdid_formula(spark, d):
-    rows = P.country_panel(spark, d).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Import Value"))
-    rows = V.lookup(rows, _strong(spark, d), {"area": "importer"}, ["treated"])
+    cells = P.staged_cells(spark, d)
+    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Import Value"))
+    rows = V.lookup(rows, _strong(spark, d, cells), {"area": "importer"}, ["treated"])
     rows = V.lookup(rows, P.income(spark, d), ["area", "year"], ["gdp"])
     out = DID.drdid_long(rows, "area", "year", "value", "treated", T0, SHOCK_YEAR, ["gdp"])
     return rounded(out, att=4, std_error=4, conf_low=4, conf_high=4)
@@ -223,9 +228,10 @@ def drdid_formula(spark, d):
 
 
 def _synth_panel(spark, d, covariate=False, element="Production"):
-    rows = P.country_panel(spark, d).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == element))
+    cells = P.staged_cells(spark, d)
+    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == element))
     cov = P.income(spark, d).withColumnRenamed("gdp", "x") if covariate else None
-    return DID.treatment_panel(rows, _strong(spark, d), LEADER, SHOCK_YEAR, min_pre=2, covariate=cov)
+    return DID.treatment_panel(rows, _strong(spark, d, cells), LEADER, SHOCK_YEAR, min_pre=2, covariate=cov)
 
 
 def _gsc(spark, d, **options):
@@ -273,8 +279,9 @@ def gsc_bootstrap(spark, d):
 @query("gsc_many")
 def gsc_many(spark, d):
     """Three items by four elements in one run; the treatment is computed once."""
-    panel = P.country_panel(spark, d).where(F.col("item").isin(list(ITEMS)) & F.col("element").isin(list(ELEMENTS)))
-    treated = _strong(spark, d)
+    cells = P.staged_cells(spark, d)
+    panel = P.country_panel(spark, d, cells).where(F.col("item").isin(list(ITEMS)) & F.col("element").isin(list(ELEMENTS)))
+    treated = _strong(spark, d, cells)
     rows = panel.select("area", "year", "item", "element", F.col("value").alias("y")).where(F.col("area") != LEADER)
     rows = V.lookup(rows, treated, {"area": "importer"}, ["treated"])
     rows = rows.withColumn("d", F.when(F.col("year") < SHOCK_YEAR, 0.0).otherwise(F.coalesce("treated", F.lit(0.0))))

@@ -15,6 +15,7 @@ from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, LEADER, SHOCK_ITEM
 from paneloom.plans.registry import query, rounded
 from paneloom.plans.tables import GRID_CTES, _link_grid
+from paneloom.session import cut_lineage
 from paneloom.sources import panels as P
 
 
@@ -158,8 +159,8 @@ def summary_stats(spark, d):
 PRODUCTION = "(SELECT area, CAST(year AS BIGINT) AS year, item, value FROM panel WHERE element = 'Production')"
 
 
-def _production(spark, d):
-    return P.country_panel(spark, d).where(F.col("element") == "Production").select("area", "year", "item", "value")
+def _production(spark, d, cells=None):
+    return P.country_panel(spark, d, cells).where(F.col("element") == "Production").select("area", "year", "item", "value")
 
 
 @query("win_lag", f"SELECT area, year, item, round(value, 4) AS value, round(lag(value) OVER (PARTITION BY area, item ORDER BY year), 4) AS lag1 FROM {PRODUCTION}")
@@ -191,7 +192,7 @@ def win_first_difference(spark, d):
     f"""SELECT area, year, item, round(value - max(CASE WHEN year = 1997 THEN value END) OVER (PARTITION BY area, item), 4) AS diff FROM {PRODUCTION}""",
 )
 def win_base_period_diff(spark, d):
-    out = V.base_period_diff(_production(spark, d), ["area", "item"], "year", "value", 1997, "diff")
+    out = V.base_period_diff(_production(spark, d, P.staged_cells(spark, d)), ["area", "item"], "year", "value", 1997, "diff")
     return rounded(out.drop("value"), year=-1, diff=4)
 
 
@@ -276,7 +277,7 @@ def top_k_aggregate(spark, d):
        (SELECT area FROM panel WHERE item = 'PROMO' AND element = 'Export Value' AND year = 1996 ORDER BY value DESC, area LIMIT 4)""",
 )
 def top_k_then_series(spark, d):
-    panel = P.country_panel(spark, d).where(F.col("item") == SHOCK_ITEM)
+    panel = P.country_panel(spark, d, P.staged_cells(spark, d, items=[SHOCK_ITEM])).where(F.col("item") == SHOCK_ITEM)
     best = V.top_k(panel.where("element = 'Export Value' AND year = 1996").select("area", "value"), "value", 4, ["area"])
     rows = panel.where(F.col("element") == "Export Quantity").join(best.select("area"), "area", "left_semi")
     return rounded(rows.select("area", "year", "value"), year=-1, value=4)
@@ -380,8 +381,8 @@ PREPOST_CTE = """prepost AS (SELECT area, coalesce(max(CASE WHEN year = 1997 THE
   FROM panel WHERE item = 'PROMO' AND element = 'Import Value' AND year IN (1997, 1998) GROUP BY 1)"""
 
 
-def prepost(spark, d):
-    rows = P.country_panel(spark, d).where("item = 'PROMO' AND element = 'Import Value'")
+def prepost(spark, d, cells=None):
+    rows = P.country_panel(spark, d, cells).where("item = 'PROMO' AND element = 'Import Value'")
     return R.pivot_multi(rows, ["area"], "year", ["value"], [1997, 1998]).fillna(0.0)
 
 
@@ -575,6 +576,7 @@ def suppliers(spark, d):
     line = P.table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     part = P.table(spark, d, "part").select("p_partkey", F.col("p_type").alias("market"))
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("market", F.col("l_suppkey").alias("supplier")).distinct()
+    rows = cut_lineage(rows)  # read three times below and by the callers
     rows = rows.withColumns({"cost": (F.col("supplier") % 5).cast("double"), "a": F.lit(10.0)})
     first = rows.groupBy("market").agg(F.min("supplier").alias("first"))
     return V.lookup(rows, first, ["market"], ["first"]).withColumn("leaves", F.col("supplier") == F.col("first")).drop("first")

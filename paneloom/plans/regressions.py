@@ -394,7 +394,7 @@ def gravity_by_year(spark, d):
 
 @query("io_panel")
 def io_panel(spark, d):
-    panel = P.country_panel(spark, d)
+    panel = P.country_panel(spark, d, P.staged_cells(spark, d))
     inputs = R.pivot_rules(panel, ["area", "year"], category_rules(), F.coalesce("value", F.lit(0.0))).fillna(0.0)
     inputs = inputs.withColumns(
         {

@@ -320,7 +320,7 @@ def join_right_fill(spark, d):
        JOIN (SELECT exporter, item, sum(value) AS t FROM flows WHERE year = 1997 AND element = 'Export Value' GROUP BY 1, 2) USING (exporter, item)""",
 )
 def join_agg_back(spark, d):
-    f = P.flows(spark, d).where((F.col("year") == 1997) & (F.col("element") == "Export Value"))
+    f = P.flows(spark, d, P.staged_cells(spark, d, first_year=1997, last_year=1997)).where(F.col("element") == "Export Value")
     totals = V.total_by(f, "value", ["exporter", "item"], "t")
     out = V.lookup(f, totals, ["exporter", "item"], ["t"]).withColumn("share", S.ratio("value", "t"))
     return rounded(out.select("exporter", "importer", "item", "share"), share=8)
@@ -332,9 +332,10 @@ def join_agg_back(spark, d):
        WHERE element = 'Production' AND item IN (SELECT item FROM flows WHERE exporter = 'NATION_3' AND importer = 'NATION_5' AND year = 1998)""",
 )
 def semi_join_list(spark, d):
-    f = P.flows(spark, d)
+    cells = P.staged_cells(spark, d)
+    f = P.flows(spark, d, cells)
     traded = f.where((F.col("exporter") == LEADER) & (F.col("importer") == "NATION_5") & (F.col("year") == 1998)).select("item").distinct()
-    rows = P.country_panel(spark, d).where(F.col("element") == "Production").join(traded, "item", "left_semi")
+    rows = P.country_panel(spark, d, cells).where(F.col("element") == "Production").join(traded, "item", "left_semi")
     return rounded(rows.select("area", "year", "item", "value"), year=-1, value=4)
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paneloom.session import cut_lineage
+
 CELL_KEYS = ["exporter", "exporter_code", "importer", "importer_code", "year", "item"]
 
 
@@ -79,17 +81,27 @@ def _long(cells: DataFrame, names: dict[str, str]) -> DataFrame:
     return cells.select(*keys, F.inline(entries))
 
 
-def flows(spark: SparkSession, folder: str, **limits) -> DataFrame:
+def staged_cells(spark: SparkSession, folder: str, **limits) -> DataFrame:
+    """The flow cells as a written table, for queries that read them in several roles.
+
+    Different filters per role would otherwise run the fact-table join once per
+    role; the cells are small beside the fact table.
+    """
+    return cut_lineage(flow_cells(spark, folder, **limits))
+
+
+def flows(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
     """Long bilateral panel with export elements."""
-    return _long(flow_cells(spark, folder, **limits), {"exp_val": "Export Value", "exp_quant": "Export Quantity"})
+    cells = flow_cells(spark, folder, **limits) if cells is None else cells
+    return _long(cells, {"exp_val": "Export Value", "exp_quant": "Export Quantity"})
 
 
-def mirrored_flows(spark: SparkSession, folder: str, **limits) -> DataFrame:
+def mirrored_flows(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
     """Long reporter / partner panel with export and import elements.
 
     The importing side reports the same cell as an import.
     """
-    cells = flow_cells(spark, folder, **limits)
+    cells = flow_cells(spark, folder, **limits) if cells is None else cells
 
     def side(reporter: str, partner: str, element: str, value: str) -> Column:
         return F.struct(
@@ -110,9 +122,9 @@ def mirrored_flows(spark: SparkSession, folder: str, **limits) -> DataFrame:
     return cells.select("year", "item", F.inline(entries))
 
 
-def country_panel(spark: SparkSession, folder: str, **limits) -> DataFrame:
+def country_panel(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
     """Long country panel: production and the four trade elements per area, year and item."""
-    cells = flow_cells(spark, folder, **limits)
+    cells = flow_cells(spark, folder, **limits) if cells is None else cells
     abroad = F.col("exporter") != F.col("importer")
 
     def entry(side: str, element: str, value: Column) -> Column:
