@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.operators.linreg import _by_fields, _symmetric, coef_frame, coef_schema, design, solve_normal
-from paneloom.operators.verbs import attach, lookup
+from paneloom.operators.verbs import attach, lookup, quoted
 from paneloom.session import cut_lineage
 
 Key = str | Sequence[str]
@@ -43,39 +43,34 @@ class _Cells:
             rows = rows.where(F.col(c).isNotNull())
         self.k = len(self.terms)
         self.vars = ["y", *[f"x{i}" for i in range(self.k)]]
-        n = F.count(F.lit(1))
-        v = {name: F.col(f"__{name}") for name in self.vars}
         self.pairs = [(p, q) for i, p in enumerate(self.vars) for q in self.vars[i:]]
+        # Expressions are given as SQL text: models with many regressors have hundreds of them.
         self.cells = cut_lineage(
             rows.groupBy(*self.keys).agg(
-                n.alias("__n"),
-                *[F.avg(v[p]).alias(f"__m_{p}") for p in self.vars],
-                *[(F.covar_pop(v[p], v[q]) * n).alias(f"__w_{p}_{q}") for p, q in self.pairs],
+                F.expr("count(1) AS __n"),
+                *[F.expr(f"avg(__{p}) AS __m_{p}") for p in self.vars],
+                *[F.expr(f"covar_pop(__{p}, __{q}) * count(1) AS __w_{p}_{q}") for p, q in self.pairs],
             )
         )
 
     def level_keys(self, i: int) -> list[str]:
         return list(dict.fromkeys([*self.by, *self.fe[i]]))
 
-    def remainder(self, levels: dict[int, DataFrame], skip: int | None = None) -> tuple[DataFrame, dict[str, Column]]:
-        """Cells with the sum of all level effects (but ``skip``) per variable."""
+    def remainder(self, levels: dict[int, DataFrame], skip: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+        """Cells joined to the level effects (but ``skip``), and per variable what the effects leave over."""
         d = self.cells
-        fitted = {p: F.lit(0.0) for p in self.vars}
+        left = {p: f"__m_{p}" for p in self.vars}
         for i, table in levels.items():
             if i == skip:
                 continue
-            names = {f"__f_{p}": f"__f{i}_{p}" for p in self.vars}
-            d = lookup(d, table, self.level_keys(i), names, how="inner")
-            fitted = {p: fitted[p] + F.col(f"__f{i}_{p}") for p in self.vars}
-        return d, fitted
+            d = lookup(d, table, self.level_keys(i), {f"__f_{p}": f"__f{i}_{p}" for p in self.vars}, how="inner")
+            left = {p: f"{left[p]} - __f{i}_{p}" for p in self.vars}
+        return d, left
 
     def project(self, i: int, levels: dict[int, DataFrame]) -> DataFrame:
         """Level means of what the other effects leave over."""
-        d, fitted = self.remainder(levels, skip=i)
-        n = F.col("__n")
-        return d.groupBy(*self.level_keys(i)).agg(
-            *[(F.sum(n * (F.col(f"__m_{p}") - fitted[p])) / F.sum(n)).alias(f"__f_{p}") for p in self.vars]
-        )
+        d, left = self.remainder(levels, skip=i)
+        return d.groupBy(*self.level_keys(i)).agg(*[F.expr(f"sum(__n * ({left[p]})) / sum(__n) AS __f_{p}") for p in self.vars])
 
     def solve(self, tol: float, max_iter: int) -> dict[int, DataFrame]:
         """Levels of every effect at convergence.
@@ -88,14 +83,10 @@ class _Cells:
         q = len(self.fe)
         if q == 1:
             return {0: cut_lineage(self.project(0, {}))}
-        n = F.col("__n")
         # Spread per variable, to make the stopping rule free of units.
         spread = cut_lineage(
             self.cells.groupBy(*self.by).agg(
-                *[
-                    F.sqrt((F.sum(F.col(f"__w_{p}_{p}")) + F.var_pop(F.col(f"__m_{p}")) * F.sum(n)) / F.sum(n)).alias(f"__s_{p}")
-                    for p in self.vars
-                ]
+                *[F.expr(f"sqrt((sum(__w_{p}_{p}) + var_pop(__m_{p}) * sum(__n)) / sum(__n)) AS __s_{p}") for p in self.vars]
             )
         )
         levels: dict[int, DataFrame] = {}
@@ -107,9 +98,9 @@ class _Cells:
                     levels[i] = cut_lineage(new)
                     continue
                 paired = attach(lookup(new, levels[i], self.level_keys(i), {f"__f_{p}": f"__o_{p}" for p in self.vars}, how="inner"), spread, self.by)
-                change = [F.abs(F.col(f"__f_{p}") - F.col(f"__o_{p}")) / F.greatest(F.col(f"__s_{p}"), F.lit(1e-300)) for p in self.vars]
+                change = ", ".join(f"abs(__f_{p} - __o_{p}) / greatest(__s_{p}, 1e-300D)" for p in self.vars)
                 seen = Observation()
-                watched = paired.withColumn("__change", F.greatest(*change)).observe(seen, F.max("__change").alias("worst"))
+                watched = paired.withColumn("__change", F.expr(f"greatest({change}, 0D)")).observe(seen, F.max("__change").alias("worst"))
                 levels[i] = cut_lineage(watched.select(*new.columns))
                 worst = seen.get["worst"]
                 calm = calm + 1 if worst is None or worst <= tol else 0
@@ -146,14 +137,13 @@ def feols(
         raise ValueError("at most two cluster keys")
     prob = _Cells(df, y, x, fe, by, cluster)
     levels = prob.solve(tol, max_iter)
-    d, fitted = prob.remainder(levels)
-    n = F.col("__n")
+    d, left = prob.remainder(levels)
     # Within means of a cell; rows inside a cell add the centred co-moments.
-    cells = d.select(
-        *prob.keys,
+    cells = d.selectExpr(
+        *map(quoted, prob.keys),
         "__n",
         "__m_y",
-        *[(F.col(f"__m_{p}") - fitted[p]).alias(f"__r_{p}") for p in prob.vars],
+        *[f"{left[p]} AS __r_{p}" for p in prob.vars],
         *[f"__w_{p}_{q}" for p, q in prob.pairs],
     )
     k = prob.k
@@ -162,16 +152,15 @@ def feols(
     def cross(p: str, q: str) -> tuple[Column, str]:
         """Sum of within products of two variables, and its column name."""
         name = "__yy" if q == "y" else (f"__b{names[q]}" if p == "y" else f"__a{names[p]}_{names[q]}")
-        return F.sum(F.col(f"__w_{p}_{q}") + n * F.col(f"__r_{p}") * F.col(f"__r_{q}")), name
+        return F.expr(f"sum(__w_{p}_{q} + __n * __r_{p} * __r_{q}) AS {name}"), name
 
     products = [cross(p, q) for p, q in prob.pairs]
     sandwiches = cluster + ([tuple(dict.fromkeys(cluster[0] + cluster[1]))] if len(cluster) == 2 else [])
     # Cross-products per cluster hold all that the scores need, so the cells are summed before slopes are known.
-    m_y = F.col("__m_y")
-    total = F.sum("__w_y_y") + F.sum(n * m_y * m_y) - F.sum(n * m_y) * F.sum(n * m_y) / F.sum(n)
-    moments = cells.groupBy(*prob.by).agg(F.sum(n).alias("__n"), total.alias("__tss"), *[c.alias(name) for c, name in products])
+    total = F.expr("sum(__w_y_y) + sum(__n * __m_y * __m_y) - sum(__n * __m_y) * sum(__n * __m_y) / sum(__n) AS __tss")
+    moments = cells.groupBy(*prob.by).agg(F.expr("sum(__n) AS __n"), total, *[c for c, _ in products])
     per_cluster = [
-        cells.groupBy(*dict.fromkeys([*by, *key])).agg(*[c.alias(name) for c, name in products if name != "__yy"]) for key in sandwiches
+        cells.groupBy(*dict.fromkeys([*by, *key])).agg(*[c for c, name in products if name != "__yy"]) for key in sandwiches
     ]
     for i, table in levels.items():
         moments = attach(moments, table.groupBy(*prob.by).agg(F.count(F.lit(1)).alias(f"__g{i}")), prob.by)
@@ -195,16 +184,11 @@ def feols(
     final = fitted_moments.drop("__beta")
     for c, table in enumerate(per_cluster):
         table = attach(table, fitted_moments.select(*by, "__beta"), by)
-        scores = []
-        for i in range(k):
-            s = F.col(f"__b{i}")
-            for j in range(k):
-                s = s - F.col("__beta")[j] * F.col(f"__a{min(i, j)}_{max(i, j)}")
-            scores.append(s)
-        scored = table.select(*by, *[s.alias(f"__s{i}") for i, s in enumerate(scores)])
-        meat = scored.groupBy(*by).agg(
-            F.count(F.lit(1)).alias(f"__c{c}"),
-            *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__v{c}_{i}_{j}") for i in range(k) for j in range(i, k)],
+        pair = lambda i, j: f"__a{min(i, j)}_{max(i, j)}"
+        scores = [f"__b{i} - (" + " + ".join(f"__beta[{j}] * {pair(i, j)}" for j in range(k)) + f") AS __s{i}" for i in range(k)]
+        meat = table.selectExpr(*map(quoted, by), *scores).groupBy(*by).agg(
+            F.expr(f"count(1) AS __c{c}"),
+            *[F.expr(f"sum(__s{i} * __s{j}) AS __v{c}_{i}_{j}") for i in range(k) for j in range(i, k)],
         )
         final = attach(final, meat, by)
 
@@ -288,13 +272,12 @@ def fixef(
 
 def feols_from(prob: _Cells, levels: dict[int, DataFrame]) -> DataFrame:
     """by, __beta: slopes from solved levels."""
-    d, fitted = prob.remainder(levels)
-    n, k = F.col("__n"), prob.k
-    r = {p: F.col(f"__m_{p}") - fitted[p] for p in prob.vars}
+    d, left = prob.remainder(levels)
+    k = prob.k
     names = {v: i for i, v in enumerate(prob.vars[1:])}
     moments = d.groupBy(*prob.by).agg(
         *[
-            F.sum(F.col(f"__w_{p}_{q}") + n * r[p] * r[q]).alias(f"__b{names[q]}" if p == "y" else f"__a{names[p]}_{names[q]}")
+            F.expr(f"sum(__w_{p}_{q} + __n * ({left[p]}) * ({left[q]})) AS " + (f"__b{names[q]}" if p == "y" else f"__a{names[p]}_{names[q]}"))
             for p, q in prob.pairs
             if q != "y"
         ]

@@ -12,13 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.functions.distributions import t_quantile, t_two_sided_p
 from paneloom.functions.scalars import ratio
-from paneloom.operators.verbs import attach
+from paneloom.operators.verbs import attach, quoted
 
 COEF_COLUMNS = ["term", "estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", "nobs", "r2", "df"]
 
@@ -101,28 +101,28 @@ def design(
     df: DataFrame, y: str, x: Sequence[str], keep: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = ()
 ) -> tuple[DataFrame, list[str]]:
     """Model columns ``__y``, ``__x0``... of the complete rows, and the term names."""
-    xs = [F.col(c).cast("double") for c in x] + [F.col(a).cast("double") * F.col(b).cast("double") for a, b in interactions]
+    exprs = [f"CAST({quoted(c)} AS DOUBLE)" for c in x]
+    exprs += [f"CAST({quoted(a)} AS DOUBLE) * CAST({quoted(b)} AS DOUBLE)" for a, b in interactions]
     terms = list(x) + [f"{a}:{b}" for a, b in interactions]
-    rows = df.select(*dict.fromkeys(keep), F.col(y).cast("double").alias("__y"), *[c.alias(f"__x{i}") for i, c in enumerate(xs)])
-    for c in rows.columns:
-        if c.startswith("__"):
-            rows = rows.where(F.col(c).isNotNull())
-    return rows, terms
+    inner = [f"CAST({quoted(y)} AS DOUBLE) AS __y", *[f"{e} AS __x{i}" for i, e in enumerate(exprs)]]
+    rows = df.selectExpr(*map(quoted, dict.fromkeys(keep)), *inner)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in rows.columns if c.startswith("__"))
+    return rows.where(known), terms
 
 
 def _moments(rows: DataFrame, k: int, by: Sequence[str], intercept: bool) -> DataFrame:
-    y, xs = F.col("__y"), [F.col(f"__x{i}") for i in range(k)]
-    n = F.count(F.lit(1))
-    aggs = [n.alias("__n")]
+    names = [f"__x{i}" for i in range(k)]
     if intercept:
-        cross = lambda u, v: F.covar_pop(u, v) * n  # noqa: E731  (centred, computed without cancellation)
-        aggs += [F.avg(y).alias("__my")] + [F.avg(c).alias(f"__m{i}") for i, c in enumerate(xs)]
+        # Centred, and computed without cancellation.
+        cross = lambda u, v: f"covar_pop({u}, {v}) * count(1)"
+        centres = ["avg(__y) AS __my", *[f"avg({c}) AS __m{i}" for i, c in enumerate(names)]]
     else:
-        cross = lambda u, v: F.sum(u * v)
-        aggs += [F.lit(0.0).alias("__my")] + [F.lit(0.0).alias(f"__m{i}") for i in range(k)]
-    aggs += [cross(xs[i], xs[j]).alias(f"__a{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [cross(xs[i], y).alias(f"__b{i}") for i in range(k)] + [cross(y, y).alias("__yy")]
-    return rows.groupBy(*by).agg(*aggs)
+        cross = lambda u, v: f"sum({u} * {v})"
+        centres = ["0D AS __my", *[f"0D AS __m{i}" for i in range(k)]]
+    aggs = ["count(1) AS __n", *centres]
+    aggs += [f"{cross(names[i], names[j])} AS __a{i}_{j}" for i in range(k) for j in range(i, k)]
+    aggs += [f"{cross(names[i], '__y')} AS __b{i}" for i in range(k)] + [f"{cross('__y', '__y')} AS __yy"]
+    return rows.groupBy(*by).agg(*[F.expr(a) for a in aggs])
 
 
 def ols(
@@ -209,24 +209,20 @@ def ols(
     fitted = moments.mapInPandas(with_fit, fitted_schema)
     small = fitted.select(*by, "__n", "__my", *[f"__m{i}" for i in range(k)], "__beta", "__inv")
     paired = attach(rows, small, by)
-    z = [F.col(f"__x{i}") - F.col(f"__m{i}") for i in range(k)]
-    resid = F.col("__y") - F.col("__my")
-    for i in range(k):
-        resid = resid - F.col("__beta")[i] * z[i]
-    prep = paired.select(*dict.fromkeys([*by, *cluster]), "__n", "__inv", resid.alias("__e"), *[c.alias(f"__z{i}") for i, c in enumerate(z)])
-    zs: list[Column] = ([F.lit(1.0)] if const else []) + [F.col(f"__z{i}") for i in range(k)]
+    resid = "__y - __my" + "".join(f" - __beta[{i}] * (__x{i} - __m{i})" for i in range(k))
+    prep = paired.selectExpr(
+        *map(quoted, dict.fromkeys([*by, *cluster])), "__n", "__inv", f"{resid} AS __e", *[f"__x{i} - __m{i} AS __z{i}" for i in range(k)]
+    )
+    zs = (["1D"] if const else []) + [f"__z{i}" for i in range(k)]
     pairs = [(i, j) for i in range(k + const) for j in range(i, k + const)]
     if se == "hc2":
-        leverage = (F.lit(1.0) / F.col("__n")) if const else F.lit(0.0)
-        for i in range(k):
-            for j in range(k):
-                leverage = leverage + F.col("__inv")[i * k + j] * F.col(f"__z{i}") * F.col(f"__z{j}")
-        weight = ratio(F.col("__e") * F.col("__e"), 1 - leverage)
-        meat = prep.withColumn("__w", weight).groupBy(*by).agg(*[F.sum(zs[i] * zs[j] * F.col("__w")).alias(f"__v{i}_{j}") for i, j in pairs])
+        leverage = " + ".join(["1 / __n"] * const + [f"__inv[{i * k + j}] * __z{i} * __z{j}" for i in range(k) for j in range(k)])
+        weighted = prep.withColumn("__w", F.expr(f"try_divide(__e * __e, 1 - ({leverage}))"))
+        meat = weighted.groupBy(*by).agg(*[F.expr(f"sum({zs[i]} * {zs[j]} * __w) AS __v{i}_{j}") for i, j in pairs])
     elif se == "cluster":
-        scores = prep.groupBy(*dict.fromkeys([*by, *cluster])).agg(*[F.sum(c * F.col("__e")).alias(f"__s{i}") for i, c in enumerate(zs)])
+        scores = prep.groupBy(*dict.fromkeys([*by, *cluster])).agg(*[F.expr(f"sum({c} * __e) AS __s{i}") for i, c in enumerate(zs)])
         meat = scores.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("__g"), *[F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")).alias(f"__v{i}_{j}") for i, j in pairs]
+            F.expr("count(1) AS __g"), *[F.expr(f"sum(__s{i} * __s{j}) AS __v{i}_{j}") for i, j in pairs]
         )
     else:
         raise ValueError(f"unknown variance {se!r}")

@@ -35,6 +35,11 @@ def exclude_unit(df: DataFrame, unit: str, name: str) -> DataFrame:
 # --- joins ------------------------------------------------------------------
 
 
+def quoted(name: str) -> str:
+    """A column name for use in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def lookup(
     df: DataFrame,
     dim: DataFrame,
@@ -52,15 +57,13 @@ def lookup(
     if take is None:
         take = [c for c in dim.columns if c not in on.values()]
     names = dict(take) if isinstance(take, dict) else {c: c for c in take}
-    right = dim.select(
-        *[F.col(r).alias(f"__key_{r}") for r in on.values()], *[F.col(c).alias(f"__take_{c}") for c in names]
+    right = dim.selectExpr(
+        *[f"{quoted(r)} AS {quoted('__key_' + r)}" for r in on.values()], *[f"{quoted(c)} AS {quoted('__take_' + c)}" for c in names]
     )
-    tests = [
-        (F.col(left).eqNullSafe(F.col(f"__key_{r}")) if null_safe else F.col(left) == F.col(f"__key_{r}"))
-        for left, r in on.items()
-    ]
-    joined = df.join(right, tests, how)
-    return joined.select(*df.columns, *[F.col(f"__take_{c}").alias(new) for c, new in names.items()])
+    equal = "<=>" if null_safe else "="
+    tests = " AND ".join(f"{quoted(left)} {equal} {quoted('__key_' + r)}" for left, r in on.items())
+    joined = df.join(right, F.expr(tests), how)
+    return joined.selectExpr(*map(quoted, df.columns), *[f"{quoted('__take_' + c)} AS {quoted(new)}" for c, new in names.items()])
 
 
 def enrich_flows(
