@@ -68,7 +68,7 @@ def agg_positive_count(spark, d):
        FROM flows WHERE year = 1998 AND element = 'Export Quantity' GROUP BY 1, 2""",
 )
 def agg_multi(spark, d):
-    rows = _element(spark, d, "Export Quantity").where(F.col("year") == 1998)
+    rows = _element(spark, d, "Export Quantity", first_year=1998, last_year=1998)
     out = rows.groupBy("exporter", "item").agg(A.sum0("value").alias("x_it"), A.count_rows().alias("n_it"), F.avg("value").alias("xbar_it"))
     return rounded(out, x_it=4, xbar_it=6)
 
@@ -89,7 +89,7 @@ def agg_having(spark, d):
        (SELECT exporter, item, count(value) AS n FROM flows WHERE year = 1998 AND element = 'Export Quantity' GROUP BY 1, 2) GROUP BY 1""",
 )
 def agg_of_agg(spark, d):
-    rows = _element(spark, d, "Export Quantity").where(F.col("year") == 1998)
+    rows = _element(spark, d, "Export Quantity", first_year=1998, last_year=1998)
     links = D.link_counts(rows, "exporter", ["item"])
     return rounded(links.groupBy("item").agg(A.count_rows().alias("countries"), F.avg("num_of_links").alias("mean_links")), mean_links=6)
 
@@ -113,7 +113,7 @@ def agg_min_max(spark, d):
 
 @query("agg_distinct", "SELECT DISTINCT exporter, item FROM flows WHERE year = 1998")
 def agg_distinct(spark, d):
-    return P.flows(spark, d).where(F.col("year") == 1998).select("exporter", "item").distinct()
+    return P.flows(spark, d, first_year=1998, last_year=1998).select("exporter", "item").distinct()
 
 
 @query(
@@ -136,7 +136,7 @@ TWELVE_CTE = f"twelve AS (SELECT reporter, {PIVOT_ITEM_ELEMENT} FROM mirror WHER
 
 
 def _twelve(spark, d):
-    rows = P.mirrored_flows(spark, d).where((F.col("year") == 1998) & F.col("item").isin(list(ITEMS)))
+    rows = P.mirrored_flows(spark, d, first_year=1998, last_year=1998).where(F.col("item").isin(list(ITEMS)))
     name = F.concat_ws("_", S.label("element", ELEMENTS), S.label("item", ITEMS))
     totals = rows.groupBy("reporter", name.alias("element_item")).agg(A.sum0("value").alias("total"))
     return R.pivot_measures(totals, ["reporter"], "element_item", "total", TWELVE)
@@ -202,7 +202,7 @@ def win_base_period_diff(spark, d):
        WHERE exporter = 'NATION_3' AND year = 1997 AND item = 'PROMO' AND element = 'Export Quantity'""",
 )
 def win_share_of_total(spark, d):
-    rows = _element(spark, d, "Export Quantity").where((F.col("exporter") == LEADER) & (F.col("year") == 1997) & (F.col("item") == SHOCK_ITEM))
+    rows = _element(spark, d, "Export Quantity", first_year=1997, last_year=1997).where((F.col("exporter") == LEADER) & (F.col("item") == SHOCK_ITEM))
     return rounded(V.share_of_total(rows, "value").select("importer", "share"), share=8)
 
 
@@ -233,7 +233,7 @@ def win_share_of_reference_row(spark, d):
 
 @query("sort_desc", "SELECT area, round(value, 4) AS value FROM panel WHERE item = 'PROMO' AND element = 'Export Value' AND year = 1998 ORDER BY value DESC")
 def sort_desc(spark, d):
-    rows = P.country_panel(spark, d).where("item = 'PROMO' AND element = 'Export Value' AND year = 1998")
+    rows = P.country_panel(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
     return rounded(rows.select("area", "value").orderBy(F.col("value").desc_nulls_last(), "area"), value=4)
 
 
@@ -248,7 +248,7 @@ def sort_multi(spark, d):
     """SELECT area, round(value, 4) AS value FROM panel WHERE item = 'PROMO' AND element = 'Export Value' AND year = 1998 ORDER BY value DESC, area LIMIT 10""",
 )
 def top_k(spark, d):
-    rows = P.country_panel(spark, d).where("item = 'PROMO' AND element = 'Export Value' AND year = 1998")
+    rows = P.country_panel(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
     return rounded(V.top_k(rows.select("area", "value"), "value", 10, ["area"]), value=4)
 
 
@@ -267,7 +267,7 @@ def top_k_distinct(spark, d):
     "SELECT exporter, round(sum(value), 4) AS total FROM flows WHERE element = 'Export Value' AND year = 1998 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8",
 )
 def top_k_aggregate(spark, d):
-    rows = _element(spark, d, "Export Value").where(F.col("year") == 1998)
+    rows = _element(spark, d, "Export Value", first_year=1998, last_year=1998)
     return rounded(V.top_k(V.total_by(rows, "value", ["exporter"], "total"), "total", 8, ["exporter"]), total=4)
 
 
@@ -423,7 +423,7 @@ PRICE_PANEL_SQL = ", ".join(
             FROM mirror WHERE year = 1998 AND item IN ('PROMO', 'ECONOMY', 'STANDARD') GROUP BY 1, 2) WHERE iq > 0 AND eq > 0) GROUP BY 1""",
 )
 def price_summary_panel(spark, d):
-    rows = P.mirrored_flows(spark, d).where(F.col("year") == 1998)
+    rows = P.mirrored_flows(spark, d, first_year=1998, last_year=1998)
     out = R.price_summary_panel(rows, "reporter", "item", ITEMS)
     return rounded(out, **{c: 6 for c in out.columns if c != "reporter"})
 
@@ -434,7 +434,7 @@ EDGE_CTE = "edges AS (SELECT exporter AS src, importer AS dst, value AS weight F
 
 
 def _network(spark, d):
-    return P.flows(spark, d).where("year = 1998 AND item = 'PROMO' AND element = 'Export Value'")
+    return P.flows(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
 
 
 @query("net_edges", "SELECT src, dst, round(weight, 4) AS weight FROM edges", EDGE_CTE)
@@ -521,7 +521,7 @@ def plot_shock_series(spark, d):
        GROUP BY 1, 2, 3, 4""",
 )
 def plot_histogram(spark, d):
-    links = D.link_counts(_element(spark, d, "Export Quantity").where(F.col("year") == 1998), "exporter", ["item"])
+    links = D.link_counts(_element(spark, d, "Export Quantity", first_year=1998, last_year=1998), "exporter", ["item"])
     return PD.histogram(links, "num_of_links", binwidth=1, facet=["item"])
 
 
@@ -531,7 +531,7 @@ def plot_histogram(spark, d):
        WHERE year = 1998 AND element = 'Export Value' AND ln(distw) BETWEEN 6.5 AND 8""",
 )
 def plot_scatter(spark, d):
-    f = _element(spark, d, "Export Value").where(F.col("year") == 1998)
+    f = _element(spark, d, "Export Value", first_year=1998, last_year=1998)
     f = V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"])
     f = f.withColumns({"ldist": S.log_or_null("distw"), "lval": S.log_or_null("value")})
     return rounded(PD.scatter(f, "ldist", "lval", "item", xlim=(6.5, 8.0)), x=6, y=6)
@@ -543,7 +543,7 @@ LM_CTE = """pts AS (SELECT item, distw AS x, value AS y FROM flows JOIN dist USI
 
 
 def _quantity_by_distance(spark, d):
-    f = _element(spark, d, "Export Quantity").where(F.col("year") == 1998)
+    f = _element(spark, d, "Export Quantity", first_year=1998, last_year=1998)
     return V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"])
 
 

@@ -69,7 +69,7 @@ def _areas(spark, d):
 
 @query("ols_simple", simple_sql("m"), GRAVITY_CTE + ", g98 AS (SELECT * FROM grav WHERE year = 1998), " + simple_sql("g98"))
 def ols_simple(spark, d):
-    return _coefs(L.ols(_gravity(spark, d).where(F.col("year") == 1998), "y", ["x"]))
+    return _coefs(L.ols(_gravity(spark, d, first_year=1998, last_year=1998), "y", ["x"]))
 
 
 @query("ols_by_group", simple_sql("m", "year"), GRAVITY_CTE + ", gy AS (SELECT CAST(year AS BIGINT) AS year, x, y FROM grav), " + simple_sql("gy", "year"))
@@ -106,7 +106,7 @@ UNITS_CTE = """units AS (SELECT item, exporter, ln(nullif(sum(value), 0)) AS x,
 
 
 def _units(spark, d):
-    f = P.flows(spark, d).where((F.col("element") == "Export Value") & (F.col("year") == 1998))
+    f = P.flows(spark, d, first_year=1998, last_year=1998).where(F.col("element") == "Export Value")
     u = f.groupBy("item", "exporter").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
     return u.select("item", "exporter", S.log_or_null("total").alias("x"), F.ln(F.col("n").cast("double")).alias("y"))
 
@@ -246,7 +246,7 @@ def _parts(by: list[str]) -> str:
     + _parts(["item", "element"]),
 )
 def variance_decomposition(spark, d):
-    rows = P.mirrored_flows(spark, d).where((F.col("year") == 1998) & F.col("element").endswith("Value"))
+    rows = P.mirrored_flows(spark, d, first_year=1998, last_year=1998).where(F.col("element").endswith("Value"))
     return rounded(L.variance_decomposition(rows, ["item", "element"], "reporter"), estimate=6, std_error=6, r2=6)
 
 
@@ -260,7 +260,7 @@ def variance_decomposition(spark, d):
     + _parts(["item"]),
 )
 def price_quantity_decomposition(spark, d):
-    rows = P.mirrored_flows(spark, d).where((F.col("reporter") == "NATION_5") & (F.col("year") == 1998))
+    rows = P.mirrored_flows(spark, d, first_year=1998, last_year=1998).where(F.col("reporter") == "NATION_5")
     prices = R.price_wide(rows, ["partner", "item"], "Import Value", "Import Quantity")
     return rounded(L.price_quantity_decomposition(prices, ["item"]), estimate=6, std_error=6, r2=6)
 
@@ -371,7 +371,7 @@ def fe_recover(spark, d):
 
 @query("join_fixed_effects")
 def join_fixed_effects(spark, d):
-    g = _gravity(spark, d).where((F.col("year") == 1998) & (F.col("item") == SHOCK_ITEM))
+    g = _gravity(spark, d, first_year=1998, last_year=1998).where(F.col("item") == SHOCK_ITEM)
     effects = FX.fixef(g, "y", ["x"], ["exporter", "importer"])
     income = P.income(spark, d).where(F.col("year") == 1997).withColumn("lgdp", S.log_or_null("gdp")).select("area", "lgdp")
     out = V.lookup(income, effects.where(F.col("fe") == "exporter"), {"area": "level"}, {"effect": "exporter_fe"})

@@ -62,7 +62,7 @@ def sink_parquet(spark, d):
 )
 def sink_csv(spark, d):
     path = new_folder(spark, "edges")
-    rows = P.flows(spark, d).where("year = 1998 AND item = 'PROMO' AND element = 'Export Value'")
+    rows = P.flows(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
     files.write_csv(rows.select("exporter", "importer", "value"), path)
     return rounded(files.read_csv(spark, path, "exporter string, importer string, value double"), value=4)
 
@@ -119,8 +119,8 @@ def mutate_columns(spark, d):
        WHERE exporter = 'NATION_3' AND year = 1998 AND item = 'PROMO' AND element = 'Export Value'""",
 )
 def filter_conjunction(spark, d):
-    f = P.flows(spark, d)
-    test = (F.col("exporter") == LEADER) & (F.col("year") == 1998) & (F.col("item") == SHOCK_ITEM) & (F.col("element") == "Export Value")
+    f = P.flows(spark, d, first_year=1998, last_year=1998)
+    test = (F.col("exporter") == LEADER) & (F.col("item") == SHOCK_ITEM) & (F.col("element") == "Export Value")
     return rounded(f.where(test).select("importer", "value"), value=4)
 
 
@@ -165,7 +165,7 @@ GRID_CTES = """links AS (
 
 def _link_grid(spark, d):
     """Every pair of areas with its 1998 value of the shock item, NULL where there is no link."""
-    f = P.flows(spark, d).where("element = 'Export Value' AND item = 'PROMO' AND year = 1998")
+    f = P.flows(spark, d, first_year=1998, last_year=1998).where("element = 'Export Value' AND item = 'PROMO'")
     return V.lookup(P.distances(spark, d).select("exporter", "importer"), f, ["exporter", "importer"], ["value"])
 
 
@@ -306,8 +306,8 @@ def join_prune_then_join(spark, d):
        (SELECT importer, value FROM flows WHERE exporter = 'NATION_3' AND year = 1997 AND item = 'PROMO' AND element = 'Export Quantity') ON importer = n_name""",
 )
 def join_right_fill(spark, d):
-    f = P.flows(spark, d).where(
-        (F.col("exporter") == LEADER) & (F.col("year") == 1997) & (F.col("item") == SHOCK_ITEM) & (F.col("element") == "Export Quantity")
+    f = P.flows(spark, d, first_year=1997, last_year=1997).where(
+        (F.col("exporter") == LEADER) & (F.col("item") == SHOCK_ITEM) & (F.col("element") == "Export Quantity")
     )
     units = P.area_codes(spark, d).select(F.col("area").alias("importer"))
     return rounded(V.fill_units(f.select("importer", "value"), units, "importer", {"value": 0.0}), value=4)

@@ -24,14 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _years_filter(when: Column, first_year: int | None, last_year: int | None) -> Column:
-    """Range test on the raw timestamp, which the Parquet scan can use to skip row groups."""
-    test = F.lit(True)
+def _within_years(df: DataFrame, when: str, first_year: int | None, last_year: int | None) -> DataFrame:
+    """Range test on the raw date column: it reaches the scan, before any join."""
+    kind = df.schema[when].dataType
     if first_year is not None:
-        test = test & (when >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
+        df = df.where(F.col(when) >= F.lit(f"{first_year}-01-01").cast(kind))
     if last_year is not None:
-        test = test & (when < F.lit(f"{last_year + 1}-01-01").cast("timestamp_ntz"))
-    return test
+        df = df.where(F.col(when) < F.lit(f"{last_year + 1}-01-01").cast(kind))
+    return df
 
 
 def flow_cells(
@@ -45,7 +45,7 @@ def flow_cells(
     line = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"
     )
-    line = line.where(_years_filter(F.col("l_shipdate"), first_year, last_year))
+    line = _within_years(line, "l_shipdate", first_year, last_year)
     part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("item"))
     if items is not None:
         part = part.where(F.col("item").isin(list(items)))
