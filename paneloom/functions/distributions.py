@@ -58,12 +58,13 @@ def t_two_sided_p(t, df) -> np.ndarray:
 
 def t_quantile(level: float, df) -> np.ndarray:
     """Value q with P(|T| <= q) = level, by bisection on the two-sided p-value."""
-    df = np.asarray(df, dtype=float)
-    lo, hi = np.zeros(df.shape), np.full(df.shape, 1e7)
+    each, where = np.unique(np.asarray(df, dtype=float), return_inverse=True)
+    lo, hi = np.zeros(each.shape), np.full(each.shape, 1e7)
     for _ in range(200):
         mid = (lo + hi) / 2.0
-        too_low = t_two_sided_p(mid, df) > 1.0 - level
+        too_low = t_two_sided_p(mid, each) > 1.0 - level
         lo, hi = np.where(too_low, mid, lo), np.where(too_low, hi, mid)
         if np.all(hi - lo <= 1e-13 * np.maximum(hi, 1.0)):
             break
-    return np.where(df > 0, (lo + hi) / 2.0, np.nan)
+    found = np.where(each > 0, (lo + hi) / 2.0, np.nan)
+    return found[where.reshape(np.shape(df))]

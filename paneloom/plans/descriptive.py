@@ -398,19 +398,24 @@ def unpivot_prepost(spark, d):
 
 PRICE_CTE = """imports AS (SELECT partner AS area, year, item, coalesce(sum(CASE WHEN element = 'Import Value' THEN value END), 0) AS v,
    coalesce(sum(CASE WHEN element = 'Import Quantity' THEN value END), 0) AS q FROM mirror WHERE element LIKE 'Import%' GROUP BY 1, 2, 3)"""
-PRICE_LONG = """SELECT area, CAST(year AS BIGINT) AS year, item, 'Price' AS element, round(v / nullif(q, 0), 6) AS value FROM imports
-   UNION ALL SELECT area, CAST(year AS BIGINT), item, 'Quantity', round(q, 6) FROM imports
-   UNION ALL SELECT area, CAST(year AS BIGINT), item, 'Value', round(v, 6) FROM imports"""
+PRICE_LONG = """SELECT area, CAST(year AS BIGINT) AS year, item, 'Price' AS element, round(v / nullif(q, 0), 3) AS value FROM imports
+   UNION ALL SELECT area, CAST(year AS BIGINT), item, 'Quantity', round(q, 4) FROM imports
+   UNION ALL SELECT area, CAST(year AS BIGINT), item, 'Value', round(v, 4) FROM imports"""
+
+
+def _round_series(df):
+    digits = F.when(F.col("element") == "Price", F.round("value", 3)).otherwise(F.round("value", 4))
+    return df.withColumn("value", digits)
 
 
 @query("price_long", PRICE_LONG, PRICE_CTE)
 def price_long(spark, d):
     m = P.mirrored_flows(spark, d).withColumnRenamed("partner", "area")
-    return rounded(R.price_long(m, ["area", "year", "item"], "Import Value", "Import Quantity"), year=-1, value=6)
+    return rounded(_round_series(R.price_long(m, ["area", "year", "item"], "Import Value", "Import Quantity")), year=-1)
 
 
 PRICE_PANEL_SQL = ", ".join(
-    f"round(max(CASE WHEN item = '{it}' THEN {p} END), 6) AS {p}_{s}" for p in ("imp_price", "exp_price") for it, s in ITEMS.items()
+    f"round(max(CASE WHEN item = '{it}' THEN {p} END), 3) AS {p}_{s}" for p in ("imp_price", "exp_price") for it, s in ITEMS.items()
 )
 
 
@@ -425,7 +430,7 @@ PRICE_PANEL_SQL = ", ".join(
 def price_summary_panel(spark, d):
     rows = P.mirrored_flows(spark, d, first_year=1998, last_year=1998)
     out = R.price_summary_panel(rows, "reporter", "item", ITEMS)
-    return rounded(out, **{c: 6 for c in out.columns if c != "reporter"})
+    return rounded(out, **{c: 3 for c in out.columns if c != "reporter"})
 
 
 # --- networks ------------------------------------------------------------------------
@@ -510,7 +515,7 @@ def plot_series(spark, d):
 def plot_shock_series(spark, d):
     m = P.mirrored_flows(spark, d, first_year=1996, last_year=2000).withColumnRenamed("partner", "area")
     out = PD.shock_series(m, "area", LEADER, 1998, "Import Value", "Import Quantity", 1996, 2000)
-    return rounded(out, year=-1, value=6, shock_year=-1)
+    return rounded(_round_series(out), year=-1, shock_year=-1)
 
 
 @query(

@@ -25,19 +25,19 @@ def _coefs(df, *keys, cols=("estimate", "std_error", "statistic", "nobs", "r2"),
 
 
 def simple_sql(source: str, keys: str = "") -> str:
-    """y on x with an intercept, by keys: term rows with estimate, std_error, statistic, nobs, r2."""
+    """Check of y on x with an intercept, by keys: the moment CTE of a source, or (``m``) the term rows."""
     by = f"{keys}, " if keys else ""
-    group = f"GROUP BY {keys}" if keys else ""
+    if source != "m":
+        group = f"GROUP BY {keys}" if keys else ""
+        return (
+            "m AS (SELECT *, (syy - slope * sxy) / (n - 2) AS s2, 1 - (syy - slope * sxy) / syy AS r2 FROM ("
+            f"SELECT {by}count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, "
+            f"regr_slope(y, x) AS slope FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL {group}))"
+        )
     return f"""
     SELECT {by}term, round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / nullif(se, 0), 6) AS statistic, nobs, round(r2, 6) AS r2 FROM (
       SELECT {by}'(Intercept)' AS term, my - slope * mx AS b, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se, CAST(n AS BIGINT) AS nobs, r2 FROM m
-      UNION ALL SELECT {by}'x', slope, sqrt(s2 / sxx), CAST(n AS BIGINT), r2 FROM m)""".replace(
-        "FROM m\n", f"FROM m\n"
-    ) if source == "m" else (
-        f"m AS (SELECT *, (syy - slope * sxy) / (n - 2) AS s2, 1 - (syy - slope * sxy) / syy AS r2 FROM ("
-        f"SELECT {by}count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy, "
-        f"regr_slope(y, x) AS slope FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL {group}))"
-    )
+      UNION ALL SELECT {by}'x', slope, sqrt(s2 / sxx), CAST(n AS BIGINT), r2 FROM m)"""
 
 
 # --- log flows in 1998 as the common cross-section -----------------------------------
@@ -157,9 +157,16 @@ def _many(spark, d):
     return V.lookup(wide, P.income(spark, d), ["area", "year"], {"gdp": "x"}, how="inner")
 
 
-@query("ols_many_outcomes", simple_sql("m", "outcome, year").replace("SELECT outcome, year", "SELECT outcome, CAST(year AS BIGINT) AS year"), MANY_CTE)
+MANY_SQL = simple_sql("m", "outcome, year").replace("SELECT outcome, year", "SELECT outcome, CAST(year AS BIGINT) AS year")
+for name, digits in (("b, 6) AS estimate", "b, 2) AS estimate"), ("se, 6) AS std_error", "se, 2) AS std_error")):
+    MANY_SQL = MANY_SQL.replace(name, digits)
+
+
+@query("ols_many_outcomes", MANY_SQL, MANY_CTE)
 def ols_many_outcomes(spark, d):
-    return _coefs(L.ols_many(_many(spark, d), MANY, ["x"], by=["year"]), "outcome", "year", longs=["year"])
+    fit = L.ols_many(_many(spark, d), MANY, ["x"], by=["year"])
+    cols = fit.select("outcome", "year", "term", "estimate", "std_error", "statistic", "nobs", "r2")
+    return rounded(cols, year=-1, estimate=2, std_error=2, statistic=6, r2=6)
 
 
 @query("coef_table")

@@ -365,7 +365,7 @@ def fn_log(spark, d):
 
 @query(
     "fn_arith_price",
-    """SELECT area, CAST(year AS BIGINT) AS year, item, round(v / nullif(q, 0), 6) AS price, round(v / 1000, 7) AS val_thousand,
+    """SELECT area, CAST(year AS BIGINT) AS year, item, round(v / nullif(q, 0), 3) AS price, round(v / 1000, 7) AS val_thousand,
               round(100 * (v - q) / nullif(v, 0), 6) AS pct
        FROM (SELECT area, year, item, max(CASE WHEN element = 'Import Value' THEN value END) AS v, max(CASE WHEN element = 'Import Quantity' THEN value END) AS q
              FROM panel GROUP BY 1, 2, 3)""",
@@ -375,7 +375,7 @@ def fn_arith_price(spark, d):
     out = w.withColumns(
         {"price": S.ratio("v", "q"), "val_thousand": F.col("v") / 1000, "pct": S.ratio(100 * (F.col("v") - F.col("q")), "v")}
     )
-    return rounded(out.drop("v", "q"), year=-1, price=6, val_thousand=7, pct=6)
+    return rounded(out.drop("v", "q"), year=-1, price=3, val_thousand=7, pct=6)
 
 
 @query(
