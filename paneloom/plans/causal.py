@@ -254,7 +254,23 @@ def gsc_cv(spark, d):
     return rounded(_gsc(spark, d).cv, r=-1, mspe=2)
 
 
-@query("gsc_covariates")
+# Without factors the model is two-way: control slopes and period effects, then unit effects from pre-periods.
+def _two_way_ctes(x: str) -> str:
+    """SQL of the effect by period; ``x`` is the lagged-income column or 0."""
+    source = f"""SELECT area, year, y, {x} AS x FROM (SELECT p.area, p.year, p.value AS y, lag(gdp) OVER (PARTITION BY p.area ORDER BY p.year) AS lag_x FROM panel p
+      LEFT JOIN gdp g ON g.area = p.area AND g.year = p.year WHERE item = 'PROMO' AND element = 'Production')"""
+    within = "{0} - avg({0}) OVER (PARTITION BY area) - avg({0}) OVER (PARTITION BY year) + avg({0}) OVER ()"
+    return f"""{L_CTE}, {STRONG_CTE},
+ tp AS (SELECT s.*, treat FROM ({source}) s JOIN strong ON strong.area = s.area WHERE x IS NOT NULL AND y IS NOT NULL AND s.area <> 'NATION_3'),
+ cw AS (SELECT {within.format('x')} AS xt, {within.format('y')} AS yt FROM tp WHERE treat = 0),
+ sl AS (SELECT coalesce(sum(xt * yt) / nullif(sum(xt * xt), 0), 0) AS b FROM cw),
+ xi AS (SELECT year, avg(y) - (SELECT b FROM sl) * avg(x) AS xi FROM tp WHERE treat = 0 GROUP BY 1),
+ tr AS (SELECT area, tp.year, y - (SELECT b FROM sl) * x - xi AS u FROM tp JOIN xi ON xi.year = tp.year WHERE treat = 1),
+ al AS (SELECT area, avg(u) AS a FROM tr WHERE year < 1998 GROUP BY 1),
+ att AS (SELECT CAST(year - 1998 AS BIGINT) AS rel_time, avg(u - a) AS att, CAST(count(*) AS BIGINT) AS n_treated FROM tr JOIN al ON al.area = tr.area GROUP BY 1)"""
+
+
+@query("gsc_covariates", "SELECT rel_time, round(att, 4) AS att, n_treated FROM att", _two_way_ctes("lag_x"))
 def gsc_covariates(spark, d):
     fit = G.gsc(_synth_panel(spark, d, covariate=True), "area", "year", "y", "d", r=0, cv=False, x=["lag_x"])
     return rounded(fit.att, rel_time=-1, att=4)
@@ -289,6 +305,10 @@ def gsc_many(spark, d):
     return rounded(fit.att, rel_time=-1, att=4)
 
 
-@query("gsc_cumulative")
+@query(
+    "gsc_cumulative",
+    "SELECT rel_time, round(sum(att) OVER (ORDER BY rel_time), 4) AS catt FROM att WHERE rel_time >= 0",
+    _two_way_ctes("0.0"),
+)
 def gsc_cumulative(spark, d):
-    return rounded(G.cumulative_att(_gsc(spark, d).att), rel_time=-1, catt=4)
+    return rounded(G.cumulative_att(_gsc(spark, d, r=0, cv=False).att), rel_time=-1, catt=4)

@@ -563,7 +563,23 @@ def plot_smooth_lm(spark, d):
     return rounded(out.drop("low", "high"), point=-1, x=4, y=6, se=6)
 
 
-@query("plot_smooth_loess")
+LOESS_CTE = """lp AS (SELECT item, ln(distw) AS x, ln(nullif(value, 0)) AS y FROM flows JOIN dist USING (exporter, importer) WHERE year = 1998 AND element = 'Export Quantity'),
+ lr AS (SELECT item, min(x) AS lo, max(x) AS hi, count(*) AS n FROM lp GROUP BY 1),
+ lg AS (SELECT item, n, point, lo + point * ((hi - lo) / 79) AS g FROM lr CROSS JOIN (SELECT unnest(generate_series(0, 79)) AS point)),
+ ld AS (SELECT lg.item, point, g, n, x, y, abs(x - g) AS d, row_number() OVER (PARTITION BY lg.item, point ORDER BY abs(x - g)) AS rn FROM lg JOIN lp ON lp.item = lg.item),
+ lh AS (SELECT item, point, d AS h FROM ld WHERE rn = greatest(CAST(floor(n * 0.75 + 0.00001) AS BIGINT), 1)),
+ lw AS (SELECT ld.item, ld.point, g, y, (x - g) / h AS u, pow(1 - pow(d / h, 3), 3) AS w FROM ld JOIN lh ON ld.item = lh.item AND ld.point = lh.point WHERE d < h),
+ lm2 AS (SELECT item, point, g, sum(w) AS a0, sum(w * u) AS a1, sum(w * u * u) AS a2, sum(w * u * u * u) AS a3, sum(w * u * u * u * u) AS a4,
+   sum(w * y) AS b0, sum(w * u * y) AS b1, sum(w * u * u * y) AS b2 FROM lw GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "plot_smooth_loess",
+    """SELECT item, CAST(point AS BIGINT) AS point, round(g, 6) AS x,
+              round((b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - a3 * b2) + a2 * (b1 * a3 - a2 * b2))
+                  / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2)), 6) AS y FROM lm2""",
+    LOESS_CTE,
+)
 def plot_smooth_loess(spark, d):
     f = _quantity_by_distance(spark, d).withColumns({"ldist": S.log_or_null("distw"), "lval": S.log_or_null("value")})
     return rounded(PD.smooth_loess(f, "ldist", "lval", facet=["item"]), point=-1, x=6, y=6)
