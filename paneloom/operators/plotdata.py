@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from paneloom.functions.distributions import t_quantile
 from paneloom.functions.scalars import ratio
 from paneloom.operators.reshape import price_long
-from paneloom.operators.verbs import attach, order_statistics
+from paneloom.operators.verbs import attach, order_statistics, quoted
 
 Limits = tuple[float, float] | None
 
@@ -133,25 +133,25 @@ def smooth_loess(
 ) -> DataFrame:
     """Local quadratic fit with tricube weights at n points per facet: facet, point, x, y.
 
-    Every row meets the n grid points of its facet and is summed map-side to
-    weighted moments per point, so only n rows per facet and task are shuffled.
-    The bandwidth of a point is the exact distance to its nearest ``span`` share.
+    Rows with the same x are summed first (distances repeat in every year and
+    item). Each distinct x then meets the n grid points of its facet and is
+    summed map-side to weighted moments per point. The bandwidth of a point is
+    the exact distance to its nearest ``span`` share of the rows.
     """
     rows = _limited(df.select(*facet, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), "__x", xlim, "__y", ylim)
+    rows = rows.groupBy(*facet, "__x").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__sy"))
     ends = rows.groupBy(*facet).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    wide = attach(rows, ends, facet)
-    met = _grid(wide, facet, n).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
+    met = _grid(attach(rows, ends, facet), facet, n).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
     keys = [*facet, "point", "x"]
-    reach = order_statistics(met, keys, "__d", span, {"__h": F.greatest(F.floor(F.col("n") * span + 1e-5), F.lit(1))}).drop("n")
-    near = attach(met, reach, keys)
-    u = ratio("__d", "__h")
-    weight = F.when(u < 1, F.pow(1 - u * u * u, F.lit(3)))
+    rank = F.greatest(F.floor(F.col("n") * span + 1e-5), F.lit(1))
+    reach = order_statistics(met, keys, "__d", span, {"__h": rank}, weight="__n", slices=512).drop("n")
     # Offsets in units of the bandwidth keep the moments well scaled.
-    near = near.withColumns({"__u": ratio(F.col("__x") - F.col("x"), "__h"), "__w": weight}).where(F.col("__w") > 0)
-    power = lambda k: F.lit(1.0) if k == 0 else (F.col("__u") if k == 1 else F.pow("__u", F.lit(float(k))))
+    near = attach(met, reach, keys).where("__d < __h").selectExpr(
+        *map(quoted, keys), "__n", "__sy", "(__x - x) / __h AS __u", "pow(1 - pow(__d / __h, 3), 3) AS __w"
+    )
+    power = lambda k: " * ".join(["__w"] + ["__u"] * k)
     sums = near.groupBy(*keys).agg(
-        *[F.sum(F.col("__w") * power(k)).alias(f"__a{k}") for k in range(5)],
-        *[F.sum(F.col("__w") * power(k) * F.col("__y")).alias(f"__b{k}") for k in range(3)],
+        *[F.expr(f"sum({power(k)} * __n) AS __a{k}") for k in range(5)], *[F.expr(f"sum({power(k)} * __sy) AS __b{k}") for k in range(3)]
     )
     schema = T.StructType([sums.schema[c] for c in keys]).add("y", "double")
 

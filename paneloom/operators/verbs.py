@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,27 +196,30 @@ def order_statistics(
     share: float,
     ranks: dict[str, Column],
     extra: Sequence[Column] = (),
+    weight: str | None = None,
     accuracy: int = 10_000,
+    slices: int = 4096,
 ) -> DataFrame:
     """Values at exact 1-based ranks within each key, for groups of any size.
 
-    Every rank is an expression of ``n`` (the group's count of known values)
-    close to ``share * n``. A mergeable quantile sketch brackets the ranks;
-    values inside the bracket are counted per distinct value, the bracket is cut
-    in slices, and only the slice that holds a rank is put in order. No group
-    and no bracket is sorted whole, and the result is exact. ``extra``
-    aggregates of the value ride along on the first pass. Returns keys, n, the
-    extras and one column per rank.
+    Every rank is an expression of ``n`` (the group's count of known values, or
+    sum of weights) close to ``share * n``. A mergeable quantile sketch brackets
+    the ranks (weighted rows use the whole range). The bracket is cut in slices
+    of equal width, whose counts combine map-side; only the values of the slice
+    that holds a rank are then counted one by one and put in order. No group is
+    sorted whole, and the result is exact. ``extra`` aggregates of the value ride
+    along on the first pass. Returns keys, n, the extras and one column per rank.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    slack = 4.0 / accuracy
-    low, high = max(share - slack, 0.0), min(share + slack, 1.0)
+    w = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"), w.alias("__w")).where("__v IS NOT NULL")
+    if weight is None:
+        slack = 4.0 / accuracy
+        ends = F.array(F.lit(max(share - slack, 0.0)), F.lit(min(share + slack, 1.0)))
+        around = F.percentile_approx("__v", ends, accuracy)
+    else:
+        around = F.array(F.min("__v"), F.max("__v"))
     sketch = rows.withColumn(value, F.col("__v")).groupBy(*keys).agg(
-        F.count("__v").alias("n"),
-        F.percentile_approx("__v", F.array(F.lit(low), F.lit(high)), accuracy).alias("__q"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        *extra,
+        F.sum("__w").alias("n"), around.alias("__q"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *extra
     )
     # Small groups keep their whole range, so rounding of ranks cannot miss the target.
     whole = F.col("n") <= 1000
@@ -228,31 +230,23 @@ def order_statistics(
         F.when(whole, F.col("__min")).otherwise(F.col("__q")[0]).alias("__lo"),
         F.when(whole, F.col("__max")).otherwise(F.col("__q")[1]).alias("__hi"),
     )
-    marked = attach(rows, bounds, keys)
-    # Values below the bracket collapse to one counted entry per key (NULL value).
-    inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
-    counted = (
-        marked.where(F.col("__v") <= F.col("__hi"))
-        .groupBy(*keys, *wanted, "__lo", "__hi", inside.alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    # Slices of equal width; NULL (everything below the bracket) comes first.
-    slices = 4096
-    depth = F.floor(ratio(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * slices)
-    counted = counted.withColumn("__slice", F.when(F.col("__v").isNull(), -1).otherwise(F.coalesce(depth, F.lit(0))))
+    # Slice -1 is everything below the bracket.
+    cut = f"CASE WHEN __v < __lo THEN -1 ELSE coalesce(floor(try_divide(__v - __lo, __hi - __lo) * {slices}), 0) END"
+    marked = attach(rows, bounds, keys).where("__v <= __hi").withColumn("__slice", F.expr(cut))
 
-    def spans(ordered: DataFrame, part: Sequence[str], by: Column, start: Column) -> DataFrame:
+    def spans(ordered: DataFrame, part: Sequence[str], by: str, start: str) -> DataFrame:
         """Ranks covered by each row: above __under, up to __cum."""
         w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return ordered.withColumn("__cum", start + F.sum("__c").over(w)).withColumn("__under", F.col("__cum") - F.col("__c"))
-
-    holds = lambda r: (F.col("__cum") >= F.col(r)) & (F.col("__under") < F.col(r))
-    any_rank = reduce(lambda a, b: a | b, [holds(r) for r in wanted])
-    per_slice = counted.groupBy(*keys, "__slice", *wanted).agg(F.sum("__c").alias("__c"))
-    hit = spans(per_slice, keys, F.col("__slice"), F.lit(0)).where(any_rank).select(*keys, "__slice", F.col("__under").alias("__base"))
-    inner = lookup(counted, hit, [*keys, "__slice"], ["__base"], null_safe=True, how="inner")
-    upto = spans(inner, [*keys, "__slice"], F.col("__v"), F.col("__base"))
-    found = upto.groupBy(*keys).agg(*[F.max(F.when(holds(r), F.col("__v"))).alias(name) for name, r in zip(ranks, wanted)])
+        return ordered.withColumn("__cum", F.expr(start) + F.sum("__c").over(w)).withColumn("__under", F.expr("__cum - __c"))
+
+    holds = lambda r: f"(__cum >= {quoted(r)} AND __under < {quoted(r)})"
+    counts = F.sum("__w").alias("__c")
+    per_slice = marked.groupBy(*keys, "__slice", *wanted).agg(counts)
+    hit = spans(per_slice, keys, "__slice", "0").where(" OR ".join(map(holds, wanted))).select(*keys, "__slice", F.col("__under").alias("__base"))
+    inside = lookup(marked, hit, [*keys, "__slice"], ["__base"], null_safe=True, how="inner")
+    inside = inside.where("__slice >= 0").groupBy(*keys, "__slice", "__base", *wanted, "__v").agg(counts)
+    upto = spans(inside, [*keys, "__slice"], "__v", "__base")
+    found = upto.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN {holds(r)} THEN __v END)").alias(name) for name, r in zip(ranks, wanted)])
     out = attach(sketch.drop("__q", "__min", "__max"), found, keys)
     missed = F.raise_error(F.lit("a rank fell outside its bracket")).cast("double")
     return out.withColumns({name: F.coalesce(F.col(name), missed) for name in ranks})
