@@ -21,7 +21,7 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "paneloom"), "zip", root, "paneloom")
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "paneloom-text"), "zip", root, "paneloom")
         spark.sparkContext.addPyFile(archive)
         _shipped.add(app)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import decontaminate, linededup, packing, pii, quality, repair, sharding, simhash, toxicity
+from paneloom.llm import decontaminate, linededup, packing, pii, quality, repair, repeats, sharding, simhash, toxicity
 from paneloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+@register()
+def op10_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
