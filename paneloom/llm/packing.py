@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import id_text, ship
-from paneloom.llm.tokens import Encoder
+from paneloom.llm.tokens import encoder
 from paneloom.session import cut_lineage
 
+#: Documents whose ids are in memory at the same time.
+DOCS_AT_ONCE = 256
+
 
 def fullest(room: int, free: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Counts of available lengths whose sum is the largest that fits ``room``.
@@ -71,11 +74,13 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, words_only=True)
+        library = encoder(path, words_only=True)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.batch(batch["text"].tolist()), strict=True):
+            texts = batch["text"].tolist()
+            encoded = (ids for k in range(0, len(texts), DOCS_AT_ONCE) for ids in library.batch(texts[k : k + DOCS_AT_ONCE]))
+            for doc_id, ids in zip(batch["doc_id"], encoded, strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4

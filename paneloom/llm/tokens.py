@@ -3,53 +3,113 @@
 from __future__ import annotations
 
 import os
-import re
+from itertools import filterfalse
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-WORD = re.compile(r"[^ \n]+")
-#: White space beyond blank and line feed, where a piece may depend on its neighbours.
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Stands between words that are encoded in one call, where the vocabulary drops white space.
+MARK = "\x01"
+
+#: White space beyond blank and line feed, where a word may depend on its neighbours, and the mark.
+ODD = frozenset([c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + [MARK])
+
+#: Words that are encoded in one call.
+TOGETHER = 512
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, words_only: bool = False) -> Encoder:
+    """The encoder of this Python worker, which later tasks find warm."""
+    if (path, words_only) not in _encoders:
+        _encoders[path, words_only] = Encoder(path, words_only)
+    return _encoders[path, words_only]
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each piece once.
+    """Ids of texts by the tokenizers library, which sees each word once.
 
     The pre-tokenizers of both public vocabularies never join text across a
-    change from a word to white space, so a text's ids are those of its pieces
-    (white space with the word that follows it) in a row. Pieces are encoded by
-    the library and kept as bytes. Texts with unusual white space, or with an
-    added token's string, are encoded in one go.
+    change from a word to white space, so a text's ids are those of its words
+    in a row: a word after a blank is encoded with the blank, a word after a
+    line feed without it, after the id of the line feed (``words_only``: white
+    space has no ids). New words are encoded by the library in one call, with
+    marks between them whose id tells them apart, and kept as bytes. Texts
+    with runs of white space, unusual white space or an added token's string
+    are encoded in one go.
     """
 
-    def __init__(self, path: str, words_only: bool = False, keep: int = 1 << 20) -> None:
+    def __init__(self, path: str, words_only: bool = False, keep: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = (WORD if words_only else PIECE).findall
+        self.words_only = words_only
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.mark = MARK if words_only else "\n"
+        marked = self.library.encode(self.mark, add_special_tokens=False).ids
+        self.simple = len(marked) == 1
+        self.mark_id = marked[0] if marked else -1
+        self.line = np.array(marked, "<u4").tobytes()
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str], known: dict[str, bytes], prefix: str) -> None:
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        between = f" {self.mark} " if self.words_only else self.mark + prefix
+        texts = [prefix + between.join(g) for g in groups]
+        for group, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(group) - 1:
+                raise ValueError("the vocabulary has no id of its own for the mark between words")
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
+                known[word] = raw[4 * at : 4 * cut]
+                at = cut + 1
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _plain(self, text: str) -> bool:
+        if not self.simple or "<|" in text or not ODD.isdisjoint(text):
+            return False
+        if self.words_only:
+            return True
+        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
 
     def batch(self, texts: list[str], end: bytes = b"\0\0\0\0") -> list[bytes]:
         """Little-endian 32-bit ids of each text, followed by ``end``."""
+        split: list[list[list[str]] | None] = []
+        for t in texts:
+            if not self._plain(t):
+                split.append(None)
+            elif self.words_only:
+                split.append([t.split()])
+            else:
+                split.append([line.split(" ") for line in t.split("\n")])
+        if len(self.spaced) + len(self.bare) > self.keep:
+            self.spaced, self.bare = {}, {}
+        spaced, bare = self.spaced, self.bare
+        new: set[str] = set()
+        first: set[str] = set()
+        for lines in split:
+            for words in lines or ():
+                if not self.words_only:
+                    first.add(words[0])
+                new.update(filterfalse(spaced.__contains__, words if self.words_only else words[1:]))
+        if new:
+            self._learn(list(new), spaced, "" if self.words_only else " ")
+        if fresh := [w for w in first if w not in bare]:
+            self._learn(fresh, bare, "")
+        known = spaced.__getitem__
         out: list[bytes] = []
-        for text in texts:
-            if "<|" in text or ODD_SPACE.search(text):
-                out.append(self._encode([text])[0] + end)
-                continue
-            pieces = self.pieces(text)
-            missing = [p for p in set(pieces) if p not in self.known]
-            if missing:
-                if len(self.known) + len(missing) > self.keep:
-                    self.known = {}
-                    missing = list(set(pieces))
-                self.known.update(zip(missing, self._encode(missing), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, pieces)) + end)
+        for text, lines in zip(texts, split, strict=True):
+            if lines is None:
+                out.append(self._encode(text) + end)
+            elif self.words_only:
+                out.append(b"".join(map(known, lines[0])) + end)
+            else:
+                out.append(self.line.join([bare[w[0]] + b"".join(map(known, w[1:])) for w in lines]) + end)
         return out
