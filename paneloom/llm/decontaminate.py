@@ -16,7 +16,7 @@ BLOCKS, WIDTH = 4, 16
 
 def plain_words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
@@ -104,9 +104,8 @@ def contamination(
     spread = items.agg(F.max(F.size("words")), F.collect_set(F.least(F.size("words"), F.lit(shingle)))).first()
     longest, sizes = spread[0] or 1, sorted(spread[1] or [])
     planes = longest.bit_length()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("th"), plain_words(F.col("text")).alias("words")
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     near = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(WIDTH), k)]
     out = None
     for k in sizes:
@@ -123,7 +122,7 @@ def contamination(
 
 def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius: int, planes: int, similarity: float) -> DataFrame:
     lengths = cut_lineage(items.select("size", F.explode("hashes").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes")))
-    shared = base.select("doc_id", "th", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
+    shared = base.select("doc_id", "th", plain_words(F.col("text")).alias("words")).select("doc_id", "th", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
     anchors = shared.join(lengths, "h").select("doc_id", "th", "n", "pos", F.explode("sizes").alias("size")).where("size <= n")
     # the run of window starts that cover an anchor
     runs = anchors.select("doc_id", "th", "size", F.greatest(F.col("pos") + k - F.col("size"), F.lit(0)).alias("lo"), F.least("pos", F.col("n") - F.col("size")).alias("hi"))
@@ -135,9 +134,10 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
         .agg(F.collect_list(F.struct("size", "starts")).alias("wanted"))
     )
     starts = cut_lineage(starts)
-    holders = base.join(starts.withColumnRenamed("doc_id", "id2"), (F.col("doc_id").eqNullSafe(F.col("id2"))) & (base["th"] == starts["th"])).select(
-        "doc_id", base["th"], shingle_hashes(base["words"], k).alias("hashes"), "wanted"
-    )
+    wanted = starts.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "wanted")
+    holders = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
+    # words are cut after the join, for the holders alone
+    holders = holders.select("doc_id", "th", plain_words(F.col("text")).alias("words"), "wanted").select("doc_id", "th", shingle_hashes(F.col("words"), k).alias("hashes"), "wanted")
     holders = holders.select("doc_id", "th", "hashes", F.inline("wanted")).select("doc_id", "th", "size", "hashes", F.explode("starts").alias("start"))
     cut = F.slice("hashes", F.col("start") + 1, F.col("size") - (k - 1))
     windows = holders.select("doc_id", "th", "size", "start", cut.alias("hashes"))
