@@ -135,7 +135,8 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
     )
     starts = cut_lineage(starts)
     wanted = starts.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), "wanted")
-    holders = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
+    # always by merge: a broadcast on small inputs would say nothing about large ones
+    holders = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")))
     # words are cut after the join, for the holders alone
     holders = holders.select("doc_id", "th", plain_words(F.col("text")).alias("words"), "wanted").select("doc_id", "th", shingle_hashes(F.col("words"), k).alias("hashes"), "wanted")
     holders = holders.select("doc_id", "th", "hashes", F.inline("wanted")).select("doc_id", "th", "size", "hashes", F.explode("starts").alias("start"))
@@ -146,7 +147,7 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
     blocks = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)])
     probes = windows.select("doc_id", "th", "size", "start", "fp", F.inline(blocks))
     masks = F.array(*[F.lit(m).cast("long") for m in near])
-    index = (
+    index = cut_lineage(  # written, as Spark can't size a table before it is exploded
         items.select("item_id", "size", F.col("fp").alias("item_fp"), F.inline(blocks))
         .select("item_id", "size", "item_fp", "block", F.col("value").alias("centre"), F.explode(masks).alias("mask"))
         .select("item_id", "size", "item_fp", "block", F.col("centre").bitwiseXOR(F.col("mask")).alias("value"))
@@ -161,7 +162,7 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
     window = windows.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("size").alias("s2"), F.col("start").alias("b2"), "hashes")
     same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("size") == F.col("s2")) & (F.col("start") == F.col("b2"))
     place = ["doc_id", "th", "size", "start", "item_id", "distance"]
-    counted = candidates.join(window, same).select(*place, F.explode("hashes").alias("h")).groupBy(*place, "h").agg(F.count("*").alias("n"))
+    counted = candidates.join(window.hint("merge"), same).select(*place, F.explode("hashes").alias("h")).groupBy(*place, "h").agg(F.count("*").alias("n"))
     weights = items.select("item_id", F.explode("hashes").alias("h")).groupBy("item_id", "h").agg(F.count("*").alias("m"))
     common = counted.join(weights, ["item_id", "h"]).groupBy(*place).agg(F.sum(F.least("n", "m")).alias("common"))
     both = 2 * (F.col("size") - (k - 1))
