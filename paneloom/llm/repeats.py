@@ -269,7 +269,8 @@ def repeat_ranges(
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = cut_lineage(keyed.mapInPandas(_cut(length, gram, batch_bytes), "id long, th long, anchor long, seg long, start int, stop int"))
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the next join stands on exchanges alone and a hot anchor is split
+    shared = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     hits = cut_lineage(found.join(shared, "anchor", "left_semi"))
     contents = cut_lineage(
         hits.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "stop")).alias("one"))
