@@ -124,7 +124,7 @@ def line_dedup(
     # the whole text is one more rare line, so that copies meet their first copy
     seeds = F.array_union(F.transform(marked, lambda z: z["lines"]), F.when(F.size(marked) > 0, F.array(F.col("th").bitwiseXOR(F.lit(1 << 40)))).otherwise(F.array().cast("array<long>")))
     held = base.select("id", "th", F.explode(F.array_distinct(seeds)).alias("line"))
-    owners = (
+    owners = cut_lineage(  # written, so that the next join stands on exchanges alone and a hot line is split
         held.groupBy("line")
         .agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("holders"))
         .where((F.col("holders") > 1) & (F.col("holders") <= F.lit(max(2.0, total * rare_share))))
