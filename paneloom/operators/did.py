@@ -105,6 +105,8 @@ def drdid(df: DataFrame, y0: str, y1: str, d: str, x: Sequence[str] = (), method
     # Standardised covariates: same estimates, well-conditioned steps.
     stats = rows.agg(F.count(F.lit(1)), *[f(f"x{i}") for i in range(k - 1) for f in (F.avg, F.stddev_pop)]).first()
     n = int(stats[0])
+    if not n:
+        raise ValueError("both treated and control units are needed")
     xs: list[Column] = [F.lit(1.0)]
     for i in range(k - 1):
         mean, sd = stats[1 + 2 * i], stats[2 + 2 * i] or 1.0
@@ -124,6 +126,8 @@ def drdid(df: DataFrame, y0: str, y1: str, d: str, x: Sequence[str] = (), method
 
     half = k * (k + 1) // 2
     share = sums(dd)[0] / n
+    if not 0 < share < 1:
+        raise ValueError("both treated and control units are needed")
     gamma = np.zeros(k)
     gamma[0] = np.log(share / (1 - share))
 

@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from paneloom.operators.verbs import lookup
 from paneloom.session import cut_lineage
 
-MAX_PERIODS = 512
 ROWS_PER_BLOCK = 50_000
 _ARRAY = T.ArrayType(T.DoubleType())
 
@@ -198,10 +197,8 @@ class Panel:
             .groupBy("__g", *by, unit)
             .agg(F.min(F.when(F.col(d) > 0, F.col(time))).alias("__onset"), F.map_from_entries(F.collect_list(entry)).alias("__s"))
         )
-        times = series.select(F.explode(F.map_keys("__s")).alias("t")).distinct().limit(MAX_PERIODS + 1).collect()
+        times = series.select(F.explode(F.map_keys("__s")).alias("t")).distinct().collect()
         self.grid = sorted(r[0] for r in times)
-        if len(self.grid) > MAX_PERIODS:
-            raise ValueError(f"more than {MAX_PERIODS} periods")
         at = lambda i: F.array(*[F.try_element_at("__s", F.lit(t).cast(panel.schema[time].dataType))[i] for t in self.grid])
         self.units = series.select(
             "__g", *by, unit, "__onset", at(0).alias("__y"), *[at(1 + i).alias(f"__x{i}") for i in range(self.k)]
@@ -379,7 +376,8 @@ def gsc(
     low, high = (r, r) if isinstance(r, int) else r
     data = Panel(panel, unit, time, y, d, x, by)
     ranks = list(range(low, high + 1)) if cv else [low]
-    ranks = [q for q in ranks if q < data.periods] or [0]
+    if max(ranks) >= data.periods > 0:
+        raise ValueError(f"r = {max(ranks)} needs more than {data.periods} periods")
     moments, models = data.solve(ranks, force)
     errors = data.loo_errors(models)
     if cv:

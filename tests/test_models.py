@@ -314,3 +314,12 @@ def test_bootstrap_interval_and_missing_cells(factor_panel):
     assert abs(again.se - row.se) < 1e-9
     holes = df.where(F.pmod(F.xxhash64("u", "t"), F.lit(15)) > 0)
     assert abs(G.gsc(holes, "u", "t", "y", "d", r=2, cv=False).att_avg.first().att_avg - 2) < 0.2
+
+
+def test_drdid_needs_both_arms(spark):
+    from paneloom.operators import did
+
+    rows = spark.createDataFrame([(1.0, 2.0, 1.0, 0.5), (2.0, 3.0, 1.0, 0.7)], "y0 double, y1 double, d double, x double")
+    for part in (rows, rows.where("false")):
+        with pytest.raises(ValueError, match="control"):
+            did.drdid(part, "y0", "y1", "d", ["x"])

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from paneloom import plans
 
 FOLDER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -38,14 +39,14 @@ def normal(frame):
     return cols, sorted(tuple(text(v) for v in row) for row in frame[cols].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("key", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(plans.oracle_sql()))
 def test_matches_sql(spark, duck, key):
     mine = entry.queries()[key](spark, FOLDER).toPandas()
     theirs = duck.execute(entry.oracle_sql()[key]).df()
     assert normal(mine) == normal(theirs)
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("key", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs_without_sql(spark, key):
     assert entry.queries()[key](spark, FOLDER).count() > 0
 
