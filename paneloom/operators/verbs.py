@@ -66,19 +66,26 @@ def lookup(
 
 
 def enrich_flows(
-    flows: DataFrame, codes: DataFrame, dist: DataFrame, gdp: DataFrame, area: str = "area", sea: DataFrame | None = None
+    flows: DataFrame,
+    codes: DataFrame,
+    dist: DataFrame,
+    gdp: DataFrame,
+    area: str = "area",
+    sea: DataFrame | None = None,
+    measures: Sequence[str] = ("distw",),
 ) -> DataFrame:
     """Attach code, distance and income of both ends of every flow.
 
     All dimension tables are pruned to the needed columns before the join. The
-    suffixes say which end a column describes.
+    suffixes say which end a column describes. ``measures`` are the columns of
+    ``dist`` to take.
     """
     out = flows
     for end in ("exporter", "importer"):
         out = lookup(out, codes, {end: area}, {"region_code": f"{end}_region"})
     if sea is not None:
         out = lookup(out, sea, ["exporter", "importer"], ["seadistance"])
-    out = lookup(out, dist, ["exporter", "importer"], ["distw"])
+    out = lookup(out, dist, ["exporter", "importer"], list(measures))
     for end in ("exporter", "importer"):
         out = lookup(out, gdp, {end: area, "year": "year"}, {"gdp": f"{end}_gdp"})
     return out
@@ -203,33 +210,37 @@ def order_statistics(
     """Values at exact 1-based ranks within each key, for groups of any size.
 
     Every rank is an expression of ``n`` (the group's count of known values, or
-    sum of weights) close to ``share * n``. A mergeable quantile sketch brackets
-    the ranks (weighted rows use the whole range). The bracket is cut in slices
-    of equal width, whose counts combine map-side; only the values of the slice
-    that holds a rank are then counted one by one and put in order. No group is
-    sorted whole, and the result is exact. ``extra`` aggregates of the value ride
-    along on the first pass. Returns keys, n, the extras and one column per rank.
+    sum of weights), best close to ``share * n``. A mergeable quantile sketch
+    gives brackets around ``share`` of doubling width; a group takes the
+    narrowest one that holds its ranks whatever the sketch's error, at the
+    widest its whole range (weighted rows always use that). The bracket is cut
+    in slices of equal width, whose counts combine map-side; only the values of
+    the slice that holds a rank are then counted one by one and put in order. No
+    group is sorted whole, and the result is exact. ``extra`` aggregates of the
+    value ride along on the first pass. Returns keys, n, the extras and one
+    column per rank; a rank outside 1..n gives NULL.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"), w.alias("__w")).where("__v IS NOT NULL")
+    slacks = []
     if weight is None:
-        slack = 4.0 / accuracy
-        ends = F.array(F.lit(max(share - slack, 0.0)), F.lit(min(share + slack, 1.0)))
-        around = F.percentile_approx("__v", ends, accuracy)
-    else:
-        around = F.array(F.min("__v"), F.max("__v"))
+        slacks = [4.0 / accuracy * 2**k for k in range(accuracy.bit_length()) if 4.0 / accuracy * 2**k < max(share, 1 - share)]
+    ends = [end for slack in slacks for end in (max(share - slack, 0.0), min(share + slack, 1.0))]
+    around = F.percentile_approx("__v", ends, accuracy) if ends else F.lit(None).cast("array<double>")
     sketch = rows.withColumn(value, F.col("__v")).groupBy(*keys).agg(
         F.sum("__w").alias("n"), around.alias("__q"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), *extra
     )
-    # Small groups keep their whole range, so rounding of ranks cannot miss the target.
-    whole = F.col("n") <= 1000
     wanted = [f"__rank_{name}" for name in ranks]
-    bounds = sketch.select(
-        *keys,
-        *[r.cast("long").alias(w) for w, r in zip(wanted, ranks.values())],
-        F.when(whole, F.col("__min")).otherwise(F.col("__q")[0]).alias("__lo"),
-        F.when(whole, F.col("__max")).otherwise(F.col("__q")[1]).alias("__hi"),
-    )
+    # How far a rank is from its share, with two errors of the sketch and one row of rounding to spare.
+    off = F.greatest(F.lit(0.0), *[F.abs(r.cast("long") / F.col("n") - F.lit(share)) for r in ranks.values()]) + F.lit(2.0 / accuracy) + 1 / F.col("n")
+    lo, hi = F.col("__min"), F.col("__max")
+    for k, slack in reversed(list(enumerate(slacks))):
+        holds_all = off <= slack
+        if share > slack:
+            lo = F.when(holds_all, F.col("__q")[2 * k]).otherwise(lo)
+        if share + slack < 1:
+            hi = F.when(holds_all, F.col("__q")[2 * k + 1]).otherwise(hi)
+    bounds = sketch.select(*keys, *[r.cast("long").alias(w) for w, r in zip(wanted, ranks.values())], lo.alias("__lo"), hi.alias("__hi"))
     # Slice -1 is everything below the bracket.
     cut = f"CASE WHEN __v < __lo THEN -1 ELSE coalesce(floor(try_divide(__v - __lo, __hi - __lo) * {slices}), 0) END"
     marked = attach(rows, bounds, keys).where("__v <= __hi").withColumn("__slice", F.expr(cut))
@@ -247,9 +258,8 @@ def order_statistics(
     inside = inside.where("__slice >= 0").groupBy(*keys, "__slice", "__base", *wanted, "__v").agg(counts)
     upto = spans(inside, [*keys, "__slice"], "__v", "__base")
     found = upto.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN {holds(r)} THEN __v END)").alias(name) for name, r in zip(ranks, wanted)])
-    out = attach(sketch.drop("__q", "__min", "__max"), found, keys)
-    missed = F.raise_error(F.lit("a rank fell outside its bracket")).cast("double")
-    return out.withColumns({name: F.coalesce(F.col(name), missed) for name in ranks})
+    groups = sketch.drop("__q", "__min", "__max")
+    return lookup(groups, found, list(keys), list(ranks), null_safe=True) if keys else attach(groups, found, keys)
 
 
 def attach(df: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -15,8 +15,8 @@ from paneloom.plans.registry import query, rounded
 from paneloom.sources import panels as P
 
 
-def _values(spark, d, element="Export Value", cells=None):
-    return P.flows(spark, d, cells).where(F.col("element") == element).select("exporter", "importer", "year", "item", "value")
+def _values(spark, d, element="Export Value", cells=None, **limits):
+    return P.flows(spark, d, cells, elements=[element], **limits).select("exporter", "importer", "year", "item", "value")
 
 
 # --- shift-share ------------------------------------------------------------------
@@ -30,17 +30,18 @@ SHARE_CTE = """share AS (SELECT exporter, importer, item, value / nullif(sum(val
 
 @query("exposure_share", "SELECT exporter, importer, item, round(share, 8) AS share FROM share", SHARE_CTE)
 def exposure_share(spark, d):
-    return rounded(SS.exposure_share(_values(spark, d), T0), share=8)
+    return rounded(SS.exposure_share(_values(spark, d, first_year=T0, last_year=T0), T0), share=8)
 
 
 @query("exposure_shift", "SELECT importer, item, round(shift, 4) AS shift FROM shift", SHARE_CTE)
 def exposure_shift(spark, d):
-    return rounded(SS.exposure_shift(_values(spark, d), LEADER, T0), shift=4)
+    return rounded(SS.exposure_shift(_values(spark, d, last_year=T0 + 2), LEADER, T0), shift=4)
 
 
 @query("exposure_index", "SELECT exporter, item, round(exposure, 4) AS exposure FROM expo", SHARE_CTE)
 def exposure_index(spark, d):
-    return rounded(SS.exposure(_values(spark, d, cells=P.staged_cells(spark, d)), LEADER, T0), exposure=4)
+    cells = P.staged_cells(spark, d, last_year=T0 + 2)
+    return rounded(SS.exposure(_values(spark, d, cells=cells), LEADER, T0), exposure=4)
 
 
 @query(
@@ -52,7 +53,8 @@ def exposure_index(spark, d):
 )
 def exposure_wide(spark, d):
     units = P.area_codes(spark, d).select(F.col("area").alias("exporter"))
-    return rounded(SS.exposure_wide(_values(spark, d, cells=P.staged_cells(spark, d)), units, LEADER, T0, ITEMS), **{s: 4 for s in ITEMS.values()})
+    cells = P.staged_cells(spark, d, items=list(ITEMS), last_year=T0 + 2)
+    return rounded(SS.exposure_wide(_values(spark, d, cells=cells), units, LEADER, T0, ITEMS), **{s: 4 for s in ITEMS.values()})
 
 
 @query(
@@ -63,7 +65,7 @@ def exposure_wide(spark, d):
     "ev AS (SELECT * FROM flows WHERE element = 'Export Value' AND item = 'PROMO')",
 )
 def exposure_alt(spark, d):
-    rows = _values(spark, d).where(F.col("item") == SHOCK_ITEM)
+    rows = _values(spark, d, items=[SHOCK_ITEM])
     return rounded(SS.exposure_alt(rows, LEADER, T0, [1998, 1999]), exposure_1998=4, exposure_1999=4)
 
 
@@ -121,7 +123,7 @@ MEASURES = {"Production": "prod", "Import Quantity": "imp_quant", "Export Quanti
    max(CASE WHEN element = 'Export Value' THEN value END) AS ev FROM panel WHERE item = 'PROMO' GROUP BY 1, 2)""",
 )
 def first_order_panel(spark, d):
-    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
+    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM], last_year=SHOCK_YEAR)
     out = SS.first_order_panel(_values(spark, d, "Export Quantity", cells), P.country_panel(spark, d, cells), LEADER, SHOCK_ITEM, 1998, T0, MEASURES)
     return rounded(out, export_diff=4, share=8, **{f"{c}_diff": 4 for c in MEASURES.values()})
 
@@ -148,7 +150,7 @@ def treatment_assign(spark, d):
 )
 def treatment_panel(spark, d):
     cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
-    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Production"))
+    rows = P.country_panel(spark, d, cells, elements=["Production"])
     treated = DID.treatment_assign(_values(spark, d, "Export Quantity", cells), LEADER, SHOCK_ITEM, SHOCK_YEAR)
     covariate = P.income(spark, d).withColumnRenamed("gdp", "x")
     out = DID.treatment_panel(rows, treated, LEADER, SHOCK_YEAR, min_pre=2, covariate=covariate)
@@ -167,7 +169,7 @@ def _strong(spark, d, cells):
 
 
 def _prepost(spark, d):
-    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
+    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM], first_year=T0, last_year=SHOCK_YEAR)
     return V.lookup(prepost(spark, d, cells), _strong(spark, d, cells), {"area": "importer"}, ["treated"])
 
 
@@ -205,7 +207,7 @@ def drdid_nocov(spark, d):
 
 
 def _income_at(spark, d, year, name="gdp"):
-    return P.income(spark, d).where(F.col("year") == year).select("area", F.col("gdp").alias(name))
+    return P.income(spark, d, first_year=year, last_year=year).select("area", F.col("gdp").alias(name))
 
 
 @query("drdid_panel")
@@ -216,10 +218,10 @@ def drdid_panel(spark, d):
 
 @query("drdid_formula")
 def drdid_formula(spark, d):
-    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
-    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == "Import Value"))
+    cells = P.staged_cells(spark, d, items=[SHOCK_ITEM], first_year=T0, last_year=SHOCK_YEAR)
+    rows = P.country_panel(spark, d, cells, elements=["Import Value"])
     rows = V.lookup(rows, _strong(spark, d, cells), {"area": "importer"}, ["treated"])
-    rows = V.lookup(rows, P.income(spark, d), ["area", "year"], ["gdp"])
+    rows = V.lookup(rows, P.income(spark, d, first_year=T0, last_year=SHOCK_YEAR), ["area", "year"], ["gdp"])
     out = DID.drdid_long(rows, "area", "year", "value", "treated", T0, SHOCK_YEAR, ["gdp"])
     return rounded(out, att=4, std_error=4, conf_low=4, conf_high=4)
 
@@ -229,7 +231,7 @@ def drdid_formula(spark, d):
 
 def _synth_panel(spark, d, covariate=False, element="Production"):
     cells = P.staged_cells(spark, d, items=[SHOCK_ITEM])
-    rows = P.country_panel(spark, d, cells).where((F.col("item") == SHOCK_ITEM) & (F.col("element") == element))
+    rows = P.country_panel(spark, d, cells, elements=[element])
     cov = P.income(spark, d).withColumnRenamed("gdp", "x") if covariate else None
     return DID.treatment_panel(rows, _strong(spark, d, cells), LEADER, SHOCK_YEAR, min_pre=2, covariate=cov)
 

@@ -20,7 +20,7 @@ from paneloom.sources import panels as P
 
 
 def _element(spark, d, element, **limits):
-    return P.flows(spark, d, **limits).where(F.col("element") == element)
+    return P.flows(spark, d, elements=[element], **limits)
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -79,7 +79,7 @@ def agg_multi(spark, d):
        GROUP BY 1, 2 HAVING count(value) >= 60""",
 )
 def agg_having(spark, d):
-    rows = _element(spark, d, "Export Value").where((F.col("year") < 1998) & (F.col("item") == SHOCK_ITEM))
+    rows = _element(spark, d, "Export Value", last_year=1997, items=[SHOCK_ITEM])
     return rows.groupBy("exporter", "item").agg(A.count_known("value").alias("nonna")).where(F.col("nonna") >= 60)
 
 
@@ -96,7 +96,7 @@ def agg_of_agg(spark, d):
 
 @query("agg_global", "SELECT CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM panel WHERE element = 'Production'")
 def agg_global(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Production")
+    rows = P.country_panel(spark, d, elements=["Production"])
     return rounded(rows.agg(A.count_rows().alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")), total=4, mean=6)
 
 
@@ -160,7 +160,7 @@ PRODUCTION = "(SELECT area, CAST(year AS BIGINT) AS year, item, value FROM panel
 
 
 def _production(spark, d, cells=None):
-    return P.country_panel(spark, d, cells).where(F.col("element") == "Production").select("area", "year", "item", "value")
+    return P.country_panel(spark, d, cells, elements=["Production"]).select("area", "year", "item", "value")
 
 
 @query("win_lag", f"SELECT area, year, item, round(value, 4) AS value, round(lag(value) OVER (PARTITION BY area, item ORDER BY year), 4) AS lag1 FROM {PRODUCTION}")
@@ -223,7 +223,7 @@ def win_group_share(spark, d):
        WHERE element = 'Export Value'""",
 )
 def win_share_of_reference_row(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Export Value")
+    rows = P.country_panel(spark, d, elements=["Export Value"])
     out = V.share_of_reference_row(rows, "value", "area", "NATION_0", ["year", "item"])
     return rounded(out.select("area", "year", "item", "pct"), year=-1, pct=6)
 
@@ -233,7 +233,7 @@ def win_share_of_reference_row(spark, d):
 
 @query("sort_desc", "SELECT area, round(value, 4) AS value FROM panel WHERE item = 'PROMO' AND element = 'Export Value' AND year = 1998 ORDER BY value DESC")
 def sort_desc(spark, d):
-    rows = P.country_panel(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
+    rows = P.country_panel(spark, d, elements=["Export Value"], items=[SHOCK_ITEM], first_year=1998, last_year=1998)
     return rounded(rows.select("area", "value").orderBy(F.col("value").desc_nulls_last(), "area"), value=4)
 
 
@@ -248,7 +248,7 @@ def sort_multi(spark, d):
     """SELECT area, round(value, 4) AS value FROM panel WHERE item = 'PROMO' AND element = 'Export Value' AND year = 1998 ORDER BY value DESC, area LIMIT 10""",
 )
 def top_k(spark, d):
-    rows = P.country_panel(spark, d, first_year=1998, last_year=1998).where("item = 'PROMO' AND element = 'Export Value'")
+    rows = P.country_panel(spark, d, elements=["Export Value"], items=[SHOCK_ITEM], first_year=1998, last_year=1998)
     return rounded(V.top_k(rows.select("area", "value"), "value", 10, ["area"]), value=4)
 
 
@@ -258,7 +258,8 @@ def top_k(spark, d):
        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4""",
 )
 def top_k_distinct(spark, d):
-    rows = P.country_panel(spark, d).where((F.col("area") == LEADER) & F.col("year").isin(1996, 1998) & (F.col("element") == "Export Value"))
+    rows = P.country_panel(spark, d, elements=["Export Value"], first_year=1996, last_year=1998)
+    rows = rows.where((F.col("area") == LEADER) & F.col("year").isin(1996, 1998))
     return rounded(V.top_k_keys(rows, "item", "value", 4), value=4)
 
 
@@ -361,8 +362,9 @@ def pivot_category(spark, d):
        FROM panel p LEFT JOIN gdp g ON p.area = g.area AND p.year = g.year WHERE item = 'PROMO' AND element = 'Import Value' AND p.year IN (1997, 1998) GROUP BY 1""",
 )
 def pivot_multi_value(spark, d):
-    rows = P.country_panel(spark, d).where("item = 'PROMO' AND element = 'Import Value'")
-    rows = V.lookup(rows, P.income(spark, d), ["area", "year"], ["gdp"])
+    years = {"first_year": 1997, "last_year": 1998}
+    rows = P.country_panel(spark, d, elements=["Import Value"], items=[SHOCK_ITEM], **years)
+    rows = V.lookup(rows, P.income(spark, d, **years), ["area", "year"], ["gdp"])
     out = R.pivot_multi(rows, ["area"], "year", ["value", "gdp"], [1997, 1998])
     return rounded(out, value_1997=4, value_1998=4, gdp_1997=5, gdp_1998=5)
 
@@ -382,7 +384,8 @@ PREPOST_CTE = """prepost AS (SELECT area, coalesce(max(CASE WHEN year = 1997 THE
 
 
 def prepost(spark, d, cells=None):
-    rows = P.country_panel(spark, d, cells).where("item = 'PROMO' AND element = 'Import Value'")
+    rows = P.country_panel(spark, d, cells, elements=["Import Value"], items=[SHOCK_ITEM], first_year=1997, last_year=1998)
+    rows = rows.where(F.col("item") == SHOCK_ITEM)
     return R.pivot_multi(rows, ["area"], "year", ["value"], [1997, 1998]).fillna(0.0)
 
 
@@ -536,8 +539,7 @@ def plot_histogram(spark, d):
        WHERE year = 1998 AND element = 'Export Value' AND ln(distw) BETWEEN 6.5 AND 8""",
 )
 def plot_scatter(spark, d):
-    f = _element(spark, d, "Export Value", first_year=1998, last_year=1998)
-    f = V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"])
+    f = P.with_distance(spark, d, _element(spark, d, "Export Value", first_year=1998, last_year=1998))
     f = f.withColumns({"ldist": S.log_or_null("distw"), "lval": S.log_or_null("value")})
     return rounded(PD.scatter(f, "ldist", "lval", "item", xlim=(6.5, 8.0)), x=6, y=6)
 
@@ -548,8 +550,7 @@ LM_CTE = """pts AS (SELECT item, distw AS x, value AS y FROM flows JOIN dist USI
 
 
 def _quantity_by_distance(spark, d):
-    f = _element(spark, d, "Export Quantity", first_year=1998, last_year=1998)
-    return V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"])
+    return P.with_distance(spark, d, _element(spark, d, "Export Quantity", first_year=1998, last_year=1998))
 
 
 @query(

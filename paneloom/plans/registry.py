@@ -42,7 +42,8 @@ gdp AS (
 dist AS (
   SELECT a.n_name AS exporter, b.n_name AS importer,
          CAST(500 + 100 * abs(a.n_nationkey - b.n_nationkey) + CASE WHEN a.n_regionkey <> b.n_regionkey THEN 1000 ELSE 0 END AS DOUBLE) AS distw
-  FROM nation a CROSS JOIN nation b)
+  FROM nation a CROSS JOIN nation b),
+sea AS (SELECT exporter, importer, 2 * distw AS seadistance FROM dist WHERE distw > 1000)
 """
 
 

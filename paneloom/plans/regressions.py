@@ -48,8 +48,7 @@ GRAVITY_CTE = """grav AS (SELECT exporter, importer, item, year, ln(nullif(value
 
 def _gravity(spark, d, **limits):
     """exporter, importer, item, year, y = log value, x = log distance."""
-    f = P.flows(spark, d, **limits).where(F.col("element") == "Export Value")
-    f = V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"])
+    f = P.with_distance(spark, d, P.flows(spark, d, elements=["Export Value"], **limits))
     return f.select("exporter", "importer", "item", "year", S.log_or_null("value").alias("y"), S.log_or_null("distw").alias("x"))
 
 
@@ -59,7 +58,7 @@ AREA_CTE = """areas AS (SELECT p.area, p.year, p.item, p.value AS y, g.gdp AS x
 
 def _areas(spark, d):
     """area, year, item, y = production, x = income: complete in all three keys."""
-    rows = P.country_panel(spark, d).where(F.col("element") == "Production")
+    rows = P.country_panel(spark, d, elements=["Production"])
     rows = V.lookup(rows, P.income(spark, d), ["area", "year"], ["gdp"], how="inner")
     return rows.select("area", "year", "item", F.col("value").alias("y"), F.col("gdp").alias("x"))
 
@@ -378,9 +377,9 @@ def fe_recover(spark, d):
 
 @query("join_fixed_effects")
 def join_fixed_effects(spark, d):
-    g = _gravity(spark, d, first_year=1998, last_year=1998).where(F.col("item") == SHOCK_ITEM)
+    g = _gravity(spark, d, first_year=1998, last_year=1998, items=[SHOCK_ITEM])
     effects = FX.fixef(g, "y", ["x"], ["exporter", "importer"])
-    income = P.income(spark, d).where(F.col("year") == 1997).withColumn("lgdp", S.log_or_null("gdp")).select("area", "lgdp")
+    income = P.income(spark, d, first_year=1997, last_year=1997).withColumn("lgdp", S.log_or_null("gdp")).select("area", "lgdp")
     out = V.lookup(income, effects.where(F.col("fe") == "exporter"), {"area": "level"}, {"effect": "exporter_fe"})
     out = V.lookup(out, effects.where(F.col("fe") == "importer"), {"area": "level"}, {"effect": "importer_fe"})
     return rounded(out, lgdp=6, exporter_fe=6, importer_fe=6)

@@ -8,7 +8,7 @@ from paneloom.functions import aggregates as A
 from paneloom.functions import scalars as S
 from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
-from paneloom.plans.common import ITEMS, LEADER, SHOCK_ITEM
+from paneloom.plans.common import ITEMS, LEADER, SHOCK_ITEM, SHOCK_YEAR
 from paneloom.plans.registry import query, rounded
 from paneloom.session import new_folder
 from paneloom.sources import files
@@ -89,7 +89,7 @@ def normalise_columns(spark, d):
 
 @query("select_columns", "SELECT exporter, importer, CAST(year AS BIGINT) AS year, round(value, 4) AS amount FROM flows WHERE element = 'Export Value'")
 def select_columns(spark, d):
-    rows = P.flows(spark, d).where(F.col("element") == "Export Value")
+    rows = P.flows(spark, d, elements=["Export Value"])
     return rounded(rows.select("exporter", "importer", "year", F.col("value").alias("amount")), year=-1, amount=4)
 
 
@@ -158,15 +158,14 @@ def filter_range(spark, d):
 
 
 GRID_CTES = """links AS (
-  SELECT a.n_name AS exporter, b.importer, f.value FROM nation a CROSS JOIN (SELECT n_name AS importer FROM nation) b
-  LEFT JOIN (SELECT * FROM flows WHERE element = 'Export Value' AND item = 'PROMO' AND year = 1998) f
-    ON f.exporter = a.n_name AND f.importer = b.importer)"""
+  SELECT p.exporter, p.importer, f.value FROM (SELECT DISTINCT exporter, importer FROM flows) p
+  LEFT JOIN (SELECT * FROM flows WHERE element = 'Export Value' AND item = 'PROMO' AND year = 1998) f USING (exporter, importer))"""
 
 
 def _link_grid(spark, d):
-    """Every pair of areas with its 1998 value of the shock item, NULL where there is no link."""
-    f = P.flows(spark, d, first_year=1998, last_year=1998).where("element = 'Export Value' AND item = 'PROMO'")
-    return V.lookup(P.distances(spark, d).select("exporter", "importer"), f, ["exporter", "importer"], ["value"])
+    """Every pair of areas that ever trades, with its 1998 value of the shock item, NULL where there is none."""
+    value = F.when((F.col("item") == SHOCK_ITEM) & (F.col("year") == SHOCK_YEAR), F.col("exp_val"))
+    return P.flow_cells(spark, d).groupBy("exporter", "importer").agg(F.max(value).alias("value"))
 
 
 @query("filter_not_null", "SELECT exporter, importer, round(value, 4) AS value FROM links WHERE value IS NOT NULL", GRID_CTES)
@@ -200,7 +199,7 @@ def _classified(spark, d):
         WHERE code % 100 = 0 AND element = 'Export Value' GROUP BY 1, 2""",
 )
 def filter_modulo(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Export Value")
+    rows = P.country_panel(spark, d, elements=["Export Value"])
     rows = V.lookup(rows, _classified(spark, d), ["area"], ["code"]).where(F.pmod("code", F.lit(100)) == 0)
     return rounded(rows.groupBy("code", "year").agg(F.sum("value").alias("total")), code=-1, year=-1, total=4)
 
@@ -219,7 +218,7 @@ def drop_aggregate_areas(spark, d):
     k = F.col("area_code")
     code = F.when(k == 0, 252).when(k == 1, 254).when(k == 2, 5000).when(k == 4, 5100).when(k == 5, None).otherwise(k)
     codes = P.area_codes(spark, d).select("area", code.alias("code"))
-    f = P.flows(spark, d).where(F.col("element") == "Export Value")
+    f = P.flows(spark, d, elements=["Export Value"])
     f = V.lookup(f, codes, {"exporter": "area"}, {"code": "reporter_code"})
     f = V.lookup(f, codes, {"importer": "area"}, {"code": "partner_code"})
     kept = V.drop_aggregate_areas(f, ["reporter_code", "partner_code"])
@@ -231,7 +230,7 @@ def drop_aggregate_areas(spark, d):
     "SELECT area, CAST(year AS BIGINT) AS year, item, round(value, 4) AS value FROM panel WHERE element = 'Production' AND area <> 'NATION_3'",
 )
 def exclude_unit(spark, d):
-    rows = V.exclude_unit(P.country_panel(spark, d).where(F.col("element") == "Production"), "area", LEADER)
+    rows = V.exclude_unit(P.country_panel(spark, d, elements=["Production"]), "area", LEADER)
     return rounded(rows.select("area", "year", "item", "value"), year=-1, value=4)
 
 
@@ -241,7 +240,7 @@ def exclude_unit(spark, d):
        FROM flows WHERE element = 'Export Value' GROUP BY 1, 2""",
 )
 def replace_code(spark, d):
-    f = P.flows(spark, d).where(F.col("element") == "Export Value")
+    f = P.flows(spark, d, elements=["Export Value"])
     f = f.withColumn("exporter", F.when(F.col("exporter") == "NATION_7", "NATION_8").otherwise(F.col("exporter")))
     return rounded(f.groupBy("exporter", "item").agg(F.sum("value").alias("total")), total=4)
 
@@ -280,13 +279,17 @@ def join_left_multi(spark, d):
     "join_role_playing",
     """SELECT exporter, importer, CAST(flows.year AS BIGINT) AS year, item, element, round(value, 4) AS value,
               CAST(a.n_regionkey AS BIGINT) AS exporter_region, CAST(b.n_regionkey AS BIGINT) AS importer_region,
-              distw, round(ga.gdp, 5) AS exporter_gdp, round(gb.gdp, 5) AS importer_gdp
+              distw, 1.25 * distw AS distcap, CASE WHEN exporter <> importer THEN 0.75 * distw END AS distwces, seadistance, round(ga.gdp, 5) AS exporter_gdp, round(gb.gdp, 5) AS importer_gdp
        FROM flows LEFT JOIN nation a ON exporter = a.n_name LEFT JOIN nation b ON importer = b.n_name LEFT JOIN dist USING (exporter, importer)
+       LEFT JOIN sea USING (exporter, importer)
        LEFT JOIN gdp ga ON ga.area = exporter AND ga.year = flows.year LEFT JOIN gdp gb ON gb.area = importer AND gb.year = flows.year""",
 )
 def join_role_playing(spark, d):
-    f = P.flows(spark, d).drop("exporter_code", "importer_code")
-    rows = V.enrich_flows(f, P.area_codes(spark, d), P.distances(spark, d), P.income(spark, d))
+    cells = P.staged_cells(spark, d)
+    f = P.flows(spark, d, cells).drop("exporter_code", "importer_code")
+    dist = P.distances(spark, d, cells).withColumn("distwces", S.to_number("distwces"))
+    sea = P.sea_distances(spark, d, cells)
+    rows = V.enrich_flows(f, P.area_codes(spark, d), dist, P.income(spark, d), sea=sea, measures=["distw", "distcap", "distwces"])
     return rounded(rows, year=-1, value=4, exporter_region=-1, importer_region=-1, exporter_gdp=5, importer_gdp=5)
 
 
@@ -296,8 +299,8 @@ def join_role_playing(spark, d):
        FROM flows LEFT JOIN dist USING (exporter, importer) WHERE element = 'Export Quantity'""",
 )
 def join_prune_then_join(spark, d):
-    f = P.flows(spark, d).where(F.col("element") == "Export Quantity").select("exporter", "importer", "year", "item", "value")
-    return rounded(V.lookup(f, P.distances(spark, d), ["exporter", "importer"], ["distw"]), year=-1, value=4)
+    f = P.flows(spark, d, elements=["Export Quantity"]).select("exporter", "importer", "year", "item", "value")
+    return rounded(P.with_distance(spark, d, f), year=-1, value=4)
 
 
 @query(
@@ -335,7 +338,7 @@ def semi_join_list(spark, d):
     cells = P.staged_cells(spark, d)
     f = P.flows(spark, d, cells)
     traded = f.where((F.col("exporter") == LEADER) & (F.col("importer") == "NATION_5") & (F.col("year") == 1998)).select("item").distinct()
-    rows = P.country_panel(spark, d, cells).where(F.col("element") == "Production").join(traded, "item", "left_semi")
+    rows = P.country_panel(spark, d, cells, elements=["Production"]).join(traded, "item", "left_semi")
     return rounded(rows.select("area", "year", "item", "value"), year=-1, value=4)
 
 
@@ -346,7 +349,7 @@ def semi_join_list(spark, d):
 )
 def anti_join_list(spark, d):
     out_list = P.area_codes(spark, d).where(F.col("region_code") == 2).select("area_code")
-    rows = P.country_panel(spark, d).where(F.col("element") == "Production").join(out_list, "area_code", "left_anti")
+    rows = P.country_panel(spark, d, elements=["Production"]).join(out_list, "area_code", "left_anti")
     return rounded(rows.select("area", "year", "item", "value"), year=-1, value=4)
 
 
@@ -384,7 +387,7 @@ def fn_arith_price(spark, d):
               CAST(year AS BIGINT) AS year, round(sum(value), 4) AS total FROM flows WHERE element = 'Export Value' GROUP BY 1, 2""",
 )
 def fn_case_label(spark, d):
-    f = P.flows(spark, d).where(F.col("element") == "Export Value").withColumn("label", S.label("item", ITEMS))
+    f = P.flows(spark, d, elements=["Export Value"]).withColumn("label", S.label("item", ITEMS))
     return rounded(f.groupBy("label", "year").agg(F.sum("value").alias("total")), year=-1, total=4)
 
 
@@ -413,7 +416,7 @@ def fn_case_multi(spark, d):
         FROM panel JOIN (SELECT n_name, {CODE_SQL} AS code FROM nation) c ON area = n_name WHERE element = 'Export Value' GROUP BY 1, 2, 3""",
 )
 def fn_case_range(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Export Value")
+    rows = P.country_panel(spark, d, elements=["Export Value"])
     rows = rows.groupBy("area").agg(F.sum("value").alias("total"))
     rows = V.lookup(rows, _classified(spark, d), ["area"], ["code"])
     rows = rows.withColumn("continent", S.range_label("code", S.CONTINENT_CODE_RANGES))
@@ -476,19 +479,18 @@ def fn_remove_first(spark, d):
     "SELECT CAST(year AS BIGINT) AS year, round(sum(value), 4) AS total FROM panel WHERE element = 'Production' GROUP BY 1",
 )
 def fn_replace_prefix(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Production").withColumn("name", F.concat(F.lit("y"), F.col("year")))
+    rows = P.country_panel(spark, d, elements=["Production"]).withColumn("name", F.concat(F.lit("y"), F.col("year")))
     return rounded(rows.groupBy(S.year_of("name").alias("year")).agg(F.sum("value").alias("total")), year=-1, total=4)
 
 
 @query(
     "fn_try_numeric",
     """SELECT exporter, importer, TRY_CAST(CASE WHEN exporter = importer THEN 'NA' ELSE CAST(distw AS VARCHAR) END AS DOUBLE) AS distw
-       FROM dist WHERE exporter IN (SELECT exporter FROM flows)""",
+       FROM dist JOIN (SELECT DISTINCT exporter, importer FROM flows) USING (exporter, importer)""",
 )
 def fn_try_numeric(spark, d):
     text = F.when(F.col("exporter") == F.col("importer"), "NA").otherwise(F.col("distw").cast("string"))
-    seen = P.flows(spark, d).select("exporter").distinct()
-    return P.distances(spark, d).join(seen, "exporter", "left_semi").select("exporter", "importer", S.to_number(text).alias("distw"))
+    return P.distances(spark, d, P.flow_cells(spark, d)).select("exporter", "importer", S.to_number(text).alias("distw"))
 
 
 @query("fn_lower", "SELECT lower(item) AS item, CAST(count(*) AS BIGINT) AS n FROM panel GROUP BY 1")
@@ -503,7 +505,7 @@ def fn_length(spark, d):
 
 @query("fn_negate", "SELECT area, CAST(year AS BIGINT) AS year, round(-sum(value), 4) AS minus FROM panel WHERE element = 'Import Value' GROUP BY 1, 2")
 def fn_negate(spark, d):
-    rows = P.country_panel(spark, d).where(F.col("element") == "Import Value")
+    rows = P.country_panel(spark, d, elements=["Import Value"])
     return rounded(rows.groupBy("area", "year").agg((-F.sum("value")).alias("minus")), year=-1, minus=4)
 
 

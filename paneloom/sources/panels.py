@@ -90,10 +90,16 @@ def staged_cells(spark: SparkSession, folder: str, **limits) -> DataFrame:
     return cut_lineage(flow_cells(spark, folder, **limits))
 
 
-def flows(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
-    """Long bilateral panel with export elements."""
+def flows(
+    spark: SparkSession, folder: str, cells: DataFrame | None = None, elements: Sequence[str] | None = None, **limits
+) -> DataFrame:
+    """Long bilateral panel with export elements; measures of unwanted elements are not summed."""
     cells = flow_cells(spark, folder, **limits) if cells is None else cells
-    return _long(cells, {"exp_val": "Export Value", "exp_quant": "Export Quantity"})
+    names = {"exp_val": "Export Value", "exp_quant": "Export Quantity"}
+    if elements is not None:
+        cells = cells.drop(*[c for c, text in names.items() if text not in elements])
+        names = {c: text for c, text in names.items() if text in elements}
+    return _long(cells, names)
 
 
 def mirrored_flows(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
@@ -122,27 +128,33 @@ def mirrored_flows(spark: SparkSession, folder: str, cells: DataFrame | None = N
     return cells.select("year", "item", F.inline(entries))
 
 
-def country_panel(spark: SparkSession, folder: str, cells: DataFrame | None = None, **limits) -> DataFrame:
-    """Long country panel: production and the four trade elements per area, year and item."""
+def country_panel(
+    spark: SparkSession, folder: str, cells: DataFrame | None = None, elements: Sequence[str] | None = None, **limits
+) -> DataFrame:
+    """Long country panel: production and the four trade elements per area, year and item.
+
+    Only the wanted elements are built; measures that none of them needs are not summed.
+    """
     cells = flow_cells(spark, folder, **limits) if cells is None else cells
     abroad = F.col("exporter") != F.col("importer")
 
-    def entry(side: str, element: str, value: Column) -> Column:
+    def entry(side: str, element: str, value: str) -> Column:
         return F.struct(
-            F.col(side).alias("area"), F.col(f"{side}_code").alias("area_code"), F.lit(element).alias("element"), value.alias("value")
+            F.col(side).alias("area"), F.col(f"{side}_code").alias("area_code"), F.lit(element).alias("element"), F.col(value).alias("value")
         )
 
-    val, quant = F.col("exp_val"), F.col("exp_quant")
-    entries = F.when(
-        abroad,
-        F.array(
-            entry("exporter", "Production", quant),
-            entry("exporter", "Export Quantity", quant),
-            entry("exporter", "Export Value", val),
-            entry("importer", "Import Quantity", quant),
-            entry("importer", "Import Value", val),
-        ),
-    ).otherwise(F.array(entry("exporter", "Production", quant)))
+    trade = {
+        "Export Quantity": ("exporter", "exp_quant"),
+        "Export Value": ("exporter", "exp_val"),
+        "Import Quantity": ("importer", "exp_quant"),
+        "Import Value": ("importer", "exp_val"),
+    }
+    traded = [entry(side, name, value) for name, (side, value) in trade.items() if elements is None or name in elements]
+    if elements is None or "Production" in elements:
+        made = entry("exporter", "Production", "exp_quant")
+        entries = F.when(abroad, F.array(made, *traded)).otherwise(F.array(made)) if traded else F.array(made)
+    else:
+        cells, entries = cells.where(abroad), F.array(*traded)
     return (
         cells.select("year", "item", F.inline(entries))
         .groupBy("area", "area_code", "year", "item", "element")
@@ -150,11 +162,11 @@ def country_panel(spark: SparkSession, folder: str, cells: DataFrame | None = No
     )
 
 
-def income(spark: SparkSession, folder: str) -> DataFrame:
+def income(spark: SparkSession, folder: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
     """Income proxy per area and year (thousands)."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     return (
-        table(spark, folder, "orders")
-        .select("o_custkey", "o_totalprice", "o_orderdate")
+        _within_years(orders, "o_orderdate", first_year, last_year)
         .join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", F.year("o_orderdate").alias("year"))
         .agg(F.sum("o_totalprice").alias("total"))
@@ -163,26 +175,38 @@ def income(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def distances(spark: SparkSession, folder: str) -> DataFrame:
-    """Distance between the two areas of every pair that trades or could trade.
+def with_distance(spark: SparkSession, folder: str, rows: DataFrame, name: str = "distw") -> DataFrame:
+    """Add the distance between exporter and importer, from the attributes of the two ends.
 
-    The fixed dimension table of areas is paired with itself; the table has one
-    row per pair of areas, like the distance files it stands for.
+    Only ends of given rows meet the area table; no pair is made that does not
+    trade. Ends that are no known area give NULL.
     """
     nation = table(spark, folder, "nation")
-    areas = nation.select("n_name", "n_nationkey", "n_regionkey")
-    a = areas.toDF("exporter", "a_key", "a_region")
-    b = areas.agg(F.collect_list(F.struct("n_name", "n_nationkey", "n_regionkey")).alias("ends")).scalar()
-    return a.select("exporter", "a_key", "a_region", F.inline(b)).select(
-        "exporter",
-        F.col("n_name").alias("importer"),
-        (
-            500
-            + 100 * F.abs(F.col("a_key") - F.col("n_nationkey"))
-            + F.when(F.col("a_region") != F.col("n_regionkey"), 1000).otherwise(0)
-        )
-        .cast("double")
-        .alias("distw"),
+    out = rows
+    for end in ("exporter", "importer"):
+        ends = nation.select(F.col("n_name").alias(end), F.col("n_nationkey").alias(f"__{end}_key"), F.col("n_regionkey").alias(f"__{end}_region"))
+        out = out.join(ends, end, "left")
+    apart = F.when(F.col("__exporter_region") != F.col("__importer_region"), 1000).otherwise(0)
+    distance = 500 + 100 * F.abs(F.col("__exporter_key") - F.col("__importer_key")) + apart
+    return out.select(*rows.columns, distance.cast("double").alias(name))
+
+
+def distances(spark: SparkSession, folder: str, pairs: DataFrame) -> DataFrame:
+    """Distance table: one row per pair of areas that occurs in ``pairs``.
+
+    ``distw`` and ``distcap`` are numbers; ``distwces`` is text, "." within an area.
+    """
+    pairwise = with_distance(spark, folder, pairs.select("exporter", "importer").distinct())
+    weighted = F.when(F.col("exporter") == F.col("importer"), ".").otherwise((F.col("distw") * 0.75).cast("string"))
+    return pairwise.withColumns({"distcap": F.col("distw") * 1.25, "distwces": weighted})
+
+
+def sea_distances(spark: SparkSession, folder: str, pairs: DataFrame) -> DataFrame:
+    """Sea distance of the pairs in ``pairs`` that are farther apart than 1000; others have no sea route."""
+    return (
+        with_distance(spark, folder, pairs.select("exporter", "importer").distinct())
+        .where("distw > 1000")
+        .select("exporter", "importer", (F.col("distw") * 2).alias("seadistance"))
     )
 
 

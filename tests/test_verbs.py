@@ -99,6 +99,17 @@ def test_order_statistics_are_exact(spark, kind):
     assert {r.g: r.k for r in out} == {u: np.sort(v[g == u])[(np.sum(g == u) + 1) // 2 - 1] for u in ("hot", "rest")}
 
 
+def test_order_statistics_of_small_groups_take_the_same_path(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"g{n}": n for n in (1, 2, 3, 10, 999, 1000, 1001, 5000)}
+    values = {g: np.round(rng.normal(size=n), 1) for g, n in sizes.items()}
+    df = spark.createDataFrame(pd.DataFrame([(g, float(x)) for g, v in values.items() for x in v], columns=["g", "v"])).repartition(3)
+    n = F.col("n")
+    ranks = {"low": F.lit(1), "k": F.floor((n + 1) / 2), "high": n, "out": n + 1}
+    out = {r.g: (r.low, r.k, r.high, r.out) for r in V.order_statistics(df, ["g"], "v", 0.5, ranks, accuracy=500).collect()}
+    assert out == {g: (v.min(), np.sort(v)[(len(v) + 1) // 2 - 1], v.max(), None) for g, v in values.items()}
+
+
 def test_summary_stats(spark):
     pdf = pd.DataFrame({"a": [1.0, 2.0, np.nan, 10.0], "b": [5.0, np.nan, np.nan, 5.0]})
     df = spark.createDataFrame([(1.0, 5.0), (2.0, None), (None, None), (10.0, 5.0)], "a double, b double")
