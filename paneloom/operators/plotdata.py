@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from paneloom.functions.distributions import t_quantile
 from paneloom.functions.scalars import ratio
 from paneloom.operators.reshape import price_long
-from paneloom.operators.verbs import attach, order_statistics, quoted
+from paneloom.operators.verbs import attach, lookup, order_statistics, quoted
+from paneloom.session import cut_lineage
 
 Limits = tuple[float, float] | None
 
@@ -136,7 +137,9 @@ def smooth_loess(
     Rows with the same x are summed first (distances repeat in every year and
     item). Each distinct x then meets the n grid points of its facet and is
     summed map-side to weighted moments per point. The bandwidth of a point is
-    the exact distance to its nearest ``span`` share of the rows.
+    the exact distance to its nearest ``span`` share of the rows; where no row
+    lies strictly inside (many rows at one x), it is the next larger distance.
+    Every facet gets all n points; y is NULL where all rows are at one distance.
     """
     rows = _limited(df.select(*facet, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), "__x", xlim, "__y", ylim)
     rows = rows.groupBy(*facet, "__x").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__sy"))
@@ -144,7 +147,10 @@ def smooth_loess(
     met = _grid(attach(rows, ends, facet), facet, n).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
     keys = [*facet, "point", "x"]
     rank = F.greatest(F.floor(F.col("n") * span + 1e-5), F.lit(1))
-    reach = order_statistics(met, keys, "__d", span, {"__h": rank}, weight="__n", slices=512).drop("n")
+    nearest = F.min("__d").alias("__least")
+    reach = cut_lineage(order_statistics(met, keys, "__d", span, {"__h": rank}, [nearest], weight="__n", slices=512).drop("n"))
+    empty = attach(met, reach.where("__least >= __h"), keys).where("__d > __h").groupBy(*keys).agg(F.min("__d").alias("__next"))
+    reach = lookup(reach, empty, keys, ["__next"], null_safe=True).select(*keys, F.coalesce("__next", "__h").alias("__h"))
     # Offsets in units of the bandwidth keep the moments well scaled.
     near = attach(met, reach, keys).where("__d < __h").selectExpr(
         *map(quoted, keys), "__n", "__sy", "(__x - x) / __h AS __u", "pow(1 - pow(__d / __h, 3), 3) AS __w"
@@ -164,7 +170,7 @@ def smooth_loess(
             fit = np.einsum("gij,gj->gi", np.linalg.pinv(a, hermitian=True), b)[:, 0]
             yield pdf[keys].assign(y=fit)
 
-    return sums.mapInPandas(solve, schema)
+    return lookup(reach.select(*keys), sums.mapInPandas(solve, schema), keys, ["y"], null_safe=True)
 
 
 def coef_series(coefs: DataFrame, term: str, time: str, keys: Sequence[str] = ()) -> DataFrame:

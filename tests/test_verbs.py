@@ -176,6 +176,16 @@ def test_loess(spark):
     assert np.allclose(out["y"], want, atol=1e-8)
 
 
+def test_loess_returns_every_point(spark):
+    heavy = [("heavy", 5.0, float(i)) for i in range(90)] + [("heavy", float(i), 2.0) for i in range(10) if i != 5]
+    df = spark.createDataFrame(heavy + [("one", 3.0, 1.0), ("one", 3.0, 2.0)], "f string, x double, y double").repartition(3)
+    out = PD.smooth_loess(df, "x", "y", n=10, facet=["f"]).toPandas()
+    assert out.groupby("f").size().to_dict() == {"heavy": 10, "one": 10}
+    assert out[out.f == "heavy"].y.notna().all() and out[out.f == "one"].y.isna().all()
+    at = out[(out.f == "heavy") & (out.x == 5.0)].y.item()  # nothing but the tied rows lies inside the next distance
+    assert abs(at - 44.5) < 1e-9
+
+
 def test_axis_limits_come_first(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (4.0, 1000.0)], "x double, y double")
     line = PD.smooth_lm(df, "x", "y", n=3, ylim=(0.0, 10.0)).orderBy("point").collect()
