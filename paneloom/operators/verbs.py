@@ -187,9 +187,10 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement: the n smallest seeded hashes of the row key.
 
-    The draw depends on keys and seed only, not on partitioning.
+    The draw is the MD5 of seed and keys as text, so it does not depend on
+    partitioning and other engines draw the same rows.
     """
-    draw = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.withColumn("__draw", draw).orderBy("__draw", *keys).limit(n).drop("__draw")
 
 
