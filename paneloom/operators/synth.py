@@ -1,13 +1,14 @@
 """Generalised synthetic control: interactive fixed effects for treated panels.
 
 Data model: one row per (group, unit) holding the unit's series as arrays on the
-common time grid. Rows stay distributed. What the factor model needs from the
-controls is one moment table per group (count, mean and scatter of the stacked
-series, at most a few hundred numbers squared), built by partition-wise partial
-moments that are merged on the executors. The driver sees these moments only
-and solves the T x T eigenproblems; factors go back to the rows in closures.
+time grid of its group. Rows stay distributed. What the factor model needs from
+the controls is one moment table per group (count, mean and scatter of the
+stacked series), built from per-task partial moments in strips of matrix rows
+that are merged on the executors. The T x T eigenproblems are solved there too,
+one (group, rank) per call; models are a table that is joined to the rows, so
+the driver sees neither moments nor models, however many groups there are.
 Unbalanced controls are filled by expectation-maximisation rounds, each one
-distributed pass.
+distributed pass over the groups that have not settled.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.operators.verbs import lookup
 from paneloom.session import cut_lineage
 
-ROWS_PER_BLOCK = 50_000
+#: Matrix rows of one strip of a moment matrix, and numbers a task holds before it hands partial moments on.
+STRIP = 32
+HELD_NUMBERS = 1 << 24
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -70,7 +73,7 @@ class Factors:
         return np.concatenate([ones, self.f], axis=1)
 
 
-def solve_factors(m: Moments, periods: int, r: int, force: str, tol: float = 1e-12, max_iter: int = 2000) -> Factors:
+def solve_factors(m: Moments, periods: int, r: int, force: str, tol: float = 1e-11, max_iter: int = 5000) -> Factors:
     """Factor model of the controls from their moments alone.
 
     With covariates the slopes and the factors are updated in turn; both steps
@@ -103,13 +106,15 @@ def solve_factors(m: Moments, periods: int, r: int, force: str, tol: float = 1e-
     f = top(beta)
     if k:
         beta = slopes(np.zeros((periods, 0)))
-        for _ in range(max_iter if r else 1):
+        for _ in range(max_iter):
             f = top(beta)
             new = slopes(f)
             moved = np.max(np.abs(new - beta) / np.maximum(np.abs(beta), 1e-12))
             beta = new
-            if moved < tol:
+            if moved < tol or not r:
                 break
+        else:
+            raise RuntimeError(f"covariate slopes did not settle in {max_iter} rounds")
         f = top(beta)
     parts = mean.reshape(k + 1, periods)
     xi = parts[0] - (beta @ parts[1:] if k else 0.0) if force == "two-way" else np.zeros(periods)
@@ -163,146 +168,226 @@ def _fill(z: np.ndarray, model: Factors | None) -> np.ndarray:
     return out
 
 
-_PARTIAL = T.StructType().add("__g", "string").add("__r", "integer").add("__n", "long").add("__mean", _ARRAY).add("__scatter", _ARRAY)
+_MODEL = ["__xi", "__f", "__beta"]
 
 
-def _row(g: str, r: int, m: Moments) -> dict:
-    return {"__g": g, "__r": r, "__n": m.n, "__mean": m.mean, "__scatter": m.scatter.ravel()}
+def _schema(text: str) -> str:
+    return text.replace(" array", " array<double>")
 
 
-def _read(row) -> Moments:
+def _model(row, unit_effect: bool) -> Factors:
+    xi = np.asarray(row["__xi"], dtype=float)
+    return Factors(xi, np.asarray(row["__f"], dtype=float).reshape(len(xi), -1), np.asarray(row["__beta"], dtype=float), unit_effect)
+
+
+def _moments_of(row) -> Moments:
     mean = np.asarray(row["__mean"], dtype=float)
     return Moments(int(row["__n"]), mean, np.asarray(row["__scatter"], dtype=float).reshape(mean.size, mean.size))
 
 
-def _merge_frame(pdf: pd.DataFrame) -> Moments:
-    total = None
-    for row in pdf.to_dict("records"):
-        m = _read(row)
-        total = m if total is None else total.merge(m)
-    return total
+def _strips(found: dict[tuple, Moments], keys: Sequence[str]) -> pd.DataFrame:
+    rows = []
+    for key, m in found.items():
+        for s in range(0, m.mean.size, STRIP):
+            part = m.scatter[s : s + STRIP].ravel()
+            rows.append({**dict(zip(keys, key)), "__s": s, "__n": m.n, "__mean": m.mean, "__part": part})
+    return pd.DataFrame(rows)
+
+
+def _strip_schema(second: str) -> str:
+    return _schema(f"__g string,{second} int,__s int,__n long,__mean array,__part array")
+
+
+def moment_strips(rows: DataFrame, second: str, stack) -> DataFrame:
+    """Moments of the series of every (``__g``, ``second``), in strips of matrix rows.
+
+    ``stack`` makes the (rows x numbers) matrix of one part of a batch. A task
+    merges its own rows and hands over when it holds many numbers; each strip
+    of each matrix is then merged by itself, so no call holds a pile of whole
+    matrices.
+    """
+    keys = ["__g", second]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, Moments] = {}
+        held = 0
+        for pdf in batches:
+            for key, part in pdf.groupby(keys):
+                m = block_moments(stack(part))
+                held += 0 if key in found else m.scatter.size
+                found[key] = found[key].merge(m) if key in found else m
+                if held > HELD_NUMBERS:
+                    yield _strips(found, keys)
+                    found, held = {}, 0
+        if found:
+            yield _strips(found, keys)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = 0, int(key[2])
+        for more, other, part in zip(pdf["__n"], pdf["__mean"], pdf["__part"]):
+            if n == 0:
+                n, mean, total = int(more), np.array(other), np.array(part)
+                continue
+            gap = np.asarray(other) - mean
+            total += part + np.outer(gap[s : s + STRIP], gap).ravel() * (n * more / (n + more))
+            mean += gap * (more / (n + more))
+            n += int(more)
+        return pd.DataFrame([{"__g": key[0], second: int(key[1]), "__s": s, "__n": n, "__mean": mean, "__part": total}])
+
+    return rows.mapInPandas(partial, _strip_schema(second)).groupBy("__g", second, "__s").applyInPandas(merge, _strip_schema(second))
+
+
+def _join_strips(pdf: pd.DataFrame) -> Moments:
+    pdf = pdf.sort_values("__s")
+    mean = np.asarray(pdf["__mean"].iloc[0], dtype=float)
+    return Moments(int(pdf["__n"].iloc[0]), mean, np.concatenate(pdf["__part"].to_list()).reshape(mean.size, mean.size))
+
+
+_STATE = _schema("__g string,__r int,__n long,__mean array,__scatter array,__xi array,__f array,__beta array,__settled boolean")
+
+
+def _state_row(g: str, r: int, m: Moments, model: Factors, settled: bool) -> pd.DataFrame:
+    named = {"__g": g, "__r": r, "__n": m.n, "__mean": m.mean, "__scatter": m.scatter.ravel()}
+    return pd.DataFrame([{**named, "__xi": model.xi, "__f": model.f.ravel(), "__beta": model.beta, "__settled": settled}])
 
 
 class Panel:
-    """Unit rows of a treatment panel on a common time grid."""
+    """Unit rows of a treatment panel, each on the time grid of its group."""
 
     def __init__(self, panel: DataFrame, unit: str, time: str, y: str, d: str, x: Sequence[str] = (), by: Sequence[str] = ()):
         self.unit, self.time, self.by, self.k = unit, time, list(by), len(x)
         g = F.to_json(F.struct(*by)) if by else F.lit("")
-        values = [F.col(c).cast("double") for c in (y, *x)]
+        values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (y, *x)]
         # One entry per period of the unit; a repeated period is an error.
         entry = F.struct(F.col(time).alias("key"), F.array(*values).alias("value"))
         series = cut_lineage(
             panel.withColumn("__g", g)
             .groupBy("__g", *by, unit)
-            .agg(F.min(F.when(F.col(d) > 0, F.col(time))).alias("__onset"), F.map_from_entries(F.collect_list(entry)).alias("__s"))
+            .agg(F.min(F.when(F.col(d) > 0, F.col(time))).alias("__onset"), F.map_from_entries(F.collect_list(entry)).alias("__series"))
         )
-        times = series.select(F.explode(F.map_keys("__s")).alias("t")).distinct().collect()
-        self.grid = sorted(r[0] for r in times)
-        at = lambda i: F.array(*[F.try_element_at("__s", F.lit(t).cast(panel.schema[time].dataType))[i] for t in self.grid])
-        self.units = series.select(
-            "__g", *by, unit, "__onset", at(0).alias("__y"), *[at(1 + i).alias(f"__x{i}") for i in range(self.k)]
+        times = series.select("__g", F.explode(F.map_keys("__series")).alias("__t")).distinct()
+        grids = times.groupBy("__g").agg(F.array_sort(F.collect_list("__t")).alias("__grid"))
+        names = ["__y", *[f"__x{i}" for i in range(self.k)]]
+        away = F.date_diff if isinstance(panel.schema[time].dataType, T.DateType) else lambda a, b: (a - b).cast("int")
+
+        def known(cell: Column) -> Column:
+            out = F.lit(True)
+            for c in names:
+                out = out & cell[c].isNotNull()
+            return out
+
+        def on_grid(i: int) -> Column:
+            return F.transform("__grid", lambda t: F.try_element_at(F.col("__series"), t)[i])
+
+        laid = lookup(series, grids, ["__g"], ["__grid"], how="inner").select(
+            "__g", *by, unit, "__onset", "__grid",
+            (F.array_position("__grid", F.col("__onset")) - 1).cast("int").alias("__at"),
+            F.transform("__grid", lambda t: away(t, F.col("__onset"))).alias("__rel"),
+            *[on_grid(i).alias(c) for i, c in enumerate(names)],
+        )
+        cells = F.arrays_zip("__grid", *names)
+        self.units = cut_lineage(
+            laid.withColumns(
+                {
+                    "__full": F.forall(cells, known),
+                    "__pre": F.size(F.filter(cells, lambda c: known(c) & (c["__grid"] < F.col("__onset")))),
+                    "__any": F.exists(cells, known),
+                }
+            )
         )
-        known = F.lit(True)
-        for c in ["__y", *[f"__x{i}" for i in range(self.k)]]:
-            known = known & F.forall(c, lambda v: v.isNotNull())
-        self.controls = self.units.where(F.col("__onset").isNull())
+        # Units without one known cell say nothing; they are no donors.
+        self.controls = self.units.where(F.col("__onset").isNull() & F.col("__any"))
         self.treated = self.units.where(F.col("__onset").isNotNull())
-        self.balanced = self.controls.where(~known).limit(1).count() == 0
         self.groups = self.units.select("__g", *by).distinct()
-        self.index = {t: i for i, t in enumerate(self.grid)}
-
-    @property
-    def periods(self) -> int:
-        return len(self.grid)
-
-    def moments(
-        self, models: dict[tuple[str, int], Factors] | None, ranks: Sequence[int]
-    ) -> dict[tuple[str, int], Moments]:
-        """Moments of the (filled) controls per group and rank: one pass, merged on the executors.
-
-        With ``models`` only their groups and ranks are computed.
-        """
-        k = self.k
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found: dict[tuple[str, int], Moments] = {}
-            for pdf in batches:
-                for g, part in pdf.groupby("__g"):
-                    z = _stack(part, k)
-                    for r in ranks:
-                        if models is not None and (g, r) not in models:
-                            continue
-                        filled = _fill(z, None if models is None else models[(g, r)])
-                        m = block_moments(filled.reshape(len(part), -1))
-                        found[(g, r)] = m if (g, r) not in found else found[(g, r)].merge(m)
-            if found:
-                yield pd.DataFrame([_row(g, r, m) for (g, r), m in found.items()])
-
-        def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([_row(key[0], int(key[1]), _merge_frame(pdf))])
-
-        parts = self.controls.mapInPandas(partial, _PARTIAL)
-        # Partials are one row per task; a first merge by task block bounds the last one.
-        blocks = parts.withColumn("__block", F.spark_partition_id() % 64)
-        first = blocks.groupBy("__g", "__r", "__block").applyInPandas(merge, _PARTIAL)
-        return {(row["__g"], row["__r"]): _read(row) for row in first.groupBy("__g", "__r").applyInPandas(merge, _PARTIAL).collect()}
-
-    def solve(self, ranks: Sequence[int], force: str, tol: float = 1e-8, max_rounds: int = 500):
-        """Moments and factor models of every group and rank."""
-        if self.balanced:
-            shared = self.moments(None, [0])
-            moments = {(g, r): m for (g, _), m in shared.items() for r in ranks}
-            return moments, {key: solve_factors(m, self.periods, key[1], force) for key, m in moments.items()}
-        moments = self.moments(None, ranks)
-        pending = set(moments)
+    def check(self, rank: int, spare: int | None) -> None:
+        """Say so where a group has too few periods or arms for ``rank``, or a treated unit fewer than ``spare`` pre-periods."""
+        arms = self.units.groupBy("__g").agg(
+            F.max(F.size("__grid")).alias("t"), F.count_if(F.col("__onset").isNull() & F.col("__any")).alias("co"), F.count("__onset").alias("tr")
+        )
+        short = arms.where(F.col("t") <= rank).limit(3).collect()
+        if short:
+            raise ValueError(f"r = {rank} needs more than {short[0]['t']} periods{_names(short, '__g')}")
+        bare = arms.where((F.col("tr") > 0) & (F.col("co") == 0)).limit(3).collect()
+        if bare:
+            raise ValueError(f"treated units without a control{_names(bare, '__g')}")
+        if spare is not None:
+            few = self.treated.where(F.col("__pre") < spare).select("__g", F.col(self.unit).cast("string").alias("u")).limit(5).collect()
+            if few:
+                raise ValueError(f"r = {rank} needs {spare} known pre-periods{_names(few, '__g', 'u')}")
+
+    def usable_ranks(self, ranks: Sequence[int], force: str) -> DataFrame:
+        """__g, __r: ranks that leave every treated unit of the group a spare pre-period."""
+        least = self.treated.groupBy("__g").agg(F.min("__pre").alias("__least"))
+        wanted = least.withColumn("__r", F.explode(F.array(*map(F.lit, ranks))))
+        return cut_lineage(wanted.where(F.col("__least") > F.col("__r") + int(force != "none")).select("__g", "__r"))
+
+    def solve(self, wanted: DataFrame, force: str, tol: float = 1e-8, max_rounds: int = 500) -> DataFrame:
+        """Moments and factor model of every group and rank of ``wanted``, one row each."""
+        k, unit_effect = self.k, force != "none"
+
+        def filled(with_model: bool):
+            return lambda part: _fill(_stack(part, k), _model(part.iloc[0], unit_effect) if with_model else None).reshape(len(part), -1)
+
+        def solved(m: Moments, r: int) -> Factors:
+            return solve_factors(m, m.mean.size // (k + 1), r, force)
+
+        def start(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            m, r = _join_strips(pdf), int(key[1])
+            return _state_row(key[0], r, m, solved(m, r), bool(pdf["__whole"].iloc[0]))
+
+        def step(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            if new.empty:
+                return old
+            m, before, r = _join_strips(new), _moments_of(old.iloc[0]), int(key[1])
+            pairs = ((m.scatter, before.scatter), (m.mean, before.mean))
+            moved = sum(np.max(np.abs(u - v)) / max(np.max(np.abs(v)), 1e-300) for u, v in pairs)
+            return _state_row(key[0], r, m, solved(m, r), bool(moved < tol))
+
+        whole = self.controls.groupBy("__g").agg(F.bool_and("__full").alias("__whole"))
+        first = moment_strips(self.controls.withColumn("__r", F.lit(0)), "__r", filled(False)).drop("__r")
+        first = lookup(lookup(first, whole, ["__g"], ["__whole"], how="inner"), wanted, ["__g"], ["__r"], how="inner")
+        state, pending = _watched(first.groupBy("__g", "__r").applyInPandas(start, _STATE))
         for _ in range(max_rounds):
-            models = {key: solve_factors(moments[key], self.periods, key[1], force) for key in pending}
-            for key, new in self.moments(models, ranks).items():
-                old = moments[key]
-                moved = [np.max(np.abs(u - v)) / max(np.max(np.abs(v)), 1e-300) for u, v in ((new.scatter, old.scatter), (new.mean, old.mean))]
-                moments[key] = new
-                if sum(moved) < tol:
-                    pending.discard(key)
             if not pending:
-                return moments, {key: solve_factors(m, self.periods, key[1], force) for key, m in moments.items()}
+                return state
+            models = state.where(~F.col("__settled")).select("__g", "__r", *_MODEL)
+            rows = lookup(self.controls, models, ["__g"], ["__r", *_MODEL], how="inner")
+            new = moment_strips(rows, "__r", filled(True))
+            state, pending = _watched(new.groupBy("__g", "__r").cogroup(state.groupBy("__g", "__r")).applyInPandas(step, _STATE))
         raise RuntimeError("filling of unbalanced controls did not settle")
 
-    def loo_errors(self, models: dict[tuple[str, int], Factors]) -> DataFrame:
-        """by, r, mspe: leave-one-period-out error over the treated units' pre-periods.
+    def loo_errors(self, state: DataFrame, force: str) -> DataFrame:
+        """__g, r, mspe: leave-one-period-out error over the treated units' pre-periods.
 
         The left-out prediction follows in closed form from the leverage of the
         period. A rank that leaves some treated unit without a spare pre-period
         has no error and is never chosen.
         """
-        index, k = self.index, self.k
-        schema = T.StructType().add("__g", "string").add("r", "integer").add("sse", "double").add("n", "long")
+        k, unit_effect = self.k, force != "none"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
-                for g, part in pdf.groupby("__g"):
+                for (g, r), part in pdf.groupby(["__g", "__r"]):
                     z = _stack(part, k)
-                    onset = part["__onset"].map(index).to_numpy()
-                    pre = (np.arange(z.shape[2])[None, :] < onset[:, None]) & ~np.isnan(z).any(axis=1)
-                    for (mg, r), model in models.items():
-                        if mg != g:
-                            continue
-                        c = model.regressors()
-                        y = _adjusted(z, model)
-                        fit, inv = _project(y, pre, c)
-                        spare = pre.sum(axis=1) - c.shape[1]
-                        lev = np.einsum("tp,bpq,tq->bt", c, inv, c) if c.shape[1] else np.zeros_like(y)
-                        with np.errstate(all="ignore"):
-                            e = np.where(pre & (1 - lev > 1e-9), (y - fit) / (1 - lev), 0.0)
-                        sse = np.where(spare >= 1, np.square(e).sum(axis=1), np.inf)
-                        out.append({"__g": g, "r": r, "sse": float(sse.sum()), "n": int(pre.sum())})
+                    model = _model(part.iloc[0], unit_effect)
+                    pre = (np.arange(z.shape[2])[None, :] < part["__at"].to_numpy()[:, None]) & ~np.isnan(z).any(axis=1)
+                    c = model.regressors()
+                    y = _adjusted(z, model)
+                    fit, inv = _project(y, pre, c)
+                    spare = pre.sum(axis=1) - c.shape[1]
+                    lev = np.einsum("tp,bpq,tq->bt", c, inv, c) if c.shape[1] else np.zeros_like(y)
+                    with np.errstate(all="ignore"):
+                        e = np.where(pre & (1 - lev > 1e-9), (y - fit) / (1 - lev), 0.0)
+                    sse = np.where(spare >= 1, np.square(e).sum(axis=1), np.inf)
+                    out.append({"__g": g, "r": int(r), "sse": float(sse.sum()), "n": int(pre.sum())})
                 if out:
                     yield pd.DataFrame(out)
 
-        errors = self.treated.mapInPandas(run, schema).groupBy("__g", "r").agg((F.sum("sse") / F.sum("n")).alias("mspe"))
-        usable = F.when(F.col("mspe") < F.lit(float("inf")), F.col("mspe"))
-        return errors.withColumn("mspe", usable)
+        rows = lookup(self.treated, state, ["__g"], ["__r", *_MODEL], how="inner")
+        errors = rows.mapInPandas(run, _schema("__g string,r int,sse double,n long")).groupBy("__g", "r").agg((F.sum("sse") / F.sum("n")).alias("mspe"))
+        return errors.withColumn("mspe", F.when(F.col("mspe") < F.lit(float("inf")), F.col("mspe")))
 
     def named(self, df: DataFrame) -> DataFrame:
         """Replace the internal group key by the ``by`` columns."""
@@ -311,6 +396,19 @@ class Panel:
         return lookup(df, self.groups, ["__g"], self.by, how="inner").select(*self.by, *[c for c in df.columns if c not in ("__g", *self.by)])
 
 
+def _names(rows: Sequence, *columns: str) -> str:
+    """Where: up to a handful of groups or units, as text of an error."""
+    found = ", ".join(" ".join(str(row[c]) for c in columns if row[c]) for row in rows)
+    return f" (at {found})" if found.strip(", ") else ""
+
+
+def _watched(state: DataFrame) -> tuple[DataFrame, int]:
+    """The written state, and how many of its rows have not settled."""
+    seen = Observation()
+    written = cut_lineage(state.observe(seen, F.count_if(~F.col("__settled")).alias("pending")))
+    return written, seen.get["pending"] or 0
+
+
 def _gap_rows(part: pd.DataFrame, k: int, model: Factors, onset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Observed mask, outcome and counterfactual of treated rows."""
     z = _stack(part, k)
@@ -323,18 +421,16 @@ def _gap_rows(part: pd.DataFrame, k: int, model: Factors, onset: np.ndarray) ->
     return known, z[:, 0, :], fit
 
 
-def choose_ranks(errors: Sequence, min_gain: float) -> dict[str, int]:
-    """Rank per group: go up only where the error falls by more than ``min_gain`` of the best so far."""
-    best: dict[str, tuple[float, int]] = {}
-    lowest: dict[str, float] = {}
-    for row in sorted(errors, key=lambda e: (e["__g"], e["r"])):
-        g, r, mspe = row["__g"], row["r"], row["mspe"]
-        if mspe is None:
+def choose_rank(ranks: Sequence[int], errors: Sequence[float | None], min_gain: float) -> int | None:
+    """Go up only where the error falls by more than ``min_gain`` of the best so far; None if no rank has one."""
+    best, lowest = None, math.inf
+    for r, mspe in sorted(zip(ranks, errors)):
+        if mspe is None or math.isnan(mspe):
             continue
-        if g not in best or lowest[g] - mspe > min_gain * lowest[g]:
-            best[g] = (mspe, r)
-        lowest[g] = min(mspe, lowest.get(g, math.inf))
-    return {g: r for g, (_, r) in best.items()}
+        if best is None or lowest - mspe > min_gain * lowest:
+            best = r
+        lowest = min(mspe, lowest)
+    return best
 
 
 @dataclass
@@ -363,64 +459,69 @@ def gsc(
     seed: int = 0,
     by: Sequence[str] = (),
     min_gain: float = 0.05,
+    left_outs: int = 1000,
 ) -> SynthResult:
     """Generalised synthetic control of every group of ``by`` in one run.
 
     ``force`` is ``none``, ``unit`` or ``two-way``. The number of factors is
     searched in ``r`` by leave-one-period-out error when ``cv``, else the first
-    number is used. ``boot`` parametric bootstrap draws add standard errors.
+    number is used. ``boot`` parametric bootstrap draws add standard errors; their
+    prediction errors come from up to ``left_outs`` controls of a group, each left
+    out of the fit once.
+
+    Groups without a treated unit give no rows. A ``ValueError`` says so where
+    a group has treated units but no control, not more periods than the smallest
+    ``r``, or a treated unit without one known pre-period more than the model of
+    the smallest ``r`` has loadings. Larger ranks that lack such a period get no
+    error in ``cv`` and are not chosen.
     """
     if force not in ("none", "unit", "two-way"):
         raise ValueError(f"unknown force {force!r}")
-    spark = panel.sparkSession
     low, high = (r, r) if isinstance(r, int) else r
     data = Panel(panel, unit, time, y, d, x, by)
     ranks = list(range(low, high + 1)) if cv else [low]
-    if max(ranks) >= data.periods > 0:
-        raise ValueError(f"r = {max(ranks)} needs more than {data.periods} periods")
-    moments, models = data.solve(ranks, force)
-    errors = data.loo_errors(models)
+    data.check(low, low + (force != "none") + 1)
+    wanted = data.usable_ranks(ranks, force)
+    state = data.solve(wanted, force)
+    every = data.treated.select("__g").distinct().withColumn("r", F.explode(F.array(*map(F.lit, ranks))))
+    errors = cut_lineage(lookup(every, data.loo_errors(state, force), ["__g", "r"], ["mspe"]))
+    best = state
     if cv:
-        found = errors.collect()  # one row per group and rank
-        pick = choose_ranks(found, min_gain)
-        cv_rows = [(e["__g"], e["r"], e["mspe"]) for e in found]
-        errors = spark.createDataFrame(cv_rows, "__g string, r int, mspe double")
-    else:
-        pick = {g: low for g, _ in models}
-    best = {g: models[(g, q)] for g, q in pick.items()}
-    index, grid, k, by_list = data.index, data.grid, len(x), list(by)
-    time_type = panel.schema[time].dataType
-    gap_schema = T.StructType([data.units.schema[c] for c in ["__g", *by, unit]]).add(time, time_type)
-    gap_schema = gap_schema.add("rel_time", "integer").add("y", "double").add("y0", "double")
+        pick_schema = _schema("__g string,__best int")
+
+        def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            rank = choose_rank(pdf["r"].tolist(), pdf["mspe"].tolist(), min_gain)
+            return pd.DataFrame([] if rank is None else [{"__g": key[0], "__best": rank}], columns=["__g", "__best"])
+
+        picked = errors.groupBy("__g").applyInPandas(pick, pick_schema)
+        best = cut_lineage(lookup(state, picked, {"__g": "__g", "__r": "__best"}, [], how="inner"))
+    k, by_list, unit_effect = len(x), list(by), force != "none"
+    passed = ["__g", *by_list, unit, "__grid", "__rel", "__y"]
+    gap_schema = T.StructType([data.units.schema[c] for c in passed]).add("__y0", _ARRAY)
 
     def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for g, part in pdf.groupby("__g"):
-                if g not in best:
-                    continue
-                onset = part["__onset"].map(index).to_numpy()
-                known, obs, fit = _gap_rows(part, k, best[g], onset)
-                i, t = np.nonzero(known)
-                out = part[["__g", *by_list, unit]].iloc[i].reset_index(drop=True)
-                out[time] = [grid[j] for j in t]
-                out["rel_time"] = [int(grid[j] - o) for j, o in zip(t, part["__onset"].to_numpy()[i])]
-                yield out.assign(y=obs[i, t], y0=fit[i, t])
-
-    gap = data.treated.mapInPandas(gaps, gap_schema)
+            for _, part in pdf.groupby("__g"):
+                known, _, fit = _gap_rows(part, k, _model(part.iloc[0], unit_effect), part["__at"].to_numpy())
+                yield part[passed].assign(__y0=list(np.where(known, fit, np.nan)))
+
+    arrays = lookup(data.treated, best, ["__g"], _MODEL, how="inner").mapInPandas(gaps, gap_schema)
+    cell = F.explode(F.arrays_zip("__grid", "__rel", "__y", "__y0")).alias("c")
+    gap = arrays.select("__g", *by, unit, cell).select(
+        "__g", *by, unit, F.col("c.__grid").alias(time), F.col("c.__rel").alias("rel_time"), F.col("c.__y").alias("y"), F.col("c.__y0").alias("y0")
+    )
+    gap = gap.where(~F.isnan("y0"))
     effect = F.col("y") - F.col("y0")
     att = gap.groupBy("__g", "rel_time").agg(F.avg(effect).alias("att"), F.count(F.lit(1)).alias("n_treated"))
     avg = gap.where(F.col("rel_time") >= 0).groupBy("__g").agg(F.avg(effect).alias("att_avg"))
     if boot:
-        draws = _bootstrap(data, moments, pick, best, force, boot, seed)
+        draws = _bootstrap(data, best, force, boot, seed, left_outs)
         se = draws.groupBy("__g", "rel_time").agg(F.stddev_samp("att").alias("se"))
         after = draws.where(F.col("rel_time") >= 0).groupBy("__g", "b").agg((F.sum("total") / F.sum("n")).alias("a"))
         att = _interval(lookup(att, se, ["__g", "rel_time"], ["se"]), "att")
         avg = _interval(lookup(avg, after.groupBy("__g").agg(F.stddev_samp("a").alias("se")), ["__g"], ["se"]), "att_avg")
     cf = gap.groupBy("__g", time).agg(F.avg("y").alias("y"), F.avg("y0").alias("y0"))
-    chosen = spark.createDataFrame(
-        [(g, pick[g], *[float(b) for b in m.beta]) for g, m in best.items()],
-        "__g string, r int" + "".join(f", beta_{c} double" for c in x),
-    )
+    chosen = best.select("__g", F.col("__r").alias("r"), *[F.col("__beta")[i].alias(f"beta_{c}") for i, c in enumerate(x)])
     return SynthResult(gap.drop("__g"), *[data.named(t) for t in (att, avg, cf, errors, chosen)])
 
 
@@ -431,146 +532,116 @@ def _interval(df: DataFrame, estimate: str) -> DataFrame:
 
 def cumulative_att(att: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running sum of the effect from the shock on (one row per period, so windows are tiny)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy("rel_time").rowsBetween(Window.unboundedPreceding, 0)
     return att.where(F.col("rel_time") >= 0).select(*by, "rel_time", F.sum("att").over(w).alias("catt"))
 
 
-def _bootstrap(data: Panel, moments, pick, best, force: str, boot: int, seed: int) -> DataFrame:
+def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int, left_outs: int) -> DataFrame:
     """__g, b, rel_time, att, total, n of every draw under no effect.
 
-    Each draw gives every control an in-sample residual series of a random
-    control and every treated unit a prediction-error series of a random control
-    that was left out of the fit; the model is solved again on that panel. Rows
-    of a draw are split in blocks, so no task holds a whole large panel.
+    Each draw gives every control the in-sample residual series of a random
+    control, and every treated unit the prediction-error series of a random
+    control that was left out of the fit (for the treated unit's own onset);
+    the model is solved again on that panel. ``left_outs`` controls of a group,
+    drawn by hash, are left out in turn (all, if there are fewer). Draws depend on the seed, the group and the unit only.
     """
-    k, periods, grid, index = data.k, data.periods, data.grid, data.index
-    counts = {g: m.n for (g, _), m in moments.items()}
-    blocks = max(1, math.ceil(max(counts.values()) / ROWS_PER_BLOCK))
-    onsets = {
-        row["__g"]: index[row["o"]] for row in data.treated.groupBy("__g").agg(F.min("__onset").alias("o")).collect()
-    }
-    chosen = {g: moments[(g, pick[g])] for g in best if g in onsets}
-    unit = data.unit
-    series = T.StructType().add("__g", "string").add("__unit", "string").add("__block", "integer")
-    series = series.add("__fit", _ARRAY).add("__e", _ARRAY).add("__p", _ARRAY).add("__w", _ARRAY)
-    names = [f"__x{i}" for i in range(k)]
+    k, unit_effect = data.k, force != "none"
+    name = F.col(data.unit).cast("string").alias("__unit")
+    onsets = data.treated.groupBy("__g").agg(F.array_sort(F.collect_set("__at")).alias("__onsets"))
+    best = lookup(best, onsets, ["__g"], ["__onsets"], how="inner")
+    xs = [f"__x{i}" for i in range(k)]
 
     def residuals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Fit, in-sample residual and left-out prediction error of each control."""
+        """Filled series, fit and in-sample residual of each control."""
         for pdf in batches:
             for g, part in pdf.groupby("__g"):
-                if g not in chosen:
-                    continue
-                model, m, r = best[g], chosen[g], pick[g]
+                model = _model(part.iloc[0], unit_effect)
                 z = _fill(_stack(part, k), model)
                 adj = _adjusted(z, model)
-                every = np.ones(adj.shape, dtype=bool)
-                fit = _project(adj, every, model.regressors())[0]
-                pred = np.empty_like(adj)
-                pre = np.arange(periods) < onsets[g]
-                for i in range(len(part)):
-                    left = solve_factors(m.without(z[i].ravel()), periods, r, force)
-                    a = _adjusted(z[i : i + 1], left)
-                    pred[i] = (a - _project(a, pre[None, :], left.regressors())[0])[0]
-                yield pd.DataFrame(
-                    {
-                        "__g": g,
-                        "__unit": part[unit].astype(str).to_numpy(),
-                        "__block": part["__block"].to_numpy(),
-                        "__fit": list(z[:, 0, :] - adj + fit),
-                        "__e": list(adj - fit),
-                        "__p": list(pred),
-                        "__w": list(z[:, 1:, :].reshape(len(part), -1)),
-                    }
-                )
-
-    block = F.pmod(F.xxhash64(F.col(unit)), F.lit(blocks)).cast("int")
-    controls = cut_lineage(data.controls.withColumn("__block", block).mapInPandas(residuals, series))
-    # Donors are numbered 0..N-1 per group: block offsets plus the position inside the block.
-    from pyspark.sql import Window
-
+                e = adj - _project(adj, np.ones(adj.shape, dtype=bool), model.regressors())[0]
+                flat = z.reshape(len(part), -1)
+                yield pd.DataFrame({"__g": g, "__unit": part["__unit"].to_numpy(), "__z": list(flat), "__fit": list(z[:, 0, :] - e), "__e": list(e)})
+
+    rows = lookup(data.controls.select("__g", name, "__y", *xs), best, ["__g"], _MODEL, how="inner")
+    controls = rows.mapInPandas(residuals, _schema("__g string,__unit string,__z array,__fit array,__e array"))
+    # Donors are numbered 0..N-1 per group in unit order: by range partitions, offsets plus the place inside.
+    controls = cut_lineage(controls.repartitionByRange("__g", "__unit").withColumn("__block", F.spark_partition_id()))
     sizes = controls.groupBy("__g", "__block").agg(F.count(F.lit(1)).alias("__size"))
     running = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__from", F.coalesce(F.sum("__size").over(running), F.lit(0)))
     place = Window.partitionBy("__g", "__block").orderBy("__unit")
-    numbered = lookup(controls.withColumn("__pos", F.row_number().over(place) - 1), offsets, ["__g", "__block"], ["__from"], how="inner")
-    donors = numbered.select("__g", (F.col("__from") + F.col("__pos")).alias("__no"), "__e", "__p")
+    keyed = controls.select("__g", "__block", "__unit", (F.row_number().over(place) - 1).alias("__pos"))
+    numbers = lookup(keyed, offsets, ["__g", "__block"], ["__from"], how="inner").select("__g", "__unit", (F.col("__from") + F.col("__pos")).alias("__no"))
+    donors = lookup(controls, numbers, ["__g", "__unit"], ["__no"], how="inner").select("__g", "__no", F.col("__e").alias("__err"))
     total = controls.groupBy("__g").agg(F.count(F.lit(1)).alias("__total"))
 
-    def drawn(rows: DataFrame, salt: int, errors: str) -> DataFrame:
+    def left_out(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        """Prediction errors of controls under the model of all others, one series per onset."""
+        out = []
+        if len(state) and int(state["__n"].iloc[0]) > 1:
+            m, r = _moments_of(state.iloc[0]), int(state["__r"].iloc[0])
+            periods = m.mean.size // (k + 1)
+            for no, z in zip(pdf["__no"], pdf["__z"]):
+                left = solve_factors(m.without(np.asarray(z, dtype=float)), periods, r, force)
+                a = _adjusted(np.asarray(z, dtype=float).reshape(1, k + 1, periods), left)
+                for at in state["__onsets"].iloc[0]:
+                    fit = _project(a, (np.arange(periods) < at)[None, :], left.regressors())[0]
+                    out.append((key[0], int(at), int(no), (a - fit)[0]))
+        return pd.DataFrame(out, columns=["__g", "__at", "__no", "__err"])
+
+    lot = Window.partitionBy("__g").orderBy(F.xxhash64(F.lit(seed), "__unit"), "__unit")
+    drawn_units = controls.select("__g", "__unit", F.row_number().over(lot).alias("__lot")).where(F.col("__lot") <= left_outs)
+    order = Window.partitionBy("__g").orderBy("__unit")
+    numbered = drawn_units.select("__g", "__unit", (F.row_number().over(order) - 1).alias("__no"))
+    chosen = lookup(controls, numbered, ["__g", "__unit"], ["__no"], how="inner").select("__g", "__z", "__no")
+    spread = chosen.withColumn("__slot", F.col("__no") % 16).groupBy("__g", "__slot")
+    models = best.select("__g", "__r", "__n", "__mean", "__scatter", "__onsets", F.explode(F.array(*map(F.lit, range(16)))).alias("__slot"))
+    missed = cut_lineage(spread.cogroup(models.groupBy("__g", "__slot")).applyInPandas(left_out, _schema("__g string,__at int,__no int,__err array")))
+
+    def drawn(rows: DataFrame, salt: int, errors: DataFrame, on: Sequence[str], size: Column) -> DataFrame:
         """Every row in every draw, with the error series of its random donor."""
         rows = lookup(rows, total, ["__g"], ["__total"], how="inner").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))))
         h = F.xxhash64(F.lit(seed), F.lit(salt), "b", "__g", "__unit")
-        rows = rows.withColumn("__no", F.pmod(h, F.col("__total")).cast("long"))
-        return lookup(rows, donors, ["__g", "__no"], {errors: "__err"}, how="inner").drop("__total", "__no")
+        return lookup(rows.withColumn("__no", F.pmod(h, size).cast("int")), errors, on, ["__err"], how="inner").drop("__total", "__no")
 
-    partial_schema = T.StructType().add("__g", "string").add("b", "integer").add("__n", "long").add("__mean", _ARRAY).add("__scatter", _ARRAY)
+    def redrawn(part: pd.DataFrame) -> np.ndarray:
+        y = np.stack(part["__fit"].to_list()) + np.stack(part["__err"].to_list())
+        z = np.stack(part["__z"].to_list())
+        return np.concatenate([y, z[:, y.shape[1] :]], axis=1)
 
-    def one_row(key: tuple, m: Moments) -> pd.DataFrame:
-        return pd.DataFrame([{"__g": key[0], "b": int(key[1]), "__n": m.n, "__mean": m.mean, "__scatter": m.scatter.ravel()}])
-
-    def block_of_draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.stack(pdf["__fit"].to_list()) + np.stack(pdf["__err"].to_list())
-        w = np.stack(pdf["__w"].to_list()) if k else np.zeros((len(pdf), 0))
-        return one_row(key, block_moments(np.concatenate([y, w], axis=1)))
-
-    redrawn = drawn(controls.select("__g", "__unit", "__block", "__fit", "__w"), 1, "__e")
-    parts = redrawn.groupBy("__g", "b", "__block").applyInPandas(block_of_draw, partial_schema)
-    model_schema = T.StructType().add("__g", "string").add("b", "integer").add("__xi", _ARRAY).add("__f", _ARRAY).add("__beta", _ARRAY)
+    again = drawn(controls.select("__g", "__unit", "__fit", "__z"), 1, donors, ["__g", "__no"], F.col("__total"))
+    parts = lookup(moment_strips(again, "b", redrawn), best, ["__g"], ["__r"], how="inner")
 
     def solve_draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model = solve_factors(_merge_frame(pdf), periods, pick[key[0]], force)
+        m = _join_strips(pdf)
+        model = solve_factors(m, m.mean.size // (k + 1), int(pdf["__r"].iloc[0]), force)
         return pd.DataFrame([{"__g": key[0], "b": int(key[1]), "__xi": model.xi, "__f": model.f.ravel(), "__beta": model.beta}])
 
-    solved = parts.groupBy("__g", "b").applyInPandas(solve_draw, model_schema)
-
-    treated_schema = T.StructType().add("__g", "string").add("__unit", "string").add("__at", "integer")
-    treated_schema = treated_schema.add("__fit", _ARRAY).add("__y", _ARRAY)
-    for c in names:
-        treated_schema = treated_schema.add(c, _ARRAY)
+    solved = parts.groupBy("__g", "b").applyInPandas(solve_draw, _schema("__g string,b int,__xi array,__f array,__beta array"))
 
     def treated_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for g, part in pdf.groupby("__g"):
-                if g not in chosen:
-                    continue
-                at = part["__onset"].map(index).to_numpy()
-                fit = _gap_rows(part, k, best[g], at)[2]
-                out = pd.DataFrame({"__g": g, "__unit": part[unit].astype(str).to_numpy(), "__at": at, "__fit": list(fit)})
-                for c in ["__y", *names]:
-                    out[c] = part[c].to_list()
-                yield out
-
-    treated = drawn(data.treated.mapInPandas(treated_fit, treated_schema), 2, "__p")
-    joined = lookup(treated, solved, ["__g", "b"], ["__xi", "__f", "__beta"], how="inner")
-    out_schema = T.StructType().add("__g", "string").add("b", "integer").add("rel_time", "integer").add("gap", "double")
-    steps = np.array(grid, dtype=float)
+            for _, part in pdf.groupby("__g"):
+                fit = _gap_rows(part, k, _model(part.iloc[0], unit_effect), part["__at"].to_numpy())[2]
+                yield part[["__g", "__unit", "__at", "__rel", "__y", *xs]].assign(__fit=list(fit))
+
+    series = data.treated.select("__g", name, "__at", "__rel", "__y", *xs)
+    fitted = lookup(series, best, ["__g"], _MODEL, how="inner").mapInPandas(treated_fit, T.StructType(series.schema.fields).add("__fit", _ARRAY))
+    count = F.least(F.col("__total"), F.lit(left_outs))
+    joined = lookup(drawn(fitted, 2, missed, ["__g", "__at", "__no"], count), solved, ["__g", "b"], _MODEL, how="inner")
 
     def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (g, b), part in pdf.groupby(["__g", "b"]):
-                first = part.iloc[0]
-                model = Factors(
-                    np.asarray(first["__xi"], dtype=float),
-                    np.asarray(first["__f"], dtype=float).reshape(periods, -1),
-                    np.asarray(first["__beta"], dtype=float),
-                    force != "none",
-                )
-                z = _stack(part, k)
-                known = ~np.isnan(z).any(axis=1)
-                at = part["__at"].to_numpy()
-                made = part.copy()
+                known = ~np.isnan(_stack(part, k)).any(axis=1)
                 star = np.stack(part["__fit"].to_list()) + np.stack(part["__err"].to_list())
-                made["__y"] = list(np.where(known, star, np.nan))
-                seen, obs, fit = _gap_rows(made, k, model, at)
+                made = part.assign(__y=list(np.where(known, star, np.nan)))
+                seen, obs, fit = _gap_rows(made, k, _model(part.iloc[0], unit_effect), part["__at"].to_numpy())
                 i, t = np.nonzero(seen)
-                yield pd.DataFrame(
-                    {"__g": g, "b": b, "rel_time": (steps[t] - steps[at[i]]).astype(int), "gap": obs[i, t] - fit[i, t]}
-                )
+                rel = np.stack(part["__rel"].to_list())
+                yield pd.DataFrame({"__g": g, "b": b, "rel_time": rel[i, t], "gap": obs[i, t] - fit[i, t]})
 
-    draws = joined.mapInPandas(gaps, out_schema)
+    draws = joined.mapInPandas(gaps, _schema("__g string,b int,rel_time int,gap double"))
     return cut_lineage(
         draws.groupBy("__g", "b", "rel_time").agg(F.avg("gap").alias("att"), F.sum("gap").alias("total"), F.count(F.lit(1)).alias("n"))
     )

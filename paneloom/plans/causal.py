@@ -237,7 +237,7 @@ def _synth_panel(spark, d, covariate=False, element="Production"):
 
 
 def _gsc(spark, d, **options):
-    return G.gsc(_synth_panel(spark, d), "area", "year", "y", "d", **{"r": (0, 1), **options})
+    return G.gsc(_synth_panel(spark, d), "area", "year", "y", "d", **{"r": (0, 5), **options})
 
 
 @query("gsc_fit")
@@ -291,7 +291,7 @@ def gsc_counterfactual(spark, d):
 
 @query("gsc_bootstrap")
 def gsc_bootstrap(spark, d):
-    return rounded(_gsc(spark, d, boot=200, seed=1).att, rel_time=-1, att=4, se=4, conf_low=4, conf_high=4)
+    return rounded(_gsc(spark, d, boot=1000, seed=1).att, rel_time=-1, att=4, se=4, conf_low=4, conf_high=4)
 
 
 @query("gsc_many")
@@ -303,7 +303,7 @@ def gsc_many(spark, d):
     rows = panel.select("area", "year", "item", "element", F.col("value").alias("y")).where(F.col("area") != LEADER)
     rows = V.lookup(rows, treated, {"area": "importer"}, ["treated"])
     rows = rows.withColumn("d", F.when(F.col("year") < SHOCK_YEAR, 0.0).otherwise(F.coalesce("treated", F.lit(0.0))))
-    fit = G.gsc(rows, "area", "year", "y", "d", r=(0, 1), by=["item", "element"])
+    fit = G.gsc(rows, "area", "year", "y", "d", r=(0, 5), by=["item", "element"])
     return rounded(fit.att, rel_time=-1, att=4)
 
 

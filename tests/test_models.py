@@ -316,6 +316,73 @@ def test_bootstrap_interval_and_missing_cells(factor_panel):
     assert abs(G.gsc(holes, "u", "t", "y", "d", r=2, cv=False).att_avg.first().att_avg - 2) < 0.2
 
 
+def test_bootstrap_error_against_dense(factor_panel):
+    """The standard error is that of the same resampling in dense numpy (independent draws, many of them)."""
+    p, df = factor_panel
+    wide = p.pivot(index="u", columns="t", values="y")
+    on = p.groupby("u").d.max() == 1
+    co, tr = wide[~on].to_numpy(), wide[on].to_numpy()
+    pre, rng = np.arange(25) < 15, np.random.default_rng(0)
+
+    def model(c):
+        xi = c.mean(0)
+        within = c - xi - (c - xi).mean(1, keepdims=True)
+        return xi, np.column_stack([np.ones(25), np.linalg.svd(within, full_matrices=False)[2][:2].T])
+
+    def gap(m, y, use):
+        xi, z = m
+        return y - xi - (z @ np.linalg.lstsq(z[use], (y - xi)[:, use].T, rcond=None)[0]).T
+
+    m = model(co)
+    e = gap(m, co, np.ones(25, dtype=bool))
+    missed = np.stack([gap(model(np.delete(co, i, 0)), co[i : i + 1], pre)[0] for i in range(len(co))])
+    base = tr - gap(m, tr, pre)
+    draws = []
+    for _ in range(2000):
+        c = co - e + e[rng.integers(len(co), size=len(co))]
+        draws.append(gap(model(c), base + missed[rng.integers(len(co), size=len(tr))], pre)[:, 15:].mean())
+    got = G.gsc(df, "u", "t", "y", "d", r=2, cv=False, boot=500, seed=3).att_avg.first().se
+    assert abs(got / np.std(draws, ddof=1) - 1) < 0.15
+
+
+def test_several_onsets_and_unused_groups(factor_panel):
+    """A second group does not change the draws of the first; groups without treated units give no rows."""
+    p, df = factor_panel
+    late = df.withColumn("d", F.when((F.col("u") == "u00") & (F.col("t") < 2018), 0).otherwise(F.col("d")))
+    alone = G.gsc(late.withColumn("k", F.lit("a")), "u", "t", "y", "d", r=2, cv=False, boot=20, by=["k"]).att_avg.first()
+    other = late.where("t < 2020").withColumns({"k": F.lit("b"), "y": F.col("y") * 3})
+    idle = df.where("d = 0 AND u > 'u10'").withColumn("k", F.lit("c"))
+    both = G.gsc(late.withColumn("k", F.lit("a")).unionByName(other).unionByName(idle), "u", "t", "y", "d", r=2, cv=False, boot=20, by=["k"])
+    rows = {r.k: r for r in both.att_avg.collect()}
+    assert set(rows) == {"a", "b"}
+    assert abs(rows["a"].se - alone.se) < 1e-9 and abs(rows["a"].att_avg - alone.att_avg) < 1e-9
+
+
+def test_many_periods_and_many_groups(spark):
+    rng = np.random.default_rng(3)
+    f = rng.normal(size=600)
+    long = [(f"u{i:02d}", s, float(rng.normal() + (i % 5) * f[s] + (i < 3 and s >= 500) * 2.0 + 0.1 * rng.normal()), int(i < 3 and s >= 500)) for i in range(20) for s in range(600)]
+    fit = G.gsc(spark.createDataFrame(long, "u string, t int, y double, d int"), "u", "t", "y", "d", r=1, cv=False)
+    assert abs(fit.att_avg.first().att_avg - 2) < 0.3
+    many = [
+        (f"g{g:03d}", f"u{i}", s, float(g + i + s + (i == 0 and s >= 4) * g), int(i == 0 and s >= 4)) for g in range(200) for i in range(4) for s in range(6)
+    ]
+    groups = G.gsc(spark.createDataFrame(many, "g string, u string, t int, y double, d int"), "u", "t", "y", "d", r=0, cv=False, by=["g"])
+    got = {r.g: r.att_avg for r in groups.att_avg.collect()}
+    assert len(got) == 200 and all(abs(got[f"g{g:03d}"] - g) < 1e-8 for g in range(200))
+
+
+def test_too_few_periods_or_controls(factor_panel):
+    p, df = factor_panel
+    short = df.where("t >= 2013")
+    with pytest.raises(ValueError, match="4 known pre-periods"):
+        G.gsc(short, "u", "t", "y", "d", r=2, cv=False)
+    with pytest.raises(ValueError, match="needs more than"):
+        G.gsc(df.where("t < 2017"), "u", "t", "y", "d", r=20, cv=False)
+    with pytest.raises(ValueError, match="without a control"):
+        G.gsc(df.where("u < 'u08'"), "u", "t", "y", "d", r=0, cv=False)
+
+
 def test_drdid_needs_both_arms(spark):
     from paneloom.operators import did
 
