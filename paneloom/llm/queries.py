@@ -30,7 +30,28 @@ def register(sql: str | None = None):
     return add
 
 
-@register()
+QUALITY_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+ words AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+ runs AS (SELECT k, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY k ORDER BY i)),
+ again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, word, w2, w3) AS c FROM runs WHERE w3 IS NOT NULL) WHERE c > 1),
+ rep AS (SELECT k, count(DISTINCT i + j) AS n FROM again CROSS JOIN (VALUES (0), (1), (2)) AS s(j) GROUP BY k),
+ lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+ tagged AS (SELECT k, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+   len(regexp_extract_all(line, '[|»›•·]')) AS bars, NOT regexp_matches(line, '[.!?:;,…。！？]') AS bare, regexp_matches(lower(line), '{quality.PHRASES}') AS phrase FROM lines),
+ judged AS (SELECT k, line, words, (symbols > words * 0.1 OR (bare AND words >= 3) OR (bars >= 2 AND bars * 4 >= words) OR (phrase AND words <= 30)) AS fails FROM tagged),
+ byline AS (SELECT k, count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS dup, count(*) FILTER (fails) AS failed, coalesce(sum(words) FILTER (fails), 0) AS lost FROM judged GROUP BY k),
+ base AS (SELECT d.k, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+   CAST(failed AS BIGINT) AS n_failed_lines, CAST(lost AS BIGINT) AS n_lost_words
+   FROM d JOIN w ON w.k = d.k JOIN byline ON byline.k = d.k LEFT JOIN rep ON rep.k = d.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+ (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= n_words * 0.3) AS kept, n_failed_lines, n_lost_words FROM base
+"""
+
+
+@register(QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).drop("cleaned")
 

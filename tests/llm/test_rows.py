@@ -49,6 +49,21 @@ def test_quality_base(any_docs):
         assert r["kept"] in ((False,) if want["base_failed"] else (False, True))
 
 
+def test_quality_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    want = con.execute(entry.oracle_sql()["op1_quality_rules"]).df()
+    got = entry.queries()["op1_quality_rules"](spark, folder).toPandas()
+    assert set(got.columns) == set(want.columns)
+    names = list(want.columns)
+    assert got.sort_values("doc_id")[names].values.tolist() == want.sort_values("doc_id")[names].values.tolist()
+
+
 def test_quality_lines(spark):
     clean = "A plain sentence of some words, and it ends.\n" * 1 + " ".join(f"word{i}" for i in range(60)) + "."
     nav = "home | news | sport | about | contact"
