@@ -240,7 +240,55 @@ def _gsc(spark, d, **options):
     return G.gsc(_synth_panel(spark, d), "area", "year", "y", "d", **{"r": (0, 5), **options})
 
 
-@query("gsc_fit")
+def _factor_ctes(source: str) -> str:
+    """SQL of models with no and with one factor, per group ``g`` and kind of effects ``force``.
+
+    ``source`` has g, force, area, year, y, treat; controls are complete. The
+    leading eigenvector comes from repeated squaring of the moment matrix.
+    ``picked`` holds the counterfactual under the rank with the lower left-out
+    error; larger ranks need more pre-periods than these tables have.
+    """
+    squares = ", ".join(
+        f"""sq{i + 1} AS (SELECT g, force, years, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / big)) AS m FROM (
+    SELECT *, list_max(list_transform(m, lambda a: list_dot_product(a, a))) AS big FROM sq{i}))"""
+        for i in range(14)
+    )
+    k = "PARTITION BY g, force"
+    return f"""src AS ({source}),
+ xi AS (SELECT g, force, year, CASE WHEN force = 'two-way' THEN avg(y) ELSE 0 END AS xi FROM src WHERE treat = 0 GROUP BY 1, 2, 3),
+ c1 AS (SELECT src.g, src.force, area, src.year, y - xi AS y FROM src JOIN xi ON xi.g = src.g AND xi.force = src.force AND xi.year = src.year WHERE treat = 0),
+ cc AS (SELECT g, force, area, year, y - CASE WHEN force = 'none' THEN 0 ELSE avg(y) OVER ({k}, area) END AS c FROM c1),
+ pr AS (SELECT a.g, a.force, a.year AS t, b.year AS s, sum(a.c * b.c) AS v FROM cc a JOIN cc b ON a.g = b.g AND a.force = b.force AND a.area = b.area GROUP BY 1, 2, 3, 4),
+ ro AS (SELECT g, force, t, list(v ORDER BY s) AS r FROM pr GROUP BY 1, 2, 3),
+ sq0 AS (SELECT g, force, list(t ORDER BY t) AS years, list(r ORDER BY t) AS m FROM ro GROUP BY 1, 2),
+ {squares},
+ ff AS (SELECT g, force, unnest(years) AS year, unnest(v) * sqrt(len(years)) / sqrt(list_dot_product(v, v)) AS f FROM (
+    SELECT g, force, years, list_extract(m, list_position(n, list_max(n))) AS v FROM (SELECT *, list_transform(m, lambda a: list_dot_product(a, a)) AS n FROM sq14))),
+ tr AS (SELECT src.g, src.force, area, src.year, y, xi, y - xi AS u, f, CASE WHEN src.year < 1998 THEN 1 END AS pre FROM src JOIN xi ON xi.g = src.g AND xi.force = src.force AND xi.year = src.year
+    JOIN ff ON ff.g = src.g AND ff.force = src.force AND ff.year = src.year WHERE treat = 1),
+ lo AS (SELECT g, force, area, count(*) AS n, avg(u) AS mu, avg(f) AS mf, sum(f * f) AS ff, sum(f * u) AS fu, regr_slope(u, f) AS b, regr_sxx(u, f) AS sxx FROM tr WHERE pre = 1 GROUP BY 1, 2, 3),
+ ft AS (SELECT tr.*, n, xi + CASE WHEN tr.force = 'none' THEN 0 ELSE mu END AS y0_0, xi + CASE WHEN tr.force = 'none' THEN f * fu / lo.ff ELSE mu + b * (f - mf) END AS y0_1,
+    CASE WHEN tr.force = 'none' THEN 0 ELSE 1.0 / n END AS h0, CASE WHEN tr.force = 'none' THEN f * f / lo.ff ELSE 1.0 / n + (f - mf) * (f - mf) / sxx END AS h1
+    FROM tr JOIN lo ON lo.g = tr.g AND lo.force = tr.force AND lo.area = tr.area),
+ cv AS (SELECT g, force, min(n) AS least, avg(pow((y - y0_0) / (1 - h0), 2)) AS e0, avg(pow((y - y0_1) / (1 - h1), 2)) AS e1 FROM ft WHERE pre = 1 GROUP BY 1, 2),
+ picked AS (SELECT ft.*, CASE WHEN least >= 3 AND e0 - e1 > 0.05 * e0 THEN y0_1 ELSE y0_0 END AS y0 FROM ft JOIN cv ON cv.g = ft.g AND cv.force = ft.force)"""
+
+
+def _synth_source(forces: str = "('two-way')") -> str:
+    return f"""SELECT '' AS g, force, p.area, CAST(p.year AS BIGINT) AS year, value AS y, treat FROM panel p JOIN strong s ON s.area = p.area
+    CROSS JOIN (VALUES {forces}) AS k(force) WHERE item = 'PROMO' AND element = 'Production' AND value IS NOT NULL AND p.area <> 'NATION_3'"""
+
+
+SYNTH_CTE = f"{L_CTE}, {STRONG_CTE}, {_factor_ctes(_synth_source())}"
+MANY_CTE = f"""{L_CTE}, {STRONG_CTE}, {_factor_ctes("""SELECT item || '/' || element AS g, 'two-way' AS force, p.area, CAST(p.year AS BIGINT) AS year, value AS y, treat
+    FROM panel p JOIN strong s ON s.area = p.area WHERE item IN ('PROMO', 'ECONOMY', 'STANDARD') AND element <> 'Production' AND value IS NOT NULL AND p.area <> 'NATION_3'""")}"""
+
+
+@query(
+    "gsc_fit",
+    "SELECT area, year, CAST(year - 1998 AS BIGINT) AS rel_time, round(y, 4) AS y, round(y0_1, 4) AS y0, force FROM ft",
+    f"{L_CTE}, {STRONG_CTE}, {_factor_ctes(_synth_source(chr(44).join(f'({chr(39)}{x}{chr(39)})' for x in ('none', 'unit', 'two-way'))))}",
+)
 def gsc_fit(spark, d):
     """Counterfactual of every treated area under each kind of effects, one factor."""
     panel = _synth_panel(spark, d)
@@ -251,7 +299,11 @@ def gsc_fit(spark, d):
     return rounded(out, year=-1, rel_time=-1, y=4, y0=4)
 
 
-@query("gsc_cv")
+@query(
+    "gsc_cv",
+    """SELECT r, round(CASE r WHEN 0 THEN e0 WHEN 1 THEN CASE WHEN least >= 3 THEN e1 END END, 2) AS mspe FROM cv CROSS JOIN (SELECT CAST(unnest(range(6)) AS BIGINT) AS r)""",
+    SYNTH_CTE,
+)
 def gsc_cv(spark, d):
     return rounded(_gsc(spark, d).cv, r=-1, mspe=2)
 
@@ -278,13 +330,18 @@ def gsc_covariates(spark, d):
     return rounded(fit.att, rel_time=-1, att=4)
 
 
-@query("gsc_att")
+@query(
+    "gsc_att",
+    """SELECT CAST(year - 1998 AS BIGINT) AS rel_time, round(avg(y - y0), 4) AS att, CAST(count(*) AS BIGINT) AS n_treated,
+              round((SELECT avg(y - y0) FROM picked WHERE year >= 1998), 4) AS att_avg FROM picked GROUP BY 1""",
+    SYNTH_CTE,
+)
 def gsc_att(spark, d):
     fit = _gsc(spark, d)
     return rounded(V.attach(fit.att, fit.att_avg, []), rel_time=-1, att=4, att_avg=4)
 
 
-@query("gsc_counterfactual")
+@query("gsc_counterfactual", "SELECT year, round(avg(y), 4) AS y, round(avg(y0), 4) AS y0 FROM picked GROUP BY 1", SYNTH_CTE)
 def gsc_counterfactual(spark, d):
     return rounded(_gsc(spark, d).counterfactual, year=-1, y=4, y0=4)
 
@@ -294,7 +351,12 @@ def gsc_bootstrap(spark, d):
     return rounded(_gsc(spark, d, boot=1000, seed=1).att, rel_time=-1, att=4, se=4, conf_low=4, conf_high=4)
 
 
-@query("gsc_many")
+@query(
+    "gsc_many",
+    """SELECT split_part(g, '/', 1) AS item, split_part(g, '/', 2) AS element, CAST(year - 1998 AS BIGINT) AS rel_time, round(avg(y - y0), 4) AS att,
+              CAST(count(*) AS BIGINT) AS n_treated FROM picked GROUP BY 1, 2, 3""",
+    MANY_CTE,
+)
 def gsc_many(spark, d):
     """Three items by four elements in one run; the treatment is computed once."""
     cells = P.staged_cells(spark, d, items=list(ITEMS))
