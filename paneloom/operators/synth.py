@@ -300,21 +300,22 @@ class Panel:
         self.treated = self.units.where(F.col("__onset").isNotNull())
         self.groups = self.units.select("__g", *by).distinct()
 
-    def check(self, rank: int, spare: int | None) -> None:
+    def check(self, rank: int, spare: int) -> None:
         """Say so where a group has too few periods or arms for ``rank``, or a treated unit fewer than ``spare`` pre-periods."""
         arms = self.units.groupBy("__g").agg(
-            F.max(F.size("__grid")).alias("t"), F.count_if(F.col("__onset").isNull() & F.col("__any")).alias("co"), F.count("__onset").alias("tr")
+            F.max(F.size("__grid")).alias("t"),
+            F.count_if(F.col("__onset").isNull() & F.col("__any")).alias("co"),
+            F.count("__onset").alias("tr"),
+            F.min(F.when(F.col("__onset").isNotNull(), F.col("__pre"))).alias("least"),
         )
-        short = arms.where(F.col("t") <= rank).limit(3).collect()
-        if short:
-            raise ValueError(f"r = {rank} needs more than {short[0]['t']} periods{_names(short, '__g')}")
-        bare = arms.where((F.col("tr") > 0) & (F.col("co") == 0)).limit(3).collect()
-        if bare:
-            raise ValueError(f"treated units without a control{_names(bare, '__g')}")
-        if spare is not None:
-            few = self.treated.where(F.col("__pre") < spare).select("__g", F.col(self.unit).cast("string").alias("u")).limit(5).collect()
-            if few:
-                raise ValueError(f"r = {rank} needs {spare} known pre-periods{_names(few, '__g', 'u')}")
+        short, bare, few = F.col("t") <= rank, (F.col("tr") > 0) & (F.col("co") == 0), F.col("least") < spare
+        for row in arms.where(short | bare | few).limit(1).collect():
+            if row["t"] <= rank:
+                raise ValueError(f"r = {rank} needs more than {row['t']} periods{_names([row], '__g')}")
+            if row["tr"] and not row["co"]:
+                raise ValueError(f"treated units without a control{_names([row], '__g')}")
+            lacking = self.treated.where(F.col("__pre") < spare).select("__g", F.col(self.unit).cast("string").alias("u")).limit(5).collect()
+            raise ValueError(f"r = {rank} needs {spare} known pre-periods{_names(lacking, '__g', 'u')}")
 
     def usable_ranks(self, ranks: Sequence[int], force: str) -> DataFrame:
         """__g, __r: ranks that leave every treated unit of the group a spare pre-period."""
