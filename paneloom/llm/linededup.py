@@ -62,8 +62,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_runs(a: list[int], b: list[int]) -> list[int]:
+    """For each place of ``b`` the length of the longest run from there that ``a`` holds anywhere.
+
+    A suffix automaton of ``a`` read backwards; linear, also for texts of repeated lines.
+    """
+    step: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for x in reversed(a):
+        new, at = len(step), last
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while at >= 0 and x not in step[at]:
+            step[at][x] = new
+            at = link[at]
+        if at >= 0:
+            to = step[at][x]
+            if size[to] != size[at] + 1:
+                step.append(dict(step[to]))
+                link.append(link[to])
+                size.append(size[at] + 1)
+                copy = len(step) - 1
+                while at >= 0 and step[at].get(x) == to:
+                    step[at][x] = copy
+                    at = link[at]
+                link[to], to = copy, copy
+            link[new] = to
+        last = new
+    out, at, n = [0] * len(b), 0, 0
+    for j in range(len(b) - 1, -1, -1):
+        while at and b[j] not in step[at]:
+            at = link[at]
+            n = size[at]
+        if b[j] in step[at]:
+            at, n = step[at][b[j]], n + 1
+        out[j] = n
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], telling: list[bool]) -> list[int]:
-    """Lines of ``b`` in aligned blocks that hold a telling line."""
+    """Lines of ``b`` in aligned blocks that hold a telling line.
+
+    What the patience diff leaves (stretches without unique lines, moved or
+    repeated blocks) is aligned by longest runs, so no telling line that ``a``
+    holds stays.
+    """
     gone: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -74,6 +118,18 @@ def common_blocks(a: list[int], b: list[int], telling: list[bool]) -> list[int]:
             block = []
         block.append(j)
         last = (i, j)
+    taken, held = set(gone), set(a)
+    if any(t and x in held and j not in taken for j, (x, t) in enumerate(zip(b, telling, strict=True))):
+        runs, j = longest_runs(a, b), 0
+        while j < len(b):
+            end = j
+            while end < j + runs[j] and end not in taken:
+                end += 1
+            if any(telling[j:end]):
+                gone += range(j, end)
+                j = end
+            else:
+                j += 1
     return gone
 
 
@@ -92,8 +148,9 @@ def line_dedup(
     at most ``rare_share`` of the documents hold it. Each rare line leads a
     document to the earliest document that holds it, so a line costs one pair
     for each holder and no group is paired in itself. The lines of a pair are
-    aligned with patience diff; aligned runs with a telling line are deleted
-    from the later document. The earliest copy of a line is never deleted:
+    aligned with patience diff, then by longest common runs, whatever their
+    order and number; aligned runs with a telling line are deleted from the
+    later document, so it keeps no rare line of an earlier one. The earliest copy of a line is never deleted:
     nothing before it holds that line.
 
     Earlier means a smaller id (null ids last), then a smaller hash of the
