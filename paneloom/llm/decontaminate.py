@@ -76,7 +76,8 @@ def contamination(
 ) -> DataFrame:
     """``doc_id, item_id, similarity, distance, start_word, n_words``: the best window of each leak.
 
-    An item of n words is compared with windows of n words of the documents.
+    An item of n words is compared with windows of n words of the documents; a
+    document of fewer words is one window, compared with all its words.
     Windows that share no shingle with any item of their size have similarity
     0, so only windows around shared shingles are formed. Their SimHash
     fingerprints meet the items' by multi-index blocks: with 4 blocks of 16
@@ -123,9 +124,11 @@ def contamination(
 def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius: int, planes: int, similarity: float) -> DataFrame:
     lengths = cut_lineage(items.select("size", F.explode("hashes").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes")))
     shared = base.select("doc_id", "th", plain_words(F.col("text")).alias("words")).select("doc_id", "th", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "h"))
-    anchors = shared.join(lengths, "h").select("doc_id", "th", "n", "pos", F.explode("sizes").alias("size")).where("size <= n")
+    anchors = shared.join(lengths, "h").select("doc_id", "th", "n", "pos", F.explode("sizes").alias("size"))
+    # a shorter document is one window; it can't be more similar than its share of the item's shingles
+    anchors = anchors.where((F.col("size") <= F.col("n")) | ((F.col("n") - (k - 1)) / (F.col("size") - (k - 1)) >= similarity))
     # the run of window starts that cover an anchor
-    runs = anchors.select("doc_id", "th", "size", F.greatest(F.col("pos") + k - F.col("size"), F.lit(0)).alias("lo"), F.least("pos", F.col("n") - F.col("size")).alias("hi"))
+    runs = anchors.select("doc_id", "th", "size", F.greatest(F.col("pos") + k - F.col("size"), F.lit(0)).alias("lo"), F.least("pos", F.greatest(F.col("n") - F.col("size"), F.lit(0))).alias("hi"))
     starts = (
         runs.groupBy("doc_id", "th", "size")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
@@ -159,16 +162,16 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
         .where(F.col("distance") <= radius)
         .distinct()
     )
-    window = windows.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("size").alias("s2"), F.col("start").alias("b2"), "hashes")
+    window = windows.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("size").alias("s2"), F.col("start").alias("b2"), F.size("hashes").alias("have"), "hashes")
     same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("size") == F.col("s2")) & (F.col("start") == F.col("b2"))
-    place = ["doc_id", "th", "size", "start", "item_id", "distance"]
+    place = ["doc_id", "th", "size", "start", "item_id", "distance", "have"]
     counted = candidates.join(window.hint("merge"), same).select(*place, F.explode("hashes").alias("h")).groupBy(*place, "h").agg(F.count("*").alias("n"))
     weights = items.select("item_id", F.explode("hashes").alias("h")).groupBy("item_id", "h").agg(F.count("*").alias("m"))
     common = counted.join(weights, ["item_id", "h"]).groupBy(*place).agg(F.sum(F.least("n", "m")).alias("common"))
-    both = 2 * (F.col("size") - (k - 1))
+    both = F.col("have") + F.col("size") - (k - 1)
     scored = common.withColumn("similarity", F.col("common") / (both - F.col("common"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct(F.col("similarity"), (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), F.col("size"))).alias("best")
+        F.max(F.struct(F.col("similarity"), (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), (F.col("have") + (k - 1)).alias("size"))).alias("best")
     )
     return best.select(
         "doc_id",
