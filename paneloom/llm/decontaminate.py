@@ -74,7 +74,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, item_id, similarity, distance, start_word, n_words``: the best window of each leak.
+    """``doc_id, text_hash, item_id, similarity, distance, start_word, n_words``: the best window of each leak.
 
     An item of n words is compared with windows of n words of the documents; a
     document of fewer words is one window, compared with all its words.
@@ -91,7 +91,8 @@ def contamination(
     words, for shorter items the whole item. Null and empty texts hold no
     windows, items without words match nothing, null ids are reported as null,
     equal windows: the first counts, repeated rows count once (rows equal in
-    id and text), empty tables give no rows, other columns are not read.
+    id and text; ``text_hash`` tells rows of one id, or without id, apart),
+    empty tables give no rows, other columns are not read.
 
     Documents are read twice: once for shared shingles (against the
     benchmark's shingles, a written table that Spark broadcasts only below its
@@ -117,7 +118,7 @@ def contamination(
     if out is None:
         kinds = (docs.schema[id_col].dataType, benchmark.schema[item_col].dataType)
         empty = docs.where("false").select(F.lit(None).cast(kinds[0]).alias("doc_id"), F.lit(None).cast(kinds[1]).alias("item_id"))
-        return empty.selectExpr("doc_id", "item_id", "0D as similarity", "0 as distance", "0 as start_word", "0 as n_words")
+        return empty.selectExpr("doc_id", "0L as text_hash", "item_id", "0D as similarity", "0 as distance", "0 as start_word", "0 as n_words")
     return out
 
 
@@ -170,11 +171,12 @@ def _matches(base: DataFrame, items: DataFrame, k: int, near: list[int], radius:
     common = counted.join(weights, ["item_id", "h"]).groupBy(*place).agg(F.sum(F.least("n", "m")).alias("common"))
     both = F.col("have") + F.col("size") - (k - 1)
     scored = common.withColumn("similarity", F.col("common") / (both - F.col("common"))).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(
+    best = scored.groupBy("doc_id", "th", "item_id").agg(
         F.max(F.struct(F.col("similarity"), (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), (F.col("have") + (k - 1)).alias("size"))).alias("best")
     )
     return best.select(
         "doc_id",
+        F.col("th").alias("text_hash"),
         "item_id",
         F.col("best.similarity").alias("similarity"),
         (-F.col("best.d")).alias("distance"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paneloom.llm import decontaminate, linededup, packing, pii, quality, repair, repeats, sharding, simhash, toxicity
+from paneloom.llm import alignment, decontaminate, linededup, merkle, mixing, packing, pii, quality, repair, repeats, sharding, simhash, toxicity
 from paneloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,75 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+   md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS k FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+ -- a source is full at a level if twice its size lies below; the level is right if it gives out all words
+ t AS (SELECT *, source_size * 2.0 / w AS fill FROM w),
+ level AS (SELECT 3 * (SELECT sum(source_size) FROM t) - 4 * coalesce(sum(source_size) FILTER (fill <= f), 0) AS top, 2 * sum(w) FILTER (fill > f) AS bottom, f
+   FROM t, (SELECT fill AS f FROM t UNION SELECT -1.0) GROUP BY f HAVING coalesce(sum(w) FILTER (fill > f), 0) > 0),
+ right_level AS (SELECT CAST(top AS BIGINT) AS top, CAST(bottom AS BIGINT) AS bottom FROM level WHERE top >= f * bottom AND top < (SELECT min(fill) FROM t WHERE fill > f) * bottom),
+ goal AS (SELECT source, source_size, CASE WHEN top IS NULL OR top * w > source_size * 2 * bottom THEN source_size * 2 ELSE top * w END AS top,
+   CASE WHEN top IS NULL OR top * w > source_size * 2 * bottom THEN 1 ELSE bottom END AS bottom FROM t LEFT JOIN right_level ON true),
+ budget AS (SELECT source, source_size, CAST(top AS DOUBLE) / CAST(bottom AS DOUBLE) AS target, CAST(top // bottom AS BIGINT) AS b FROM goal),
+ o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT o.doc_id, o.source, o.size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
+  ELSE (b // source_size) * size + greatest(0, least(size, b % source_size - before)) END AS BIGINT) AS taken
+FROM o JOIN budget ON budget.source IS NOT DISTINCT FROM o.source
+"""
+
+
+@register(MIXING_SQL)
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@register()
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text,
+   -- unsigned CRC-32 of the decimal id, bit by bit
+   xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+     lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]),
+       lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT))))) AS crc FROM documents),
+ f AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+   CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM d),
+ l AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+   sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS shown FROM f),
+ r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size FROM l),
+ nodes AS (SELECT tree, 0 AS lvl, idx, size, leaf AS h FROM r
+   UNION ALL SELECT tree, min(lvl) + 1, idx // 3, (min(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE size > 1 GROUP BY tree, idx // 3),
+ sub AS (SELECT tree, h AS subroot, lvl AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM nodes WHERE size = 1),
+ over AS (SELECT 0 AS lvl, place AS idx, size, subroot AS h FROM sub
+   UNION ALL SELECT min(lvl) + 1, idx // 3, (min(size) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM over WHERE size > 1 GROUP BY idx // 3),
+ top AS (SELECT h AS root FROM over WHERE size = 1),
+ runs AS (SELECT tree, lvl, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM nodes WHERE size > 1 GROUP BY tree, lvl, idx // 3),
+ overs AS (SELECT lvl, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM over WHERE size > 1 GROUP BY lvl, idx // 3),
+ own AS (SELECT r.doc_id, r.tree, r.leaf, r.shown, r.idx, sub.subroot, sub.height, sub.place FROM r JOIN sub ON sub.tree = r.tree),
+ walk AS (SELECT tree, idx AS leaf_at, place, height, idx AS spot, 0 AS lvl, shown AS h, '' AS proof FROM own
+   UNION ALL SELECT walk.tree, leaf_at, place, height, CASE WHEN walk.lvl + 1 = height THEN place ELSE spot // 3 END, walk.lvl + 1,
+     sha256(array_to_string(list_concat(list_concat(hs[1:spot % 3], [h]), hs[spot % 3 + 2:]), '')),
+     proof || array_to_string(list_concat(hs[1:spot % 3], hs[spot % 3 + 2:]), '')
+     FROM walk JOIN runs ON runs.tree = walk.tree AND runs.lvl = walk.lvl AND runs.run = spot // 3 WHERE walk.lvl < height),
+ turned AS (SELECT tree, leaf_at, CASE WHEN height = 0 THEN place ELSE spot END AS spot, 0 AS lvl, h, proof FROM walk WHERE lvl = height
+   UNION ALL SELECT tree, leaf_at, spot // 3, turned.lvl + 1, sha256(array_to_string(list_concat(list_concat(hs[1:spot % 3], [h]), hs[spot % 3 + 2:]), '')),
+     proof || array_to_string(list_concat(hs[1:spot % 3], hs[spot % 3 + 2:]), '')
+     FROM turned JOIN overs ON overs.lvl = turned.lvl AND overs.run = spot // 3),
+ ended AS (SELECT tree, leaf_at, h, proof FROM turned WHERE lvl = (SELECT max(lvl) FROM over))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified,
+  CAST((SELECT sum(idx // CAST(3 ** k AS BIGINT)) FROM range(0, 40) AS s(k) WHERE k <= height AND k < 39) AS BIGINT) AS position
+FROM own JOIN ended ON ended.tree = own.tree AND ended.leaf_at = own.idx CROSS JOIN top
+"""
+
+
+@register(MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))

@@ -171,6 +171,30 @@ def near_links(prints: DataFrame, radius: int = 2, sample_rows: int = 1024, buck
     return pairs.union(stars).distinct()
 
 
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """``doc_id, text_hash, fp, root``: fingerprint and class of each row.
+
+    Words are lower-cased (A-Z), shingles of ``shingle`` words count as often
+    as they occur; a text with fewer words is one shingle, one without words
+    has fingerprint zero and links like any other. ``root`` is the smallest
+    (signed) fingerprint that links of at most ``radius`` differing bits can
+    reach. One row comes out per row, null ids included; null texts count as
+    empty; repeated rows fall in one class; an empty table gives none; other
+    columns are not read.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
+
+    base = id_text(docs, id_col, text_col)
+    prints = cut_lineage(base.select("doc_id", F.xxhash64("text").alias("text_hash"), print_of("text").alias("fp")))
+    nodes = components(near_links(prints, radius))
+    named = prints.select("fp").distinct().join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2
 ) -> DataFrame:
