@@ -61,3 +61,24 @@ def test_edges(spark, kind, request):
 
 def test_run_has_rows(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_leaks_without_id(spark):
+    """A leaking row goes and a clean row stays, also without id or with a shared id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    clean = " ".join(f"clean{k}" for k in range(80))
+    rows = [(None, f"before {item} after"), (None, clean), (7, item), (7, clean + " seven"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", "1 AS th")
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_near_duplicates_without_id(spark):
+    """One row of each class stays: the smallest id, else the row without id."""
+    text = " ".join(f"word{k}" for k in range(90))
+    other = " ".join(f"other{k}" for k in range(90))
+    rows = [(5, text), (4, text), (None, text), (None, other), (None, other), (4, other + " tail of more words that differ quite a lot from all of the rest")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", "1 AS root")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[5]], key=str)
