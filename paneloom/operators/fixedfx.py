@@ -2,11 +2,12 @@
 
 The rows are first summed to cells (one per combination of effect and cluster
 keys), each holding its row count, means and centred co-moments. All later work
-is on cells and level tables; the rows are read once. Alternating projections
-then move small level tables (one row per effect level) between shuffles: every
-round joins the current levels to the cells and averages what is left. The
-cells stay spread by their full key, so a level that covers a third of the rows
-is summed map-side like any other.
+is on cells and level tables; the rows are read once. The first key's levels are
+eliminated, the others found by conjugate gradients: every round joins small
+level tables (one row per effect level) to the cells and sums what is left, once
+per key. Groups that have settled leave the rounds. The cells stay spread by
+their full key, so a level that covers a third of the rows is summed map-side
+like any other.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.operators.linreg import _by_fields, _symmetric, coef_frame, coef_schema, design, solve_normal
+from paneloom.operators.network import connected_components
 from paneloom.operators.verbs import attach, lookup, quoted
-from paneloom.session import cut_lineage
+from paneloom.session import append_stage, cut_lineage, drop_stage
 
 Key = str | Sequence[str]
 
@@ -73,40 +75,169 @@ class _Cells:
         return d.groupBy(*self.level_keys(i)).agg(*[F.expr(f"sum(__n * ({left[p]})) / sum(__n) AS __f_{p}") for p in self.vars])
 
     def solve(self, tol: float, max_iter: int) -> dict[int, DataFrame]:
-        """Levels of every effect at convergence.
-
-        Each projection is one job: the cells meet the written (and so
-        size-known) level tables and are summed map-side. The largest change of
-        a level, relative to the spread of its variable, decides when to stop:
-        once all but one key have come out unchanged, the last one would too.
+        """Levels of every effect at convergence; ``self.rounds`` counts the tables written on the way.
+
+        The levels u of all keys but the first solve S u = b, where S sums, by
+        level, what the cells keep of u after the first key's means are taken
+        off. Conjugate gradients with the row counts as preconditioner take one
+        pass by the first key and one by each other key in a round, as many as
+        alternating projections, but need about the square root of their
+        rounds. Both sums of a round come from one reduction. All variables of
+        all groups go together, each with step lengths of its own.
+
+        A group has settled once its remaining level means are below ``tol``
+        times the spread of every variable (or below rounding); its levels are
+        put aside and its cells leave by the join. When half of the groups
+        have left, the cells of the others are written anew.
         """
         q = len(self.fe)
+        self.rounds = 1
         if q == 1:
             return {0: cut_lineage(self.project(0, {}))}
-        # Spread per variable, to make the stopping rule free of units.
-        spread = cut_lineage(
+        each = lambda text: [text.format(p=p) for p in self.vars]
+        first, others = self.level_keys(0), {i: self.level_keys(i) for i in range(1, q)}
+        scale = cut_lineage(
             self.cells.groupBy(*self.by).agg(
-                *[F.expr(f"sqrt((sum(__w_{p}_{p}) + var_pop(__m_{p}) * sum(__n)) / sum(__n)) AS __s_{p}") for p in self.vars]
+                *[
+                    F.expr(f"pow({tol}, 2) * (sum(__w_{p}_{p}) + var_pop(__m_{p}) * sum(__n)) + 1e-28D * sum(__n * __m_{p} * __m_{p}) AS __e_{p}")
+                    for p in self.vars
+                ]
             )
         )
-        levels: dict[int, DataFrame] = {}
-        calm = 0
+        cells = self.cells
+        means = cut_lineage(cells.groupBy(*first).agg(*[F.expr(t) for t in each("sum(__n * __m_{p}) / sum(__n) AS __t_{p}")]))
+        met = lookup(cells, means, first, [f"__t_{p}" for p in self.vars], how="inner")
+        state, done = {}, dict.fromkeys(others)
+        for i, keys in others.items():
+            start = met.groupBy(*keys).agg(F.expr("sum(__n) AS __n"), *[F.expr(t) for t in each("sum(__n * (__m_{p} - __t_{p})) AS __r_{p}")])
+            state[i] = cut_lineage(start.selectExpr("*", *[f"0D AS __{c}_{p}" for c in "xpsga" for p in self.vars]))
+        drop_stage(means)
+        self.rounds += 1 + len(others)
+        groups = None
         for _ in range(max_iter):
-            for i in range(q):
-                new = self.project(i, levels)
-                if i not in levels:
-                    levels[i] = cut_lineage(new)
-                    continue
-                paired = attach(lookup(new, levels[i], self.level_keys(i), {f"__f_{p}": f"__o_{p}" for p in self.vars}, how="inner"), spread, self.by)
-                change = ", ".join(f"abs(__f_{p} - __o_{p}) / greatest(__s_{p}, 1e-300D)" for p in self.vars)
-                seen = Observation()
-                watched = paired.withColumn("__change", F.expr(f"greatest({change}, 0D)")).observe(seen, F.max("__change").alias("worst"))
-                levels[i] = cut_lineage(watched.select(*new.columns))
-                worst = seen.get["worst"]
-                calm = calm + 1 if worst is None or worst <= tol else 0
-                if calm >= q - 1:
-                    return levels
-        raise RuntimeError(f"effects did not settle in {max_iter} rounds")
+            # what is left of each group, and which groups have settled
+            left = [t.groupBy(*self.by).agg(*[F.expr(x) for x in each("sum(__r_{p} * __r_{p} / __n) AS __c_{p}")]) for t in state.values()]
+            total = self._added(left, [f"__c_{p}" for p in self.vars])
+            small = " AND ".join(each("__c_{p} <= __e_{p}"))
+            judged = cut_lineage(attach(total, scale, self.by).selectExpr(*map(quoted, self.by), f"({small}) AS __settled"))
+            counts = {r["__settled"]: r["count"] for r in judged.groupBy("__settled").count().collect()}
+            if counts.get(True):
+                for i, keys in others.items():
+                    over = attach(state[i], judged.where("__settled"), self.by)
+                    done[i] = append_stage(over.selectExpr(*map(quoted, keys), *each("__x_{p} AS __f_{p}")), done[i])
+            active = counts.get(False, 0)
+            if not active:
+                for i, keys in others.items():
+                    if done[i] is None:  # no rows, no groups
+                        done[i] = cut_lineage(state[i].selectExpr(*map(quoted, keys), *each("__x_{p} AS __f_{p}")))
+                drop_stage(judged, scale, *[getattr(t, "_read", t) for t in state.values()])
+                break
+            if counts.get(True):
+                going = judged.where("NOT __settled").drop("__settled")
+                state = {i: self._kept(t, going) for i, t in state.items()}
+                groups = groups or sum(counts.values())
+                if 2 * active <= groups:
+                    smaller = cut_lineage(self._kept(cells, going))
+                    drop_stage(cells if cells is not self.cells else None)
+                    cells, groups = smaller, active
+            state = self._round(cells, state, first, others)
+            drop_stage(judged)
+        else:
+            raise RuntimeError(f"effects did not settle in {max_iter} rounds")
+        drop_stage(cells if cells is not self.cells else None)
+        self.rounds += 1
+        return {0: cut_lineage(self.project(0, done))} | done
+
+    def _kept(self, table: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows of some groups; the stage that they are read from goes along."""
+        if not self.by:
+            return table
+        out = attach(table, groups, self.by)
+        out._read = getattr(table, "_read", table)
+        return out
+
+    def _added(self, tables: list[DataFrame], sums: list[str]) -> DataFrame:
+        """Per-group sums of several tables, added up."""
+        if len(tables) == 1:
+            return tables[0]
+        whole = tables[0]
+        for t in tables[1:]:
+            whole = whole.unionByName(t)
+        return whole.groupBy(*self.by).agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
+
+    def _round(self, cells: DataFrame, state: dict[int, DataFrame], first: list[str], others: dict[int, list[str]]) -> dict[int, DataFrame]:
+        """One round of conjugate gradients: S times the preconditioned rest, one reduction, all updates."""
+        each = lambda text: [text.format(p=p) for p in self.vars]
+        met, u = cells, {p: [] for p in self.vars}
+        for i, keys in others.items():
+            table = state[i].selectExpr(*map(quoted, keys), *[f"__r_{p} / __n AS __u{i}_{p}" for p in self.vars])
+            met = lookup(met, table, keys, [f"__u{i}_{p}" for p in self.vars], how="inner")
+            for p in self.vars:
+                u[p].append(f"__u{i}_{p}")
+        step = {p: " + ".join(names) for p, names in u.items()}
+        means = cut_lineage(met.groupBy(*first).agg(*[F.expr(f"sum(__n * ({step[p]})) / sum(__n) AS __t_{p}") for p in self.vars]))
+        met = lookup(met, means, first, [f"__t_{p}" for p in self.vars], how="inner")
+        applied = {}
+        for i, keys in others.items():
+            summed = met.groupBy(*keys).agg(*[F.expr(f"sum(__n * ({step[p]} - __t_{p})) AS __w_{p}") for p in self.vars])
+            applied[i] = cut_lineage(lookup(state[i], summed, keys, [f"__w_{p}" for p in self.vars], how="inner"))
+            self.rounds += 1
+        self.rounds += 1
+        drop_stage(means, *[getattr(t, "_read", t) for t in state.values()])
+        sums = [x for p in self.vars for x in (f"__c_{p}", f"__d_{p}")]
+        products = each("sum(__r_{p} * __r_{p} / __n) AS __c_{p}") + each("sum(__w_{p} * __r_{p} / __n) AS __d_{p}")
+        steps = self._added([t.groupBy(*self.by).agg(*[F.expr(x) for x in products]) for t in applied.values()], sums)
+        out = {}
+        for i, keys in others.items():
+            t = attach(applied[i], steps, self.by)
+            # g and a are the last rest and step length of the group, 0 before the first round
+            t = t.selectExpr("*", *each("coalesce(try_divide(__c_{p}, __g_{p}), 0D) AS __b_{p}"))
+            t = t.selectExpr("*", *each("coalesce(try_divide(__c_{p}, __d_{p} - coalesce(try_divide(__b_{p} * __c_{p}, __a_{p}), 0D)), 0D) AS __l_{p}"))
+            t = t.selectExpr("*", *each("__r_{p} / __n + __b_{p} * __p_{p} AS __np_{p}"), *each("__w_{p} + __b_{p} * __s_{p} AS __ns_{p}"))
+            new = each("__x_{p} + __l_{p} * __np_{p} AS __x_{p}") + each("__r_{p} - __l_{p} * __ns_{p} AS __r_{p}")
+            new += each("__np_{p} AS __p_{p}") + each("__ns_{p} AS __s_{p}") + each("__c_{p} AS __g_{p}") + each("__l_{p} AS __a_{p}")
+            out[i] = t.selectExpr(*map(quoted, keys), "__n", *new)
+            out[i]._read = applied[i]
+        return out
+
+    def pieces(self, i: int, j: int) -> tuple[DataFrame, DataFrame]:
+        """Connected components of the graph of two keys' levels: per key, by, its levels and their component.
+
+        A group in which one level meets all levels of the other key is one
+        component; only the links of other groups are followed.
+        """
+        a, b = self.level_keys(i), self.level_keys(j)
+        links = cut_lineage(self.cells.select(*dict.fromkeys([*a, *b])).distinct())
+        sizes = links.select(*b).distinct().groupBy(*self.by).agg(F.count(F.lit(1)).alias("__all"))
+        met = links.groupBy(*a).agg(F.count(F.lit(1)).alias("__met"))
+        whole = cut_lineage(attach(met, sizes, self.by).groupBy(*self.by).agg(F.max(F.col("__met") == F.col("__all")).alias("__whole")))
+        found = None
+        if not whole.where("NOT __whole").isEmpty():
+            name = lambda side, keys: F.concat(F.lit(side), F.to_json(F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keys)])))
+            followed = attach(links, whole, self.by).where("NOT __whole")
+            found = cut_lineage(connected_components(followed.select(name("a", a).alias("src"), name("b", b).alias("dst"))))
+        out = []
+        for side, keys in (("a", a), ("b", b)):
+            levels = links.select(*keys).distinct()
+            if found is None:
+                out.append(levels.withColumn("component", F.lit("")))
+                continue
+            named = lookup(levels.withColumn("__name", name(side, keys)), found, {"__name": "name"}, ["component"])
+            out.append(named.select(*keys, F.coalesce("component", F.lit("")).alias("component")))
+        return out[0], out[1]
+
+    def lost(self, i: int) -> DataFrame:
+        """by, lost: levels of key i that those of an earlier key already express.
+
+        That is one per component of the graph of the two keys, which is exact
+        for two keys; with more, the earlier key with the most components
+        counts, a lower bound.
+        """
+        counts = None
+        for j in range(i):
+            one = self.pieces(i, j)[0].groupBy(*self.by).agg(F.countDistinct("component").alias("lost"))
+            counts = one if counts is None else counts.unionByName(one)
+        return counts.groupBy(*self.by).agg(F.max("lost").alias("lost"))
 
 
 def feols(
@@ -164,6 +295,9 @@ def feols(
     ]
     for i, table in levels.items():
         moments = attach(moments, table.groupBy(*prob.by).agg(F.count(F.lit(1)).alias(f"__g{i}")), prob.by)
+    counted = count_effects != "none" or not cluster
+    for i in range(1, len(prob.fe)):
+        moments = attach(moments, prob.lost(i).withColumnRenamed("lost", f"__lost{i}"), prob.by) if counted else moments.withColumn(f"__lost{i}", F.lit(1))
 
     fields, by_list, terms = _by_fields(df, by), list(by), prob.terms
     fe_keys, clusters, q = prob.fe, cluster, len(prob.fe)
@@ -200,13 +334,15 @@ def feols(
             nobs, yy, tss = (pdf[c].to_numpy(dtype=float) for c in ("__n", "__yy", "__tss"))
             ssr = np.maximum(yy - np.einsum("gi,gi->g", beta, b), 0.0)
             sizes = np.stack([pdf[f"__g{i}"].to_numpy(dtype=float) for i in range(q)], axis=1)
+            # levels of a later key that earlier keys express: one per component of their graph
+            lost = np.stack([np.zeros(len(pdf)), *[pdf[f"__lost{i}"].to_numpy(dtype=float) for i in range(1, q)]], axis=1)
             slopes = used.sum(axis=1)
-            every = slopes + sizes.sum(axis=1) - (q - 1)
+            every = slopes + (sizes - lost).sum(axis=1)
             if count_effects == "none":
                 params = slopes
             elif count_effects == "nested" and clusters:
                 free = [i for i in range(q) if not nested[i]]
-                params = slopes + 1 + (sizes[:, free] - 1).sum(axis=1)
+                params = slopes + ((sizes - lost)[:, free].sum(axis=1) + lost[:, free[0]] if free else 1)
             else:
                 params = every
             with np.errstate(all="ignore"):
@@ -238,35 +374,33 @@ def fixef(
 ) -> DataFrame:
     """Level effects: by, fe (key name), level, effect.
 
-    Effects of two keys are determined up to a constant; the first level (in
-    sort order) of every later key is set to 0 and the first key takes the shift.
+    Effects of two keys are determined up to a constant for each connected
+    component of the graph of their levels. In each component that a later key
+    forms with the first one, the key's first level (in sort order) is set to 0
+    and the first key's levels take the shift.
     """
     prob = _Cells(df, y, x, fe, by, [])
     levels = prob.solve(tol, max_iter)
-    coefs = feols_from(prob, levels)
-    out = None
+    coefs = cut_lineage(feols_from(prob, levels))
     tables = {}
     for i, table in levels.items():
         effect = F.col("__f_y")
         for j in range(prob.k):
             effect = effect - F.col("__beta")[j] * F.col(f"__f_x{j}")
         level = F.concat_ws("^", *[F.col(c).cast("string") for c in prob.fe[i]])
-        tables[i] = attach(table, coefs, prob.by).select(*prob.by, F.lit("^".join(prob.fe[i])).alias("fe"), level.alias("level"), effect.alias("effect"))
-    shift = None
+        tables[i] = attach(table, coefs, prob.by).select(*prob.level_keys(i), level.alias("__level"), effect.alias("__effect"))
     for i in range(1, len(tables)):
-        base = tables[i].groupBy(*prob.by).agg(F.min_by("effect", "level").alias("__base"))
-        tables[i] = attach(tables[i], base, prob.by).withColumn("effect", F.col("effect") - F.col("__base")).drop("__base")
-        base = base.withColumnRenamed("__base", f"__base{i}")
-        shift = base if shift is None else attach(shift, base, prob.by)
-    if shift is not None:
-        total = None
-        for c in shift.columns:
-            if c.startswith("__base"):
-                total = F.col(c) if total is None else total + F.col(c)
-        first = attach(tables[0], shift.select(*prob.by, total.alias("__shift")), prob.by)
-        tables[0] = first.withColumn("effect", F.col("effect") + F.col("__shift")).drop("__shift")
-    for t in tables.values():
-        out = t if out is None else out.unionByName(t)
+        own, first = prob.pieces(i, 0)
+        keys = [*prob.by, "component"]
+        mine = lookup(tables[i], own, prob.level_keys(i), ["component"])
+        base = cut_lineage(mine.groupBy(*keys).agg(F.min_by("__effect", "__level").alias("__base")))
+        tables[i] = attach(mine, base, keys).withColumn("__effect", F.col("__effect") - F.col("__base")).drop("__base", "component")
+        shifted = attach(lookup(tables[0], first, prob.level_keys(0), ["component"]), base, keys)
+        tables[0] = shifted.withColumn("__effect", F.col("__effect") + F.col("__base")).drop("__base", "component")
+    out = None
+    for i, t in tables.items():
+        named = t.select(*prob.by, F.lit("^".join(prob.fe[i])).alias("fe"), F.col("__level").alias("level"), F.col("__effect").alias("effect"))
+        out = named if out is None else out.unionByName(named)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators.verbs import first_per_key, lookup
+from paneloom.session import cut_lineage, drop_stage
 
 
 def edges(flows: DataFrame, min_value: float | None = None, exporter: str | None = None, importer: str | None = None) -> DataFrame:
@@ -47,3 +48,31 @@ def bounding_box(coords: DataFrame) -> DataFrame:
     return coords.agg(
         F.min("lon").alias("left"), F.min("lat").alias("bottom"), F.max("lon").alias("right"), F.max("lat").alias("top")
     )
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """name, component for every node of ``links`` (src, dst): component is the smallest node it can reach.
+
+    Two steps alternate until nothing changes: the larger neighbours of a node
+    hang on its smallest one, then the smaller ones. Each is a minimum by node,
+    summed map-side and joined back, so a node with a third of the links is no
+    one task's work. Rounds grow with the logarithm of the longest chain; each
+    is written and the round before it dropped.
+    """
+    nodes = vertices(links)
+    links = cut_lineage(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    before = None
+    while True:
+        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        down = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = cut_lineage(rest.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop_stage(links)
+        links = hung
+        after = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if after == before:
+            found = links.groupBy("u").agg(F.min("v").alias("component"))
+            return lookup(nodes, found, {"name": "u"}, ["component"]).select("name", F.coalesce("component", "name").alias("component"))
+        before = after
