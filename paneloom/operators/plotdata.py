@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +11,9 @@ from pyspark.sql import types as T
 
 from paneloom.functions.distributions import t_quantile
 from paneloom.functions.scalars import ratio
+from paneloom.operators import localfit
 from paneloom.operators.reshape import price_long
-from paneloom.operators.verbs import attach, lookup, order_statistics, quoted
-from paneloom.session import cut_lineage
+from paneloom.operators.verbs import attach
 
 Limits = tuple[float, float] | None
 
@@ -130,47 +129,33 @@ def smooth_lm(
 
 
 def smooth_loess(
-    df: DataFrame, x: str, y: str, span: float = 0.75, n: int = 80, facet: Sequence[str] = (), xlim: Limits = None, ylim: Limits = None
+    df: DataFrame,
+    x: str,
+    y: str,
+    span: float = 0.75,
+    n: int = 80,
+    facet: Sequence[str] = (),
+    xlim: Limits = None,
+    ylim: Limits = None,
+    band: bool = False,
+    cell: float = 0.2,
+    conf_level: float = 0.95,
 ) -> DataFrame:
-    """Local quadratic fit with tricube weights at n points per facet: facet, point, x, y.
+    """Local quadratic fit with tricube weights at n points per facet: facet, point, x, y, and with ``band`` se, low, high.
 
     Rows with the same x are summed first (distances repeat in every year and
-    item). Each distinct x then meets the n grid points of its facet and is
-    summed map-side to weighted moments per point. The bandwidth of a point is
-    the exact distance to its nearest ``span`` share of the rows; where no row
-    lies strictly inside (many rows at one x), it is the next larger distance.
-    Every facet gets all n points; y is NULL where all rows are at one distance.
+    item). The bandwidth of a point is the exact distance to its nearest
+    ``span`` share of the rows; where no row lies strictly inside (many rows at
+    one x), it is the next larger distance. Every facet gets all n points; y is
+    NULL where all rows are at one distance.
+
+    The band takes the smoother's operator as blended between the vertices of
+    a partition in cells of at most ``span * cell`` of the rows. Its residual
+    variance is the residual sum of squares over N - 2 tr(L) + tr(L L'), which
+    also is the number of degrees of freedom of the t quantile.
     """
     rows = _limited(df.select(*facet, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), "__x", xlim, "__y", ylim)
-    rows = rows.groupBy(*facet, "__x").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__sy"))
-    ends = rows.groupBy(*facet).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    met = _grid(attach(rows, ends, facet), facet, n).withColumn("__d", F.abs(F.col("__x") - F.col("x")))
-    keys = [*facet, "point", "x"]
-    rank = F.greatest(F.floor(F.col("n") * span + 1e-5), F.lit(1))
-    nearest = F.min("__d").alias("__least")
-    reach = cut_lineage(order_statistics(met, keys, "__d", span, {"__h": rank}, [nearest], weight="__n", slices=512).drop("n"))
-    empty = attach(met, reach.where("__least >= __h"), keys).where("__d > __h").groupBy(*keys).agg(F.min("__d").alias("__next"))
-    reach = lookup(reach, empty, keys, ["__next"], null_safe=True).select(*keys, F.coalesce("__next", "__h").alias("__h"))
-    # Offsets in units of the bandwidth keep the moments well scaled.
-    near = attach(met, reach, keys).where("__d < __h").selectExpr(
-        *map(quoted, keys), "__n", "__sy", "(__x - x) / __h AS __u", "pow(1 - pow(__d / __h, 3), 3) AS __w"
-    )
-    power = lambda k: " * ".join(["__w"] + ["__u"] * k)
-    sums = near.groupBy(*keys).agg(
-        *[F.expr(f"sum({power(k)} * __n) AS __a{k}") for k in range(5)], *[F.expr(f"sum({power(k)} * __sy) AS __b{k}") for k in range(3)]
-    )
-    schema = T.StructType([sums.schema[c] for c in keys]).add("y", "double")
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            a = np.stack([[pdf[f"__a{i + j}"].to_numpy() for j in range(3)] for i in range(3)]).transpose(2, 0, 1)
-            b = np.stack([pdf[f"__b{i}"].to_numpy() for i in range(3)], axis=1)
-            fit = np.einsum("gij,gj->gi", np.linalg.pinv(a, hermitian=True), b)[:, 0]
-            yield pdf[keys].assign(y=fit)
-
-    return lookup(reach.select(*keys), sums.mapInPandas(solve, schema), keys, ["y"], null_safe=True)
+    return localfit.smooth_loess(rows, facet, span, n, band, cell, conf_level)
 
 
 def coef_series(coefs: DataFrame, term: str, time: str, keys: Sequence[str] = ()) -> DataFrame:
