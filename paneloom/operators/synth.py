@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,16 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneloom.operators.ranges import ranks
 from paneloom.operators.verbs import lookup
 from paneloom.session import cut_lineage
 
 #: Matrix rows of one strip of a moment matrix, and numbers a task holds before it hands partial moments on.
 STRIP = 32
 HELD_NUMBERS = 1 << 24
+
+#: Controls of a stratum of the bootstrap, and neighbouring controls that one call leaves out in turn.
+STRATUM, LEFT_OUT_CALL = 256, 64
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
@@ -222,6 +227,12 @@ def moment_strips(rows: DataFrame, second: str, stack) -> DataFrame:
         if found:
             yield _strips(found, keys)
 
+    return merged_strips(rows.mapInPandas(partial, _strip_schema(second)), second)
+
+
+def merged_strips(parts: DataFrame, second: str) -> DataFrame:
+    """One row for each strip of every (``__g``, ``second``) from those of its parts."""
+
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, s = 0, int(key[2])
         for more, other, part in zip(pdf["__n"], pdf["__mean"], pdf["__part"]):
@@ -234,7 +245,7 @@ def moment_strips(rows: DataFrame, second: str, stack) -> DataFrame:
             n += int(more)
         return pd.DataFrame([{"__g": key[0], second: int(key[1]), "__s": s, "__n": n, "__mean": mean, "__part": total}])
 
-    return rows.mapInPandas(partial, _strip_schema(second)).groupBy("__g", second, "__s").applyInPandas(merge, _strip_schema(second))
+    return parts.groupBy("__g", second, "__s").applyInPandas(merge, _strip_schema(second))
 
 
 def _join_strips(pdf: pd.DataFrame) -> Moments:
@@ -460,14 +471,13 @@ def gsc(
     seed: int = 0,
     by: Sequence[str] = (),
     min_gain: float = 0.05,
-    left_outs: int = 1000,
 ) -> SynthResult:
     """Generalised synthetic control of every group of ``by`` in one run.
 
     ``force`` is ``none``, ``unit`` or ``two-way``. The number of factors is
     searched in ``r`` by leave-one-period-out error when ``cv``, else the first
     number is used. ``boot`` parametric bootstrap draws add standard errors; their
-    prediction errors come from up to ``left_outs`` controls of a group, each left
+    prediction errors come from the controls that the draws ask for, each left
     out of the fit once.
 
     Groups without a treated unit give no rows. A ``ValueError`` says so where
@@ -516,7 +526,7 @@ def gsc(
     att = gap.groupBy("__g", "rel_time").agg(F.avg(effect).alias("att"), F.count(F.lit(1)).alias("n_treated"))
     avg = gap.where(F.col("rel_time") >= 0).groupBy("__g").agg(F.avg(effect).alias("att_avg"))
     if boot:
-        draws = _bootstrap(data, best, force, boot, seed, left_outs)
+        draws = _bootstrap(data, best, force, boot, seed)
         se = draws.groupBy("__g", "rel_time").agg(F.stddev_samp("att").alias("se"))
         after = draws.where(F.col("rel_time") >= 0).groupBy("__g", "b").agg((F.sum("total") / F.sum("n")).alias("a"))
         att = _interval(lookup(att, se, ["__g", "rel_time"], ["se"]), "att")
@@ -537,14 +547,17 @@ def cumulative_att(att: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return att.where(F.col("rel_time") >= 0).select(*by, "rel_time", F.sum("att").over(w).alias("catt"))
 
 
-def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int, left_outs: int) -> DataFrame:
+def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int) -> DataFrame:
     """__g, b, rel_time, att, total, n of every draw under no effect.
 
     Each draw gives every control the in-sample residual series of a random
     control, and every treated unit the prediction-error series of a random
     control that was left out of the fit (for the treated unit's own onset);
-    the model is solved again on that panel. ``left_outs`` controls of a group,
-    drawn by hash, are left out in turn (all, if there are fewer). Draws depend on the seed, the group and the unit only.
+    the model is solved again on that panel. Controls are dealt to strata of
+    about ``STRATUM`` units by hash and draw their donors inside, so one call
+    makes a range of draws of a stratum and hands over moments: units times
+    draws never are rows. Any control can be left out; those that some draw asks
+    for are. Draws depend on the seed, the group and the unit only.
     """
     k, unit_effect = data.k, force != "none"
     name = F.col(data.unit).cast("string").alias("__unit")
@@ -565,16 +578,9 @@ def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int, l
 
     rows = lookup(data.controls.select("__g", name, "__y", *xs), best, ["__g"], _MODEL, how="inner")
     controls = rows.mapInPandas(residuals, _schema("__g string,__unit string,__z array,__fit array,__e array"))
-    # Donors are numbered 0..N-1 per group in unit order: by range partitions, offsets plus the place inside.
-    controls = cut_lineage(controls.repartitionByRange("__g", "__unit").withColumn("__block", F.spark_partition_id()))
-    sizes = controls.groupBy("__g", "__block").agg(F.count(F.lit(1)).alias("__size"))
-    running = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__from", F.coalesce(F.sum("__size").over(running), F.lit(0)))
-    place = Window.partitionBy("__g", "__block").orderBy("__unit")
-    keyed = controls.select("__g", "__block", "__unit", (F.row_number().over(place) - 1).alias("__pos"))
-    numbers = lookup(keyed, offsets, ["__g", "__block"], ["__from"], how="inner").select("__g", "__unit", (F.col("__from") + F.col("__pos")).alias("__no"))
-    donors = lookup(controls, numbers, ["__g", "__unit"], ["__no"], how="inner").select("__g", "__no", F.col("__e").alias("__err"))
+    controls = cut_lineage(controls)
     total = controls.groupBy("__g").agg(F.count(F.lit(1)).alias("__total"))
+    controls = cut_lineage(lookup(ranks(controls, ["__g"], ["__unit"], "__no"), total, ["__g"], ["__total"], how="inner"))
 
     def left_out(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         """Prediction errors of controls under the model of all others, one series per onset."""
@@ -590,36 +596,6 @@ def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int, l
                     out.append((key[0], int(at), int(no), (a - fit)[0]))
         return pd.DataFrame(out, columns=["__g", "__at", "__no", "__err"])
 
-    lot = Window.partitionBy("__g").orderBy(F.xxhash64(F.lit(seed), "__unit"), "__unit")
-    drawn_units = controls.select("__g", "__unit", F.row_number().over(lot).alias("__lot")).where(F.col("__lot") <= left_outs)
-    order = Window.partitionBy("__g").orderBy("__unit")
-    numbered = drawn_units.select("__g", "__unit", (F.row_number().over(order) - 1).alias("__no"))
-    chosen = lookup(controls, numbered, ["__g", "__unit"], ["__no"], how="inner").select("__g", "__z", "__no")
-    spread = chosen.withColumn("__slot", F.col("__no") % 16).groupBy("__g", "__slot")
-    models = best.select("__g", "__r", "__n", "__mean", "__scatter", "__onsets", F.explode(F.array(*map(F.lit, range(16)))).alias("__slot"))
-    missed = cut_lineage(spread.cogroup(models.groupBy("__g", "__slot")).applyInPandas(left_out, _schema("__g string,__at int,__no int,__err array")))
-
-    def drawn(rows: DataFrame, salt: int, errors: DataFrame, on: Sequence[str], size: Column) -> DataFrame:
-        """Every row in every draw, with the error series of its random donor."""
-        rows = lookup(rows, total, ["__g"], ["__total"], how="inner").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))))
-        h = F.xxhash64(F.lit(seed), F.lit(salt), "b", "__g", "__unit")
-        return lookup(rows.withColumn("__no", F.pmod(h, size).cast("int")), errors, on, ["__err"], how="inner").drop("__total", "__no")
-
-    def redrawn(part: pd.DataFrame) -> np.ndarray:
-        y = np.stack(part["__fit"].to_list()) + np.stack(part["__err"].to_list())
-        z = np.stack(part["__z"].to_list())
-        return np.concatenate([y, z[:, y.shape[1] :]], axis=1)
-
-    again = drawn(controls.select("__g", "__unit", "__fit", "__z"), 1, donors, ["__g", "__no"], F.col("__total"))
-    parts = lookup(moment_strips(again, "b", redrawn), best, ["__g"], ["__r"], how="inner")
-
-    def solve_draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _join_strips(pdf)
-        model = solve_factors(m, m.mean.size // (k + 1), int(pdf["__r"].iloc[0]), force)
-        return pd.DataFrame([{"__g": key[0], "b": int(key[1]), "__xi": model.xi, "__f": model.f.ravel(), "__beta": model.beta}])
-
-    solved = parts.groupBy("__g", "b").applyInPandas(solve_draw, _schema("__g string,b int,__xi array,__f array,__beta array"))
-
     def treated_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in pdf.groupby("__g"):
@@ -628,8 +604,47 @@ def _bootstrap(data: Panel, best: DataFrame, force: str, boot: int, seed: int, l
 
     series = data.treated.select("__g", name, "__at", "__rel", "__y", *xs)
     fitted = lookup(series, best, ["__g"], _MODEL, how="inner").mapInPandas(treated_fit, T.StructType(series.schema.fields).add("__fit", _ARRAY))
-    count = F.least(F.col("__total"), F.lit(left_outs))
-    joined = lookup(drawn(fitted, 2, missed, ["__g", "__at", "__no"], count), solved, ["__g", "b"], _MODEL, how="inner")
+    # Every treated unit in every draw, with the number of the control whose prediction error it gets.
+    again = lookup(cut_lineage(fitted), total, ["__g"], ["__total"], how="inner").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(boot - 1))))
+    again = again.withColumn("__no", F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "b", "__g", "__unit"), F.col("__total")))
+    asked = again.select("__g", "__no").distinct()
+    chosen = lookup(controls, asked, ["__g", "__no"], [], how="inner").select("__g", "__z", "__no", F.expr(f"__no div {LEFT_OUT_CALL}").alias("__slot"))
+    chosen = cut_lineage(chosen)
+    calls = chosen.select(F.col("__g").alias("__of"), F.col("__slot").alias("__call")).distinct()
+    models = lookup(calls, best, {"__of": "__g"}, ["__r", "__n", "__mean", "__scatter", "__onsets"], how="inner")
+    missed = chosen.groupBy("__g", "__slot").cogroup(models.groupBy("__of", "__call")).applyInPandas(left_out, _schema("__g string,__at int,__no long,__err array"))
+    missed = cut_lineage(missed)
+
+    # Controls of a stratum draw donors among themselves; a call covers a range of draws and hands over moments only.
+    width = best.agg(F.max(F.size("__mean"))).first()[0] or 1
+    at_once = int(np.clip(HELD_NUMBERS // width**2, 1, 250))
+    ranges = F.explode(F.sequence(F.lit(0), F.lit((boot - 1) // at_once))).alias("__range")
+    stratum = F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "__unit"), F.ceil(F.col("__total") / STRATUM)).cast("int").alias("__stratum")
+    dealt = controls.select("__g", "__unit", "__fit", "__z", "__e", stratum, ranges)
+
+    def stratum_draws(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g, part, first = key[0], int(key[1]), int(key[2]) * at_once
+        pdf = pdf.sort_values("__unit")
+        fit, e, z = (np.stack(pdf[c].to_list()) for c in ("__fit", "__e", "__z"))
+        found = {}
+        for b in range(first, min(first + at_once, boot)):
+            rng = np.random.default_rng([seed & 0xFFFFFFFF, crc32(g.encode()), part, b])
+            donor = rng.integers(len(pdf), size=len(pdf))
+            found[g, b] = block_moments(np.concatenate([fit + e[donor], z[:, fit.shape[1] :]], axis=1))
+        return _strips(found, ["__g", "b"])
+
+    parts = dealt.groupBy("__g", "__stratum", "__range").applyInPandas(stratum_draws, _strip_schema("b"))
+    parts = lookup(merged_strips(parts, "b"), best, ["__g"], ["__r"], how="inner")
+
+    def solve_draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _join_strips(pdf)
+        model = solve_factors(m, m.mean.size // (k + 1), int(pdf["__r"].iloc[0]), force)
+        return pd.DataFrame([{"__g": key[0], "b": int(key[1]), "__xi": model.xi, "__f": model.f.ravel(), "__beta": model.beta}])
+
+    solved = parts.groupBy("__g", "b").applyInPandas(solve_draw, _schema("__g string,b int,__xi array,__f array,__beta array"))
+
+    met = lookup(again.drop("__total"), missed, ["__g", "__at", "__no"], ["__err"], how="inner")
+    joined = lookup(met, solved, ["__g", "b"], _MODEL, how="inner")
 
     def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
