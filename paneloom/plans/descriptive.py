@@ -13,7 +13,7 @@ from paneloom.operators import plotdata as PD
 from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, LEADER, SHOCK_ITEM
-from paneloom.plans.registry import query, rounded
+from paneloom.plans.registry import query, rounded, t_quantile_ctes
 from paneloom.plans.tables import GRID_CTES, _link_grid
 from paneloom.session import cut_lineage
 from paneloom.sources import panels as P
@@ -556,12 +556,13 @@ def _quantity_by_distance(spark, d):
 @query(
     "plot_smooth_lm",
     """SELECT item, CAST(point AS BIGINT) AS point, round(gx, 4) AS x, round(my + b * (gx - mx), 6) AS y,
-              round(sqrt((syy - b * sxy) / (n - 2) * (1.0 / n + (gx - mx) * (gx - mx) / sxx)), 6) AS se FROM lmgrid""",
-    LM_CTE,
+              round(se, 6) AS se, round(my + b * (gx - mx) - q * se, 6) AS low, round(my + b * (gx - mx) + q * se, 6) AS high
+       FROM (SELECT *, CAST(n - 2 AS DOUBLE) AS df, sqrt((syy - b * sxy) / (n - 2) * (1.0 / n + (gx - mx) * (gx - mx) / sxx)) AS se FROM lmgrid) JOIN tq USING (df)""",
+    LM_CTE + ", " + t_quantile_ctes("(SELECT n - 2 AS df FROM lm)"),
 )
 def plot_smooth_lm(spark, d):
     out = PD.smooth_lm(_quantity_by_distance(spark, d), "distw", "value", ["item"], ylim=(0.0, 200.0))
-    return rounded(out.drop("low", "high"), point=-1, x=4, y=6, se=6)
+    return rounded(out, point=-1, x=4, y=6, se=6, low=6, high=6)
 
 
 LOESS_CTE = """lp AS (SELECT item, ln(distw) AS x, ln(nullif(value, 0)) AS y FROM flows JOIN dist USING (exporter, importer) WHERE year = 1998 AND element = 'Export Quantity'),

@@ -61,6 +61,40 @@ def query(key: str, sql: str | None = None, ctes: str = ""):
     return add
 
 
+def t_share_sql(t: str, df: str) -> str:
+    """P(|T| <= t) for whole degrees of freedom, by its finite sum in powers of df / (df + t^2)."""
+    c2 = f"({df} / ({df} + {t} * {t}))"
+    even = f"exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1) + k * ln({c2}))"
+    odd = f"exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + k * ln({c2}))"
+    sine = f"abs({t}) / sqrt({df} + {t} * {t})"
+    total = lambda term, n: f"coalesce(list_sum(list_transform(range(0, CAST({n} AS BIGINT)), lambda k: {term})), 0)"
+    return (
+        f"(CASE WHEN CAST({df} AS BIGINT) % 2 = 0 THEN {sine} * {total(even, f'{df} / 2')} "
+        f"ELSE 2 / pi() * (atan(abs({t}) / sqrt({df})) + {sine} * sqrt({c2}) * {total(odd, f'floor(({df} - 1) / 2)')}) END)"
+    )
+
+
+def t_quantile_ctes(source: str, level: float = 0.95, steps: int = 12) -> str:
+    """``tq`` (df, q): quantiles for the df of a source, by Newton steps, which rise to q as the share is concave."""
+    slope = "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + q * q / df, -(df + 1) / 2)"
+    out = [f"tq0 AS (SELECT DISTINCT CAST(df AS DOUBLE) AS df, CAST(1 AS DOUBLE) AS q FROM {source})"]
+    for k in range(steps):
+        out.append(f"tq{k + 1} AS MATERIALIZED (SELECT df, q + ({level} - {t_share_sql('q', 'df')}) / ({slope}) AS q FROM tq{k})")
+    return ", ".join(out) + f", tq AS (SELECT df, q FROM tq{steps})"
+
+
+def within_rounds(source: str, keys: list[str], cols: list[str], rest: list[str], rounds: int = 14) -> str:
+    """CTEs that take off the means by each key in turn, ``rounds`` times; the last is ``within``."""
+    out, last = [], source
+    for k in range(rounds * len(keys)):
+        by = keys[k % len(keys)]
+        name = "within" if k == rounds * len(keys) - 1 else f"within{k}"
+        means = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in cols)
+        out.append(f"{name} AS MATERIALIZED (SELECT {', '.join(rest)}, {means} FROM {last})")
+        last = name
+    return ", ".join(out)
+
+
 def _load() -> None:
     from paneloom.plans import causal, descriptive, regressions, tables  # noqa: F401
 

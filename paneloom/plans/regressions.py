@@ -12,7 +12,7 @@ from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, SHOCK_ITEM
 from paneloom.plans.descriptive import category_rules
-from paneloom.plans.registry import query, rounded
+from paneloom.plans.registry import query, rounded, t_quantile_ctes, t_share_sql, within_rounds
 from paneloom.sources import panels as P
 
 SIX = {c: 6 for c in ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", "r2", "within_r2")}
@@ -71,9 +71,26 @@ def ols_simple(spark, d):
     return _coefs(L.ols(_gravity(spark, d, first_year=1998, last_year=1998), "y", ["x"]))
 
 
-@query("ols_by_group", simple_sql("m", "year"), GRAVITY_CTE + ", gy AS (SELECT CAST(year AS BIGINT) AS year, x, y FROM grav), " + simple_sql("gy", "year"))
+def terms_cte(keys: str) -> str:
+    """``terms``: both coefficients of a simple regression with error and df; ``tq``: t quantiles."""
+    return (
+        f"terms AS (SELECT {keys}, '(Intercept)' AS term, my - slope * mx AS b, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se, n, CAST(n - 2 AS DOUBLE) AS df, r2 FROM m "
+        f"UNION ALL SELECT {keys}, 'x', slope, sqrt(s2 / sxx), n, CAST(n - 2 AS DOUBLE), r2 FROM m), " + t_quantile_ctes("terms")
+    )
+
+
+TERM_SQL = """round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS statistic, round(1 - {share}, 6) AS p_value,
+   round(b - q * se, 6) AS conf_low, round(b + q * se, 6) AS conf_high, CAST(n AS BIGINT) AS nobs, round(r2, 6) AS r2""".format(share=t_share_sql("(b / se)", "df"))
+FULL = ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", "nobs", "r2")
+
+
+@query(
+    "ols_by_group",
+    f"SELECT year, term, {TERM_SQL} FROM terms JOIN tq USING (df)",
+    GRAVITY_CTE + ", gy AS (SELECT CAST(year AS BIGINT) AS year, x, y FROM grav), " + simple_sql("gy", "year") + ", " + terms_cte("year"),
+)
 def ols_by_group(spark, d):
-    return _coefs(L.ols(_gravity(spark, d), "y", ["x"], by=["year"]), "year", longs=["year"])
+    return _coefs(L.ols(_gravity(spark, d), "y", ["x"], by=["year"]), "year", cols=FULL, longs=["year"])
 
 
 TWO_CTE = (
@@ -168,11 +185,22 @@ def ols_many_outcomes(spark, d):
     return rounded(cols, year=-1, estimate=2, std_error=2, statistic=6, r2=6)
 
 
-@query("coef_table")
+@query(
+    "coef_table",
+    f"""SELECT *, CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS stars
+        FROM (SELECT item, term, {TERM_SQL} FROM terms JOIN tq USING (df))""",
+    GRAVITY_CTE
+    + ", gi AS (SELECT * FROM grav WHERE x IS NOT NULL AND y IS NOT NULL), "
+    + simple_sql("gi", "item")
+    + """, hc AS (SELECT gi.item, x - mx AS xd, pow(y - my - slope * (x - mx), 2) / (1 - 1.0 / n - pow(x - mx, 2) / sxx) AS e2, n, mx, sxx FROM gi JOIN m ON m.item = gi.item),
+ v AS (SELECT item, sum(xd * xd * e2) / pow(max(sxx), 2) AS v1, sum(pow(1.0 / n - mx * xd / sxx, 2) * e2) AS v0 FROM hc GROUP BY 1),
+ terms AS (SELECT m.item, '(Intercept)' AS term, my - slope * mx AS b, sqrt(v0) AS se, n, CAST(n - 2 AS DOUBLE) AS df, r2 FROM m JOIN v ON v.item = m.item
+   UNION ALL SELECT m.item, 'x', slope, sqrt(v1), n, CAST(n - 2 AS DOUBLE), r2 FROM m JOIN v ON v.item = m.item), """
+    + t_quantile_ctes("terms"),
+)
 def coef_table(spark, d):
     fit = L.ols(_gravity(spark, d), "y", ["x"], by=["item"], se="hc2")
-    cols = ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", "nobs", "r2")
-    return _coefs(fit, "item", cols=cols).withColumn("stars", S.stars("p_value"))
+    return _coefs(fit, "item", cols=FULL).withColumn("stars", S.stars("p_value"))
 
 
 @query(
@@ -185,7 +213,11 @@ def ci_normal(spark, d):
     return rounded(fit.select("year", "estimate", "conf_low", "conf_high"), year=-1, estimate=6, conf_low=6, conf_high=6)
 
 
-@query("plot_coef_series")
+@query(
+    "plot_coef_series",
+    "SELECT item, year, round(b, 6) AS estimate, round(b - q * se, 6) AS conf_low, round(b + q * se, 6) AS conf_high FROM terms JOIN tq USING (df) WHERE term = 'x'",
+    GRAVITY_CTE + ", gy AS (SELECT item, CAST(year AS BIGINT) AS year, x, y FROM grav), " + simple_sql("gy", "item, year") + ", " + terms_cte("item, year"),
+)
 def plot_coef_series(spark, d):
     fit = L.ols(_gravity(spark, d), "y", ["x"], by=["item", "year"])
     return rounded(PD.coef_series(fit, "x", "year", ["item"]), year=-1, estimate=6, conf_low=6, conf_high=6)
@@ -375,7 +407,22 @@ def fe_recover(spark, d):
 # --- gravity and input-output panels ------------------------------------------------------
 
 
-@query("join_fixed_effects")
+FE_RULES = "count(*) AS n, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(y * y) AS syy, var_pop(raw) * count(*) AS tss"
+
+
+@query(
+    "join_fixed_effects",
+    """SELECT area, round(ln(nullif(gdp, 0)), 6) AS lgdp, round(exp_fe.effect, 6) AS exporter_fe, round(imp_fe.effect, 6) AS importer_fe
+       FROM (SELECT area, gdp FROM gdp WHERE year = 1997) g LEFT JOIN exp_fe ON exp_fe.exporter = g.area LEFT JOIN imp_fe ON imp_fe.importer = g.area""",
+    GRAVITY_CTE
+    + ", g98 AS (SELECT exporter, importer, x, y, x AS rx, y AS ry FROM grav WHERE year = 1998 AND item = 'PROMO' AND x IS NOT NULL AND y IS NOT NULL), "
+    + within_rounds("g98", ["exporter", "importer"], ["x", "y"], ["exporter", "importer", "rx", "ry"], rounds=40)
+    # what the effects explain is their sum; the first importer is the reference
+    + """, fit AS (SELECT exporter, importer, ry - b * rx - (y - b * x) AS f FROM within, (SELECT sum(x * y) / sum(x * x) AS b FROM within)),
+ base AS (SELECT exporter, f AS f0 FROM fit WHERE importer = (SELECT min(importer) FROM fit)),
+ imp_fe AS (SELECT importer, avg(f - f0) AS effect FROM fit JOIN base USING (exporter) GROUP BY 1),
+ exp_fe AS (SELECT exporter, avg(f - effect) AS effect FROM fit JOIN imp_fe USING (importer) GROUP BY 1)""",
+)
 def join_fixed_effects(spark, d):
     g = _gravity(spark, d, first_year=1998, last_year=1998, items=[SHOCK_ITEM])
     effects = FX.fixef(g, "y", ["x"], ["exporter", "importer"])
@@ -385,14 +432,37 @@ def join_fixed_effects(spark, d):
     return rounded(out, lgdp=6, exporter_fe=6, importer_fe=6)
 
 
-@query("gravity_panel")
+@query(
+    "gravity_panel",
+    """SELECT item, 'x' AS term, round(b, 8) AS estimate,
+         round(sqrt(greatest(qe + qi - qp, 0) * least(ge, gi) / (least(ge, gi) - 1.0) * (n - 1.0) / (n - 2)) / sxx, 8) AS std_error,
+         CAST(n AS BIGINT) AS nobs, round(1 - (syy - b * b * sxx) / tss, 6) AS r2, round(1 - (syy - b * b * sxx) / syy, 6) AS within_r2
+       FROM fit JOIN (SELECT item, sum(s * s) AS qe, count(*) AS ge FROM (SELECT item, exporter, sum(s) AS s FROM sc GROUP BY 1, 2) GROUP BY 1) USING (item)
+       JOIN (SELECT item, sum(s * s) AS qi, count(*) AS gi FROM (SELECT item, importer, sum(s) AS s FROM sc GROUP BY 1, 2) GROUP BY 1) USING (item)
+       JOIN (SELECT item, sum(s * s) AS qp FROM (SELECT item, exporter, importer, sum(s) AS s FROM sc GROUP BY 1, 2, 3) GROUP BY 1) USING (item)""",
+    GRAVITY_CTE
+    + ", gp AS (SELECT exporter, importer, item, year, x, y, y AS raw FROM grav WHERE year >= 1996 AND x IS NOT NULL AND y IS NOT NULL), "
+    + within_rounds("gp", ["item, exporter, year", "item, importer, year"], ["x", "y"], ["exporter", "importer", "item", "year", "raw"], rounds=40)
+    + f", fit AS (SELECT item, {FE_RULES} FROM within GROUP BY 1), sc AS (SELECT item, exporter, importer, x * (y - b * x) AS s FROM within JOIN fit USING (item))",
+)
 def gravity_panel(spark, d):
     g = _gravity(spark, d, first_year=1996)
     fit = FX.feols(g, "y", ["x"], [("exporter", "year"), ("importer", "year")], by=["item"], cluster=["exporter", "importer"])
     return _fe(fit, "item", cols=("estimate", "std_error", "nobs", "r2", "within_r2"))
 
 
-@query("gravity_by_year")
+@query(
+    "gravity_by_year",
+    """SELECT item, year, term, round(b, 8) AS estimate, round(se, 8) AS std_error, round(b - 1.96 * se, 6) AS conf_low, round(b + 1.96 * se, 6) AS conf_high, nobs FROM (
+         SELECT item, CAST(year AS BIGINT) AS year, 'x' AS term, b, CAST(n AS BIGINT) AS nobs,
+           sqrt(qe * ge / (ge - 1.0) * (n - 1.0) / (n - 1 - gi)) / sxx AS se
+         FROM fit JOIN (SELECT item, year, sum(s * s) AS qe, count(*) AS ge FROM (SELECT item, year, exporter, sum(s) AS s FROM sc GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (item, year)
+         JOIN (SELECT item, year, count(DISTINCT importer) AS gi FROM within GROUP BY 1, 2) USING (item, year))""",
+    GRAVITY_CTE
+    + ", gp AS (SELECT exporter, importer, item, year, x, y, y AS raw FROM grav WHERE x IS NOT NULL AND y IS NOT NULL), "
+    + within_rounds("gp", ["item, year, exporter", "item, year, importer"], ["x", "y"], ["exporter", "importer", "item", "year", "raw"], rounds=40)
+    + f", fit AS (SELECT item, year, {FE_RULES} FROM within GROUP BY 1, 2), sc AS (SELECT item, year, exporter, importer, x * (y - b * x) AS s FROM within JOIN fit USING (item, year))",
+)
 def gravity_by_year(spark, d):
     fit = L.with_normal_interval(FX.feols(_gravity(spark, d), "y", ["x"], ["exporter", "importer"], by=["item", "year"]))
     return rounded(_fe(fit, "item", "year", cols=("estimate", "std_error", "conf_low", "conf_high", "nobs")), year=-1)
