@@ -184,14 +184,44 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def smallest_draws(df: DataFrame, draw: str, n: int, order: Sequence[str], digits: int = 4, few: int = 10_000) -> DataFrame:
+    """The n rows with the smallest draw, a text of 32 hexadecimal digits; ``order`` settles equal draws.
+
+    Counts of the first ``digits`` digits (at most ``16 ** digits`` rows) show
+    where the n-th row lies; that prefix is counted by its next digits, until
+    at most ``few`` rows share it. Rows below it pass a filter, and only those
+    that share it are put in order. So no task gathers n rows, whatever n is.
+    """
+    prefix, below = "", 0
+    while len(prefix) < 32:
+        inside = df.where(F.col(draw).startswith(prefix)) if prefix else df
+        counts = inside.groupBy(F.substring(draw, len(prefix) + 1, digits).alias("p")).count().collect()
+        found = None
+        for p, c in sorted((r["p"], r["count"]) for r in counts):
+            if below + c >= n:
+                found = p, c
+                break
+            below += c
+        if found is None:  # fewer than n rows
+            return df
+        prefix += found[0]
+        if found[1] <= few:
+            break
+    at_edge = df.where(F.col(draw).startswith(prefix))
+    if len(prefix) < 32:
+        at_edge = at_edge.orderBy(draw, *order)
+    return df.where(F.col(draw) < prefix).union(at_edge.limit(n - below))
+
+
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement: the n smallest seeded hashes of the row key.
 
     The draw is the MD5 of seed and keys as text, so it does not depend on
-    partitioning and other engines draw the same rows.
+    partitioning and other engines draw the same rows. Rows with the same keys
+    have the same draw; which of them are taken at the edge is not defined.
     """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    return df.withColumn("__draw", draw).orderBy("__draw", *keys).limit(n).drop("__draw")
+    return smallest_draws(df.withColumn("__draw", draw), "__draw", n, keys).drop("__draw")
 
 
 # --- exact order statistics -------------------------------------------------

@@ -11,7 +11,7 @@ from paneloom.operators import synth as G
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, LEADER, SHOCK_ITEM, SHOCK_YEAR, T0
 from paneloom.plans.descriptive import PREPOST_CTE, prepost
-from paneloom.plans.registry import query, rounded
+from paneloom.plans.registry import ols_ctes, query, rounded, t_quantile_ctes
 from paneloom.sources import panels as P
 
 
@@ -93,7 +93,28 @@ def outcome_base_diff(spark, d):
     return rounded(_outcomes(spark, d, P.staged_cells(spark, d, items=list(ITEMS))), year=-1, **{c: 4 for c in OUTCOMES})
 
 
-@query("event_regression")
+EVENT_CTE = (
+    f"{SHARE_CTE}, {OUT_CTE}, ex AS (SELECT n_name AS reporter, "
+    + ", ".join(f"coalesce(max(CASE WHEN item = '{i}' THEN exposure END), 0) AS ss_{s}" for i, s in ITEMS.items())
+    + " FROM nation LEFT JOIN expo ON n_name = exporter GROUP BY 1), ev AS (SELECT CASE element "
+    + " ".join(f"WHEN '{el}' THEN '{s}'" for el, s in ELEMENTS.items())
+    + " END || '_' || CASE item "
+    + " ".join(f"WHEN '{i}' THEN '{s}'" for i, s in ITEMS.items())
+    + " END AS outcome, CAST(year AS BIGINT) AS year, d AS y, "
+    + ", ".join(f"ss_{s}" for s in ITEMS.values())
+    + f" FROM bd JOIN ex USING (reporter) WHERE reporter <> '{LEADER}' AND d IS NOT NULL AND item IN {tuple(ITEMS)}), "
+    + ols_ctes("ev", ["outcome", "year"], {f"ss_{s}": f"ss_{s}" for s in ITEMS.values()})
+    + ", "
+    + t_quantile_ctes("terms")
+)
+
+
+@query(
+    "event_regression",
+    """SELECT outcome, year, term, round(b, 4) AS estimate, round(se, 4) AS std_error, round(b - q * se, 4) AS conf_low, round(b + q * se, 4) AS conf_high,
+              CAST(n AS BIGINT) AS nobs, round(r2, 4) AS r2 FROM terms JOIN tq USING (df)""",
+    EVENT_CTE,
+)
 def event_regression(spark, d):
     units = P.area_codes(spark, d).select(F.col("area").alias("exporter"))
     cells = P.staged_cells(spark, d, items=list(ITEMS))

@@ -95,6 +95,41 @@ def within_rounds(source: str, keys: list[str], cols: list[str], rest: list[str]
     return ", ".join(out)
 
 
+def ols_ctes(source: str, keys: list[str], xs: dict[str, str], robust: bool = False) -> str:
+    """CTE ``terms`` (keys, term, b, se, n, df, r2): regression of y on a constant and ``xs`` (term: column) by group.
+
+    Regressors are made orthogonal one after the other (z), so that slopes,
+    errors and leverages are sums over z; R holds what was taken off.
+    """
+    by, k = ", ".join(keys), len(xs)
+    cols = ["1.0", *xs.values()]
+    out = [f"o0 AS MATERIALIZED (SELECT *, 1.0 AS z0 FROM {source})"]
+    for j in range(1, k + 1):
+        share = lambda i: f"sum({cols[j]} * z{i}) OVER g / nullif(sum(z{i} * z{i}) OVER g, 0)"
+        out.append(f"p{j} AS (SELECT *, {', '.join(f'{share(i)} AS r{i}_{j}' for i in range(j))} FROM o{j - 1} WINDOW g AS (PARTITION BY {by}))")
+        out.append(f"o{j} AS MATERIALIZED (SELECT *, {cols[j]} - {' - '.join(f'r{i}_{j} * z{i}' for i in range(j))} AS z{j} FROM p{j})")
+    slopes = ", ".join(f"sum(y * z{j}) OVER g / nullif(sum(z{j} * z{j}) OVER g, 0) AS c{j}, sum(z{j} * z{j}) OVER g AS d{j}" for j in range(k + 1))
+    out.append(f"oy AS MATERIALIZED (SELECT *, {slopes}, count(*) OVER g AS n, avg(y) OVER g AS my FROM o{k} WINDOW g AS (PARTITION BY {by}))")
+    rest = "y - " + " - ".join(f"c{j} * z{j}" for j in range(k + 1))
+    inverse = {(j, j): "1.0" for j in range(k + 1)}  # of R, as text
+    for j in range(k, -1, -1):
+        for m in range(j + 1, k + 1):
+            inverse[j, m] = "-(" + " + ".join(f"r{j}_{i} * {inverse[i, m]}" for i in range(j + 1, m + 1)) + ")"
+    lever = " + ".join(f"z{j} * z{j} / d{j}" for j in range(k + 1))
+    lent = [" + ".join(f"{inverse[j, m]} * z{m} / d{m}" for m in range(j, k + 1)) for j in range(k + 1)]
+    fits = [" + ".join(f"{inverse[j, m]} * c{m}" for m in range(j, k + 1)) for j in range(k + 1)]
+    known = ", ".join(f"{fits[j]} AS b{j}, {lent[j]} AS w{j}" for j in range(k + 1))
+    out.append(f"oe AS MATERIALIZED (SELECT {by}, n, y, my, {rest} AS e, 1 - ({lever}) AS free, {known} FROM oy)")
+    errors = ", ".join(
+        f"any_value(b{j}) AS b{j}, " + (f"sum(w{j} * w{j} * e * e / free) AS v{j}" if robust else f"sum(w{j} * w{j}) * sum(e * e) / (any_value(n) - {k + 1}) AS v{j}")
+        for j in range(k + 1)
+    )
+    out.append(f"og AS MATERIALIZED (SELECT {by}, any_value(n) AS n, 1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0) AS r2, {errors} FROM oe GROUP BY {by})")
+    names = ["(Intercept)", *xs]
+    rows = " UNION ALL ".join(f"SELECT {by}, '{names[j]}' AS term, b{j} AS b, sqrt(v{j}) AS se, n, CAST(n - {k + 1} AS DOUBLE) AS df, r2 FROM og" for j in range(k + 1))
+    return ", ".join([*out, f"terms AS ({rows})"])
+
+
 def _load() -> None:
     from paneloom.plans import causal, descriptive, regressions, tables  # noqa: F401
 

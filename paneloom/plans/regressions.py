@@ -12,7 +12,7 @@ from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, SHOCK_ITEM
 from paneloom.plans.descriptive import category_rules
-from paneloom.plans.registry import query, rounded, t_quantile_ctes, t_share_sql, within_rounds
+from paneloom.plans.registry import ols_ctes, query, rounded, t_quantile_ctes, t_share_sql, within_rounds
 from paneloom.sources import panels as P
 
 SIX = {c: 6 for c in ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high", "r2", "within_r2")}
@@ -148,7 +148,17 @@ def ols_robust_hc2(spark, d):
     return _coefs(fit, "item", cols=("estimate", "std_error", "nobs", "r2"))
 
 
-@query("ols_interaction")
+@query(
+    "ols_interaction",
+    f"SELECT item, term, {TERM_SQL} FROM terms JOIN tq USING (df)",
+    GRAVITY_CTE
+    + """, gl AS (SELECT item, y, x, CASE WHEN grav.year >= 1998 THEN 1.0 ELSE 0.0 END AS late, ln(nullif(g.gdp, 0)) AS lgdp
+   FROM grav JOIN gdp g ON g.area = importer AND g.year = grav.year),
+ gx AS (SELECT *, x * late AS xl FROM gl WHERE y IS NOT NULL AND x IS NOT NULL AND lgdp IS NOT NULL), """
+    + ols_ctes("gx", ["item"], {"x": "x", "late": "late", "lgdp": "lgdp", "x:late": "xl"}, robust=True)
+    + ", "
+    + t_quantile_ctes("terms"),
+)
 def ols_interaction(spark, d):
     g = V.lookup(_gravity(spark, d), P.income(spark, d), {"importer": "area", "year": "year"}, ["gdp"]).withColumn("lgdp", S.log_or_null("gdp"))
     g = g.withColumn("late", S.flag(F.col("year") >= 1998))

@@ -190,3 +190,11 @@ def test_axis_limits_come_first(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (4.0, 1000.0)], "x double, y double")
     line = PD.smooth_lm(df, "x", "y", n=3, ylim=(0.0, 10.0)).orderBy("point").collect()
     assert [round(r.y, 9) for r in line] == [0.0, 1.5, 3.0]
+
+
+def test_smallest_draws(spark):
+    rows = [(i, f"{i * 2654435761 % 2**32:08x}" + "0" * 24) for i in range(500)] + [(i, "7" * 32) for i in range(500, 560)]
+    df = spark.createDataFrame(rows, "i int, h string").repartition(5)
+    for n in (0, 1, 37, 250, 559, 560, 900):
+        got = [r.h for r in V.smallest_draws(df, "h", n, ["i"], digits=1, few=3).collect()]
+        assert sorted(got) == sorted(h for _, h in rows)[:n]
