@@ -95,15 +95,18 @@ def within_rounds(source: str, keys: list[str], cols: list[str], rest: list[str]
     return ", ".join(out)
 
 
-def ols_ctes(source: str, keys: list[str], xs: dict[str, str], robust: bool = False) -> str:
+def ols_ctes(source: str, keys: list[str], xs: dict[str, str], robust: bool = False, intercept: bool = True, cluster: str = "", params: str = "") -> str:
     """CTE ``terms`` (keys, term, b, se, n, df, r2): regression of y on a constant and ``xs`` (term: column) by group.
 
     Regressors are made orthogonal one after the other (z), so that slopes,
-    errors and leverages are sums over z; R holds what was taken off.
+    errors and leverages are sums over z; R holds what was taken off. Errors
+    are classical, HC2 (``robust``) or by ``cluster``, with ``params`` the
+    number of parameters as an aggregate.
     """
-    by, k = ", ".join(keys), len(xs)
-    cols = ["1.0", *xs.values()]
-    out = [f"o0 AS MATERIALIZED (SELECT *, 1.0 AS z0 FROM {source})"]
+    by = ", ".join(keys)
+    cols = (["1.0"] if intercept else []) + list(xs.values())
+    k = len(cols) - 1
+    out = [f"o0 AS MATERIALIZED (SELECT *, {cols[0]} AS z0 FROM {source})"]
     for j in range(1, k + 1):
         share = lambda i: f"sum({cols[j]} * z{i}) OVER g / nullif(sum(z{i} * z{i}) OVER g, 0)"
         out.append(f"p{j} AS (SELECT *, {', '.join(f'{share(i)} AS r{i}_{j}' for i in range(j))} FROM o{j - 1} WINDOW g AS (PARTITION BY {by}))")
@@ -119,13 +122,24 @@ def ols_ctes(source: str, keys: list[str], xs: dict[str, str], robust: bool = Fa
     lent = [" + ".join(f"{inverse[j, m]} * z{m} / d{m}" for m in range(j, k + 1)) for j in range(k + 1)]
     fits = [" + ".join(f"{inverse[j, m]} * c{m}" for m in range(j, k + 1)) for j in range(k + 1)]
     known = ", ".join(f"{fits[j]} AS b{j}, {lent[j]} AS w{j}" for j in range(k + 1))
-    out.append(f"oe AS MATERIALIZED (SELECT {by}, n, y, my, {rest} AS e, 1 - ({lever}) AS free, {known} FROM oy)")
+    out.append(f"oe AS MATERIALIZED (SELECT *, {rest} AS e, 1 - ({lever}) AS free, {known} FROM oy)")
+    if cluster:
+        scores = ", ".join(f"sum(w{j} * e) AS s{j}" for j in range(k + 1))
+        out.append(f"oc AS (SELECT {by}, {cluster}, {scores} FROM oe GROUP BY {by}, {cluster})")
+        squares = ", ".join(f"sum(s{j} * s{j}) AS v{j}" for j in range(k + 1))
+        out.append(f"ov AS (SELECT {by}, count(*) AS g, {squares} FROM oc GROUP BY {by})")
+        out.append(f"op AS (SELECT {by}, count(*) AS n, {params} AS params FROM oe GROUP BY {by})")
+        out.append(f"of AS (SELECT {by}, {', '.join(f'v{j} * g / (g - 1.0) * (n - 1.0) / (n - params) AS v{j}' for j in range(k + 1))} FROM ov JOIN op USING ({by}))")
+        slopes = ", ".join(f"any_value(b{j}) AS b{j}" for j in range(k + 1))
+        fit = f"SELECT {by}, any_value(n) AS n, 1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0) AS r2, {slopes} FROM oe GROUP BY {by}"
+        out.append(f"og AS MATERIALIZED (SELECT * FROM ({fit}) JOIN of USING ({by}))")
     errors = ", ".join(
         f"any_value(b{j}) AS b{j}, " + (f"sum(w{j} * w{j} * e * e / free) AS v{j}" if robust else f"sum(w{j} * w{j}) * sum(e * e) / (any_value(n) - {k + 1}) AS v{j}")
         for j in range(k + 1)
     )
-    out.append(f"og AS MATERIALIZED (SELECT {by}, any_value(n) AS n, 1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0) AS r2, {errors} FROM oe GROUP BY {by})")
-    names = ["(Intercept)", *xs]
+    if not cluster:
+        out.append(f"og AS MATERIALIZED (SELECT {by}, any_value(n) AS n, 1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0) AS r2, {errors} FROM oe GROUP BY {by})")
+    names = (["(Intercept)"] if intercept else []) + list(xs)
     rows = " UNION ALL ".join(f"SELECT {by}, '{names[j]}' AS term, b{j} AS b, sqrt(v{j}) AS se, n, CAST(n - {k + 1} AS DOUBLE) AS df, r2 FROM og" for j in range(k + 1))
     return ", ".join([*out, f"terms AS ({rows})"])
 

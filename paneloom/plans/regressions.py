@@ -11,7 +11,7 @@ from paneloom.operators import plotdata as PD
 from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, SHOCK_ITEM
-from paneloom.plans.descriptive import category_rules
+from paneloom.plans.descriptive import CATEGORY_RULES, category_rules
 from paneloom.plans.registry import ols_ctes, query, rounded, t_quantile_ctes, t_share_sql, within_rounds
 from paneloom.sources import panels as P
 
@@ -478,7 +478,28 @@ def gravity_by_year(spark, d):
     return rounded(_fe(fit, "item", "year", cols=("estimate", "std_error", "conf_low", "conf_high", "nobs")), year=-1)
 
 
-@query("io_panel")
+IO_XS = ["promo_domestic", "promo_imp", "economy_domestic", "standard_imp", "economy_imp", "lag1_gdp"]
+IO_CTE = (
+    "io0 AS (SELECT area, year, "
+    + ", ".join(f"coalesce(max(CASE WHEN item = '{it}' AND element = '{el}' THEN coalesce(value, 0) END), 0) AS {n}" for n, (it, el) in CATEGORY_RULES.items())
+    + " FROM panel WHERE "
+    + " OR ".join(f"(item = '{it}' AND element = '{el}')" for it, el in CATEGORY_RULES.values())
+    + """ GROUP BY 1, 2),
+ io1 AS (SELECT io0.*, promo_prod - promo_exp AS promo_domestic, economy_prod - economy_exp - standard_exp AS economy_domestic,
+   lag(gdp) OVER (PARTITION BY io0.area ORDER BY io0.year) AS lag1_gdp FROM io0 LEFT JOIN gdp ON gdp.area = io0.area AND gdp.year = io0.year),
+ io2 AS (SELECT io1.*, lower(item) AS good, coalesce(value, 0) AS y FROM io1 JOIN panel ON panel.area = io1.area AND panel.year = io1.year
+   WHERE item IN ('LARGE', 'MEDIUM', 'SMALL') AND element = 'Production' AND lag1_gdp IS NOT NULL), """
+    + within_rounds("io2", ["good, area", "good, year"], ["y", *IO_XS], ["good", "area", "year"], rounds=20)
+    + ", "
+    + ols_ctes("within", ["good"], {x: x for x in IO_XS}, intercept=False, cluster="area", params="6 + count(DISTINCT year)")
+)
+
+
+@query(
+    "io_panel",
+    """SELECT good, term, round(b, 8) AS estimate, round(se, 8) AS std_error, CAST(n AS BIGINT) AS nobs, round(r2, 6) AS within_r2 FROM terms""",
+    IO_CTE,
+)
 def io_panel(spark, d):
     panel = P.country_panel(spark, d, P.staged_cells(spark, d))
     inputs = R.pivot_rules(panel, ["area", "year"], category_rules(), F.coalesce("value", F.lit(0.0))).fillna(0.0)
@@ -493,7 +514,6 @@ def io_panel(spark, d):
     rows = V.lookup(inputs, goods, ["area", "year"], list(final))
     rows = V.lookup(rows, P.income(spark, d), ["area", "year"], ["gdp"])
     rows = V.lagged(rows, ["area"], "year", {"lag1_gdp": ("gdp", 1)})
-    xs = ["promo_domestic", "promo_imp", "economy_domestic", "standard_imp", "economy_imp", "lag1_gdp"]
-    long = rows.unpivot(["area", "year", *xs], list(final), "good", "output")
-    fit = FX.feols(long, "output", xs, ["area", "year"], by=["good"])
+    long = rows.unpivot(["area", "year", *IO_XS], list(final), "good", "output")
+    fit = FX.feols(long, "output", IO_XS, ["area", "year"], by=["good"])
     return _fe(fit, "good", cols=("estimate", "std_error", "nobs", "within_r2"))
