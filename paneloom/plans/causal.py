@@ -231,13 +231,53 @@ def _income_at(spark, d, year, name="gdp"):
     return P.income(spark, d, first_year=year, last_year=year).select("area", F.col("gdp").alias(name))
 
 
-@query("drdid_panel")
+def drdid_ctes(method: str, steps: int = 25) -> str:
+    """CTEs up to ``effect`` (att, se, n) over ``dr`` (dy, d, x): Newton steps for the propensity, then influence values."""
+    trad = method == "trad"
+    rest, weight = ("p - d", "p * (1 - p)") if trad else ("w - d", "w")
+    inner = "1 / (1 + exp(-(a + b * z))) AS p" if trad else "(1 - d) * exp(a + b * z) AS w"
+    out = ["dz AS MATERIALIZED (SELECT dy, d, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM dr)"]
+    out.append("nt0 AS (SELECT ln(avg(d) / (1 - avg(d))) AS a, CAST(0 AS DOUBLE) AS b FROM dz)")
+    sums = f"sum({weight}) AS h1, sum({weight} * z) AS h2, sum({weight} * z * z) AS h3, sum({rest}) AS g1, sum(({rest}) * z) AS g2"
+    for k in range(steps):
+        rows = f"SELECT a, b, {sums} FROM (SELECT d, z, a, b, {inner} FROM dz, nt{k}) GROUP BY a, b"
+        out.append(f"nt{k + 1} AS MATERIALIZED (SELECT a - (h3 * g1 - h2 * g2) / (h1 * h3 - h2 * h2) AS a, b - (h1 * g2 - h2 * g1) / (h1 * h3 - h2 * h2) AS b FROM ({rows}))")
+    out.append(f"dw AS MATERIALIZED (SELECT dz.*, (1 - d) * exp(a + b * z) AS w0, 1 / (1 + exp(-(a + b * z))) AS p FROM dz, nt{steps})")
+    ow = "(1 - d)" if trad else "w0"
+    out.append(f"""co AS (SELECT (s3 * t1 - s2 * t2) / (s1 * s3 - s2 * s2) AS b0, (s1 * t2 - s2 * t1) / (s1 * s3 - s2 * s2) AS b1, s1, s2, s3, s1 * s3 - s2 * s2 AS det FROM
+   (SELECT sum({ow}) AS s1, sum({ow} * z) AS s2, sum({ow} * z * z) AS s3, sum({ow} * dy) AS t1, sum({ow} * z * dy) AS t2 FROM dw))""")
+    out.append("dl AS MATERIALIZED (SELECT dw.*, dy - b0 - b1 * z AS u FROM dw, co)")
+    out.append("eta AS (SELECT sum(d * u) / sum(d) AS e1, sum(w0 * u) / sum(w0) AS e0, avg(d) AS m1, avg(w0) AS m0, count(*) AS n FROM dl)")
+    one, none = "d * (u - e1)", "w0 * (u - e0)"
+    more = ""
+    if trad:
+        # both nuisance models add what their scores lend
+        lent = lambda f, g: f"(1 - d) * u * n * ((s3 * {f} - s2 * {g}) + (s1 * {g} - s2 * {f}) * z) / det"
+        out.append("""lend AS (SELECT avg(d) AS c1, avg(d * z) AS c2, avg(w0 * (u - e0)) AS q1, avg(w0 * (u - e0) * z) AS q2, avg(w0) AS k1, avg(w0 * z) AS k2,
+   sum(p * (1 - p)) AS h1, sum(p * (1 - p) * z) AS h2, sum(p * (1 - p) * z * z) AS h3 FROM dl, eta)""")
+        one = f"{one} - {lent('c1', 'c2')}"
+        none = f"{none} + (d - p) * n * ((h3 * q1 - h2 * q2) + (h1 * q2 - h2 * q1) * z) / (h1 * h3 - h2 * h2) - {lent('k1', 'k2')}"
+        more = ", co, lend"
+    out.append(f"inf AS (SELECT ({one}) / m1 - ({none}) / m0 AS i, e1 - e0 AS att, n FROM dl, eta{more})")
+    out.append("effect AS (SELECT any_value(att) AS att, stddev_samp(i) / sqrt(any_value(n)) AS se, any_value(n) AS n FROM inf)")
+    return ", ".join(out)
+
+
+EFFECT_SQL = """SELECT round(att, 4) AS att, round(se, 4) AS std_error, round(att - 1.96 * se, 4) AS conf_low, round(att + 1.96 * se, 4) AS conf_high,
+   CAST(n AS BIGINT) AS nobs FROM effect"""
+DR_CTE = (
+    DID_CTE
+    + ", dr AS (SELECT y1 - y0 AS dy, CAST(treat AS DOUBLE) AS d, gdp AS x FROM pp JOIN gdp ON gdp.area = pp.area AND gdp.year = 1997 WHERE y1 - y0 IS NOT NULL AND treat IS NOT NULL AND gdp IS NOT NULL), "
+)
+
+
+@query("drdid_panel", EFFECT_SQL, DR_CTE + drdid_ctes("trad"))
 def drdid_panel(spark, d):
     rows = V.lookup(_prepost(spark, d), _income_at(spark, d, T0), ["area"], ["gdp"])
     return rounded(DID.drdid(rows, "value_1997", "value_1998", "treated", ["gdp"]), att=4, std_error=4, conf_low=4, conf_high=4)
 
 
-@query("drdid_formula")
+@query("drdid_formula", EFFECT_SQL, DR_CTE + drdid_ctes("imp"))
 def drdid_formula(spark, d):
     cells = P.staged_cells(spark, d, items=[SHOCK_ITEM], first_year=T0, last_year=SHOCK_YEAR)
     rows = P.country_panel(spark, d, cells, elements=["Import Value"])
