@@ -13,7 +13,7 @@ from paneloom.operators import plotdata as PD
 from paneloom.operators import reshape as R
 from paneloom.operators import verbs as V
 from paneloom.plans.common import ELEMENTS, ITEMS, LEADER, SHOCK_ITEM
-from paneloom.plans.registry import query, rounded, t_quantile_ctes
+from paneloom.plans.registry import query, rounded, t_quantile_ctes, t_real_quantile_ctes
 from paneloom.plans.tables import GRID_CTES, _link_grid
 from paneloom.session import cut_lineage
 from paneloom.sources import panels as P
@@ -575,16 +575,59 @@ LOESS_CTE = """lp AS (SELECT item, ln(distw) AS x, ln(nullif(value, 0)) AS y FRO
    sum(w * y) AS b0, sum(w * u * y) AS b1, sum(w * u * u * y) AS b2 FROM lw GROUP BY 1, 2, 3)"""
 
 
+def _split(level: int) -> str:
+    """Cells of more than a share of the rows are cut at their median; others stay."""
+    return f"""cut{level} AS (SELECT c.*, greatest(i + 1, least(j - 1, (SELECT min(seat) FROM bx WHERE bx.item = c.item AND before >= (bi + bj) / 2.0))) AS k
+   FROM cell{level} c WHERE j - i >= 2 AND bj - bi > most),
+ cell{level + 1} AS MATERIALIZED (SELECT item, i, j, bi, bj, most FROM cell{level} WHERE j - i < 2 OR bj - bi <= most
+   UNION ALL SELECT cut{level}.item, i, k, bi, before, most FROM cut{level} JOIN bx ON bx.item = cut{level}.item AND seat = k
+   UNION ALL SELECT cut{level}.item, k, j, before, bj, most FROM cut{level} JOIN bx ON bx.item = cut{level}.item AND seat = k)"""
+
+
+# The operator blended between vertices: rows of x, vertices with their fits, products of the vertices' rows.
+BAND_CTE = (
+    """rx AS MATERIALIZED (SELECT item, x, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM lp GROUP BY 1, 2),
+ bx AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS seat, coalesce(sum(n) OVER (PARTITION BY item ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+   lag(x) OVER w AS px FROM rx WINDOW w AS (PARTITION BY item ORDER BY x)),
+ cell0 AS (SELECT item, 0 AS i, count(*) AS j, 0 AS bi, sum(n) AS bj, floor(sum(n) * 0.75 * 0.2) AS most FROM bx GROUP BY 1), """
+    + ", ".join(map(_split, range(7)))
+    + """, ends AS (SELECT item, lo AS v FROM lr UNION ALL SELECT item, hi FROM lr UNION ALL SELECT c.item, (x + px) / 2 FROM cell7 c JOIN bx ON bx.item = c.item AND seat = i AND i > 0),
+ vx AS MATERIALIZED (SELECT item, v, row_number() OVER (PARTITION BY item ORDER BY v) - 1 AS no, lead(v) OVER (PARTITION BY item ORDER BY v) AS nv, count(*) OVER (PARTITION BY item) AS m FROM ends),
+ vd AS (SELECT vx.item, no, v, abs(x - v) AS d, row_number() OVER (PARTITION BY vx.item, no ORDER BY abs(x - v)) AS rn, count(*) OVER (PARTITION BY vx.item, no) AS rows FROM vx JOIN lp ON lp.item = vx.item),
+ vh AS (SELECT item, no, v, d AS h FROM vd WHERE rn = greatest(CAST(floor(rows * 0.75 + 0.00001) AS BIGINT), 1)),
+ vu AS MATERIALIZED (SELECT vh.item, no, h, x, n, sy, (x - v) / h AS u, CASE WHEN abs(x - v) < h THEN pow(1 - pow(abs(x - v) / h, 3), 3) ELSE 0 END AS w FROM vh JOIN rx ON rx.item = vh.item),
+ va AS (SELECT item, no, sum(n * w) AS a0, sum(n * w * u) AS a1, sum(n * w * u * u) AS a2, sum(n * w * u * u * u) AS a3, sum(n * w * u * u * u * u) AS a4 FROM vu GROUP BY 1, 2),
+ vi AS (SELECT *, a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2) AS det FROM va),
+ lent AS MATERIALIZED (SELECT item, 2 * no AS node, x, n, sy, w * ((a2 * a4 - a3 * a3) + (a2 * a3 - a1 * a4) * u + (a1 * a3 - a2 * a2) * u * u) / det AS l FROM vu JOIN vi USING (item, no)
+   UNION ALL SELECT item, 2 * no + 1, x, n, sy, w * ((a2 * a3 - a1 * a4) + (a0 * a4 - a2 * a2) * u + (a1 * a2 - a0 * a3) * u * u) / det / h FROM vu JOIN vi USING (item, no)),
+ held AS (SELECT item, node, sum(l * sy) AS val FROM lent GROUP BY 1, 2),
+ spots AS (SELECT item, x AS g FROM rx UNION SELECT item, g FROM lg),
+ placed AS (SELECT spots.item, g, no, nv - v AS wd, (g - v) / (nv - v) AS t FROM spots JOIN vx ON vx.item = spots.item AND nv IS NOT NULL AND g >= v AND (g < nv OR no = m - 2)),
+ given AS MATERIALIZED (SELECT item, g, 2 * no AS node, (1 + 2 * t) * pow(1 - t, 2) AS c FROM placed UNION ALL SELECT item, g, 2 * no + 2, t * t * (3 - 2 * t) FROM placed
+   UNION ALL SELECT item, g, 2 * no + 1, t * pow(1 - t, 2) * wd FROM placed UNION ALL SELECT item, g, 2 * no + 3, t * t * (t - 1) * wd FROM placed),
+ gg AS MATERIALIZED (SELECT p.item, p.node AS p, q.node AS q, sum(p.n * p.l * q.l) AS v FROM lent p JOIN lent q ON q.item = p.item AND q.x = p.x GROUP BY 1, 2, 3),
+ fx AS (SELECT given.item, g, sum(c * val) AS f FROM given JOIN held ON held.item = given.item AND held.node = given.node GROUP BY 1, 2),
+ rs AS (SELECT rx.item, sum(syy - 2 * f * sy + n * f * f) AS rest, sum(n) AS n FROM rx JOIN fx ON fx.item = rx.item AND fx.g = rx.x GROUP BY 1),
+ tr AS (SELECT lent.item, sum(n * c * l) AS tr FROM lent JOIN given ON given.item = lent.item AND given.node = lent.node AND g = x GROUP BY 1),
+ norms AS MATERIALIZED (SELECT a.item, a.g, sum(a.c * b.c * v) AS s FROM given a JOIN given b ON b.item = a.item AND b.g = a.g JOIN gg ON gg.item = a.item AND gg.p = a.node AND gg.q = b.node GROUP BY 1, 2),
+ ll AS (SELECT rx.item, sum(n * s) AS ll FROM rx JOIN norms ON norms.item = rx.item AND norms.g = rx.x GROUP BY 1),
+ sg AS MATERIALIZED (SELECT rs.item, rest / (n - 2 * tr + ll) AS s2, n - 2 * tr + ll AS df FROM rs JOIN tr ON tr.item = rs.item JOIN ll ON ll.item = rs.item), """
+    + t_real_quantile_ctes("sg")
+    + """, band AS (SELECT norms.item, g, sqrt(s2 * s) AS se, q FROM norms JOIN sg ON sg.item = norms.item JOIN tq ON tq.df = sg.df)"""
+)
+
+
 @query(
     "plot_smooth_loess",
-    """SELECT item, CAST(point AS BIGINT) AS point, round(g, 6) AS x,
-              round((b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - a3 * b2) + a2 * (b1 * a3 - a2 * b2))
-                  / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2)), 6) AS y FROM lm2""",
-    LOESS_CTE,
+    """SELECT item, point, x, y, round(se, 6) AS se, round(yy - q * se, 6) AS low, round(yy + q * se, 6) AS high FROM (
+       SELECT *, round(yy, 6) AS y FROM (SELECT lm2.item, CAST(point AS BIGINT) AS point, round(lm2.g, 6) AS x, se, q,
+              ((b0 * (a2 * a4 - a3 * a3) - a1 * (b1 * a4 - a3 * b2) + a2 * (b1 * a3 - a2 * b2))
+                  / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a3 * a2) + a2 * (a1 * a3 - a2 * a2))) AS yy FROM lm2 JOIN band ON band.item = lm2.item AND band.g = lm2.g))""",
+    LOESS_CTE + ", " + BAND_CTE,
 )
 def plot_smooth_loess(spark, d):
     f = _quantity_by_distance(spark, d).withColumns({"ldist": S.log_or_null("distw"), "lval": S.log_or_null("value")})
-    return rounded(PD.smooth_loess(f, "ldist", "lval", facet=["item"]), point=-1, x=6, y=6)
+    return rounded(PD.smooth_loess(f, "ldist", "lval", facet=["item"], band=True), point=-1, x=6, y=6, se=6, low=6, high=6)
 
 
 # --- supplier exit ------------------------------------------------------------------------

@@ -83,6 +83,19 @@ def t_quantile_ctes(source: str, level: float = 0.95, steps: int = 12) -> str:
     return ", ".join(out) + f", tq AS (SELECT df, q FROM tq{steps})"
 
 
+def t_real_quantile_ctes(source: str, level: float = 0.95, steps: int = 12, terms: int = 200) -> str:
+    """``tq`` (df, q) for degrees of freedom of any size, the share by its power series in q^2 / (df + q^2)."""
+    y = "(q * q / (df + q * q))"
+    factor = f"exp(lgamma((df + 1) / 2 + k) - lgamma((df + 1) / 2) - lgamma(1.5 + k) + lgamma(1.5) + k * ln({y}))"
+    front = f"exp(0.5 * ln({y}) + df / 2 * ln(1 - {y}) + lgamma((df + 1) / 2) - lgamma(df / 2) - lgamma(0.5)) * 2"
+    share = f"({front} * list_sum(list_transform(range(0, {terms}), lambda k: {factor})))"
+    slope = "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + q * q / df, -(df + 1) / 2)"
+    out = [f"tq0 AS (SELECT DISTINCT CAST(df AS DOUBLE) AS df, CAST(1 AS DOUBLE) AS q FROM {source})"]
+    for k in range(steps):
+        out.append(f"tq{k + 1} AS MATERIALIZED (SELECT df, q + ({level} - {share}) / ({slope}) AS q FROM tq{k})")
+    return ", ".join(out) + f", tq AS (SELECT df, q FROM tq{steps})"
+
+
 def within_rounds(source: str, keys: list[str], cols: list[str], rest: list[str], rounds: int = 14) -> str:
     """CTEs that take off the means by each key in turn, ``rounds`` times; the last is ``within``."""
     out, last = [], source
