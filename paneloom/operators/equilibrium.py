@@ -32,5 +32,6 @@ def supplier_exit(suppliers: DataFrame, market: str, supplier: str, cost: str, a
     rows = rows.withColumns({"q_before": before, "q_after": after}).withColumn("diff", F.col("q_after") - F.col("q_before"))
     first = F.col(a) * F.col("__w1") / (1 + F.col("__s_after")) - F.col(a) * F.col("__w1") / (1 + F.col("__s"))
     gap = F.col("diff") - first
+    # The three outcome labels.
     relation = label_rules([(gap > tol, "Diff1 < Diff2"), (gap < -tol, "Diff1 > Diff2"), (gap.isNotNull(), "Diff1 = Diff2")])
     return rows.select(market, supplier, "q_before", "q_after", "diff", relation.alias("relation"))
