@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -15,56 +16,74 @@ from paneloom.llm.common import id_text, ship
 from paneloom.llm.tokens import encoder
 from paneloom.session import new_folder
 
-#: Symbols that a round can pair: its most frequent ones.
-CODES = 2048
-
 #: Documents that are encoded in one call.
 DOCS_AT_ONCE = 256
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int, rules_per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: the sequence over terminals and rules, and the rules (left, right).
 
-    Each round counts all pairs of its ``CODES`` most frequent symbols and
-    replaces up to ``rules_per_round`` of the most frequent ones (``least``
-    occurrences or more). Where two chosen pairs overlap the more frequent one
-    wins, then the left one. Rules of a round are used by later rounds.
+    The most frequent pair of neighbours becomes a rule, again and again, until
+    no pair occurs ``least`` times. The places of a pair are kept from when its
+    younger symbol was made; later rules can only take some of them away. So a
+    pair that comes up first tests its places, and goes back with its true
+    count if others have used them. Runs of one symbol pair from the left. Work
+    is the sort of the first pairs and what each rule touches.
     """
-    seq, rules = ids.astype(np.int32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        counts = np.bincount(seq)
-        frequent = np.argsort(-counts, kind="stable")[: CODES - 1]
-        code = np.zeros(len(counts), np.int32)
-        code[frequent] = np.arange(1, len(frequent) + 1)
-        coded = code[seq]
-        pair = coded[:-1] * CODES + coded[1:]
-        pair[(coded[:-1] == 0) | (coded[1:] == 0)] = 0
-        seen = np.bincount(pair, minlength=CODES * CODES)
-        seen[0] = 0
-        enough = np.flatnonzero(seen >= least)
-        if not len(enough):
-            break
-        chosen = enough[np.argsort(-seen[enough], kind="stable")[:rules_per_round]]
-        none = len(chosen)
-        rank = np.full(CODES * CODES, none, np.int32)
-        rank[chosen] = np.arange(none)
-        at = rank[pair]
-        take = at < none
-        take[1:] &= at[1:] < at[:-1]
-        take[:-1] &= at[:-1] <= at[1:]
-        where = np.flatnonzero(take)
-        used, symbol = np.unique(at[where], return_inverse=True)
-        if not len(used):
-            break
-        fresh = terminals + sum(len(r) for r in rules)
-        rules.append(np.stack((frequent[chosen[used] // CODES - 1], frequent[chosen[used] % CODES - 1]), axis=1).astype(np.int32))
-        seq[where] = fresh + symbol
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = seq[keep]
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int32)
+    n = len(ids)
+    sym = np.append(ids.astype(np.int32), np.int32(-1))  # the last place is past the end; after[] may name it
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    places: dict[tuple[int, int], np.ndarray] = {}
+    queue: list[tuple[int, int, int]] = []
+
+    def offer(key: np.ndarray, at: np.ndarray, pair_of: Callable[[int], tuple[int, int]]) -> None:
+        """Pairs, told apart by a key, that occur often enough, with their places in order."""
+        if len(at) < least:
+            return
+        order = key.argsort(kind="stable")
+        key = key[order]
+        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        counts = cuts[1:] - cuts[:-1]
+        for k in np.flatnonzero(counts >= least).tolist():
+            pair = pair_of(int(key[cuts[k]]))
+            places[pair] = at[order[cuts[k] : cuts[k + 1]]]
+            heappush(queue, (-int(counts[k]), *pair))
+
+    if n > 1:
+        often = np.bincount(sym[:n])[sym[:n]] >= least
+        at = np.flatnonzero(often[:-1] & often[1:]).astype(np.int32)
+        offer(sym[at].astype(np.int64) << 32 | sym[at + 1], at, lambda key: (key >> 32, key & 0xFFFFFFFF))
+    rules: list[tuple[int, int]] = []
+    while queue:
+        count, a, b = heappop(queue)
+        at = places.pop((a, b))
+        at = at[sym[at] == a]
+        at = at[sym[after[at]] == b]
+        if a == b and len(at):
+            # in a run of k places that follow each other every second one is taken
+            starts = np.flatnonzero(np.concatenate(([True], after[at[:-1]] != at[1:])))
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+        if len(at) < least:
+            continue
+        if len(at) < -count and queue and -len(at) > queue[0][0]:
+            places[a, b] = at
+            heappush(queue, (-len(at), a, b))
+            continue
+        fresh = terminals + len(rules)
+        rules.append((a, b))
+        gone = after[at]
+        then = after[gone]
+        sym[at], sym[gone] = fresh, -1
+        after[at], before[then] = then, at
+        prior = before[at]
+        prior = prior[prior >= 0]
+        left = sym[prior]
+        other = left != fresh  # two fresh ones in a row count from the first
+        offer(left[other], prior[other], lambda key: (key, fresh))
+        right = sym[then]
+        other = right >= 0
+        offer(right[other], at[other], lambda key: (fresh, key))
+    return sym[sym >= 0], np.array(rules, np.int64).reshape(-1, 2)
 
 
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -104,7 +123,7 @@ class Grammar:
         return self.flat[take[before : before + stop - start]]
 
 
-def _writer(path: str, block_ids: int, rounds: int, rules_per_round: int, least: int):
+def _writer(path: str, block_ids: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         library = encoder(path)
         terminals = max(library.library.get_vocab_size(with_added_tokens=True), 1)
@@ -116,7 +135,7 @@ def _writer(path: str, block_ids: int, rounds: int, rules_per_round: int, least:
         def block() -> pd.DataFrame:
             nonlocal shard, done, names, held, size
             ids = np.frombuffer(b"".join(held), "<u4")
-            seq, rules = compress(ids, terminals, rounds, rules_per_round, least)
+            seq, rules = compress(ids, terminals, least)
             width = "<u2" if terminals + len(rules) <= 1 << 16 else "<u4"
             row = {
                 "part": part,
@@ -169,8 +188,6 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_ids: int = 1 << 20,
-    rounds: int = 3,
-    rules_per_round: int = 1024,
     least: int = 64,
 ) -> None:
     """Writes the ids of all texts, each followed by id 0, in ascending id order.
@@ -191,7 +208,7 @@ def write_token_files(
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"part int, shard int, start_in_part long, n_ids long, terminals int, ids array<{kind}>, counts array<long>, rules binary, lengths binary, symbols binary, width int"
     ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(_writer(tokenizer, block_ids, rounds, rules_per_round, least), schema).write.option("compression", "zstd").parquet(folder)
+    ordered.mapInPandas(_writer(tokenizer, block_ids, least), schema).write.option("compression", "zstd").parquet(folder)
 
 
 def read_token_files(docs_from: DataFrame) -> DataFrame:

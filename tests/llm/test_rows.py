@@ -149,13 +149,50 @@ def test_repair_random_access():
     rnd = np.random.default_rng(3)
     ids = np.tile(rnd.integers(0, 50, 40), 100)
     ids[rnd.integers(0, len(ids), 200)] = 999
-    seq, rules = repair.compress(ids, 1000, 6, 64, 2)
+    seq, rules = repair.compress(ids, 1000, 2)
     assert len(seq) < len(ids) / 3
     g = repair.Grammar(seq.astype(np.int64), rules, repair.rule_lengths(rules, 1000), 1000)
     assert (g.ids(0, len(ids)) == ids).all()
     for a, b in ((0, 1), (17, 17), (5, 900), (len(ids) - 3, len(ids))):
         assert (g.ids(a, b) == ids[a:b]).all()
-    assert repair.compress(np.zeros(1, np.int64), 10, 3, 4, 2)[0].tolist() == [0]
+    assert repair.compress(np.zeros(1, np.int64), 10, 2)[0].tolist() == [0]
+
+
+def plain_repair(ids, terminals, least):
+    """Re-Pair by counting anew before each rule; pairs in a run count from the left."""
+    seq, rules = list(ids), []
+    while True:
+        places, last = defaultdict(list), {}
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                places[pair].append(i)
+                last[pair] = i
+        most = max(map(len, places.values()), default=0)
+        if most < least:
+            return seq, rules, most
+        pair = min(p for p, at in places.items() if len(at) == most)
+        taken, out, i = set(places[pair]), [], 0
+        while i < len(seq):
+            out.append(terminals + len(rules) if i in taken else seq[i])
+            i += 2 if i in taken else 1
+        seq, rules = out, [*rules, pair]
+
+
+def test_repair_to_the_end():
+    """No pair is left that occurs often enough; sizes are those of counting anew before each rule."""
+    for seed in range(30):
+        rnd = np.random.default_rng(seed)
+        ids = rnd.integers(0, rnd.integers(1, 6), rnd.integers(2, 400))
+        ids = np.concatenate([ids, np.tile(ids[:20], rnd.integers(0, 10))])
+        least = int(rnd.integers(2, 6))
+        seq, rules = repair.compress(ids, 10, least)
+        want, known, _ = plain_repair(ids.tolist(), 10, least)
+        assert plain_repair(seq.tolist(), 10 + len(rules), least)[2] < least
+        assert abs(len(seq) - len(want)) <= 0.15 * len(want) + 4
+        g = repair.Grammar(seq.astype(np.int64), rules, repair.rule_lengths(rules, 10), 10)
+        assert (g.ids(0, len(ids)) == ids).all()
+    copies = np.tile(np.arange(500), 2000)
+    assert len(repair.compress(copies, 500, 64)[0]) < 200
 
 
 def test_packing(any_docs):
