@@ -10,6 +10,8 @@ count back to its documents.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -18,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,13 @@ CHUNK, BITSET = 1 << 16, 1 << 13
 #: A blank or line feed between two characters that are no white space: both tokenizers part there.
 CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
+#: White space; and all of it but blank and line feed.
+WHITE = re.compile(r"\s")
+ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+#: Units that are encoded in one call.
+AT_ONCE = 4096
+
 
 def byte_level() -> dict[str, int]:
     """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
@@ -71,7 +81,7 @@ def _group_sums(at: np.ndarray, values: np.ndarray) -> np.ndarray:
 class Aligner:
     """Units of text with their ids and links, of one Python worker."""
 
-    def __init__(self, path_a: str, path_b: str, keep: int = 200_000):
+    def __init__(self, path_a: str, path_b: str, keep: int = 180_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -80,12 +90,14 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         chars, vocab = byte_level(), self.a.get_vocab()
         self.size_b = self.b.get_piece_size()
-        self.names = [str(i) for i in range(max(max(vocab.values()) + 1, self.size_b))]
+        # ids with what follows them: next id, bar to B, next group, next unit
+        self.marked = [f"{i}{mark}" for i in range(max(max(vocab.values()) + 1, self.size_b)) for mark in ",|;\n"]
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_a[i] = bytes([chars[c] for c in token]) if all(c in chars for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = list(map(piece_bytes, pieces))
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         # a piece across a cut would tie two units together
         self.parts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.keep = keep
@@ -99,11 +111,24 @@ class Aligner:
         self.pairs = np.empty(0, np.int64)
 
     def units(self, text: str) -> list[str]:
-        """The first unit begins with the blank that both put before a text, others with their blank or line feed."""
+        """A bare word stands for the word after a blank, as does the first one, which both put a blank before.
+
+        One that begins with a line feed follows it; one that begins with a
+        blank holds white space of any kind.
+        """
         if not self.parts:
             return [" " + text]
+        plain = text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+        if plain and ODD.isdisjoint(text):
+            out: list[str] = []
+            for k, line in enumerate(text.split("\n")):
+                words = line.split(" ")
+                if k:
+                    words[0] = "\n" + words[0]
+                out += words
+            return out
         cut = CUT.split(text)
-        return [" " + cut[0], *map(str.__add__, cut[1::2], cut[2::2])]
+        return [" " + cut[0], *[w if sep == " " and not WHITE.search(w) else sep + w for sep, w in zip(cut[1::2], cut[2::2])]]
 
     def learn(self, new: list[str]) -> None:
         """Encodes and aligns units that are not known yet.
@@ -112,35 +137,60 @@ class Aligner:
         bytes into stretches; each stretch lies in one token of both, and is
         one link. Ends of both part the groups.
         """
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        # the library puts the blank itself; before a line feed it is no part of the unit
-        ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in new], num_threads=1)
-        ids_b = [i if u[0] == " " else i[1:] for u, i in zip(new, ids_b, strict=True)]
-        want = [u.encode() for u in new]
-        good = [b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y)) for w, x, y in zip(want, ids_a, ids_b, strict=True)]
-        ids_a = [x if ok else [] for x, ok in zip(ids_a, good, strict=True)]
-        ids_b = [x if ok else [] for x, ok in zip(ids_b, good, strict=True)]
+        ids_a: list[list[int]] = []
+        ids_b: list[list[int]] = []
+        texts = [u if u[0] in " \n" else " " + u for u in new]
+        for k in range(0, len(new), AT_ONCE):
+            part = texts[k : k + AT_ONCE]
+            ids_a += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            # the library puts the blank itself; before a line feed it is no part of the unit
+            found = self.b.encode([u[1:] if u[0] == " " else u for u in part], num_threads=1)
+            ids_b += [i if u[0] == " " else i[1:] for u, i in zip(part, found, strict=True)]
+        want, good = [u.encode() for u in texts], [True] * len(new)
+        spell = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        ends_of_want = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+
+        def whole(ids: list[list[int]], length: np.ndarray, table: list[bytes]) -> bool:
+            """All units come back byte for byte: their ends do, and all of them in a row."""
+            last = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(last[-1]))
+            at = np.concatenate(([0], np.cumsum(length[flat])))[last]
+            return np.array_equal(at, ends_of_want) and spell(table, flat.tolist()) == b"".join(want)
+
+        if not (whole(ids_a, self.length_a, self.bytes_a) and whole(ids_b, self.length_b, self.bytes_b)):
+            good = [spell(self.bytes_a, x) == w == spell(self.bytes_b, y) for w, x, y in zip(want, ids_a, ids_b, strict=True)]
+            ids_a = [x if ok else [] for x, ok in zip(ids_a, good, strict=True)]
+            ids_b = [x if ok else [] for x, ok in zip(ids_b, good, strict=True)]
         flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in flat_a], dtype=np.int64)
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in flat_b], dtype=np.int64)
-        stretch, both = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        twice = np.diff(ends, append=-1) == 0
+        both, stretch = ends[twice], ends[~twice]
         pairs = flat_a[np.searchsorted(ends_a, stretch)] * self.size_b + flat_b[np.searchsorted(ends_b, stretch)]
-        unit_ends = np.cumsum([len(w) if ok else 0 for w, ok in zip(want, good, strict=True)], dtype=np.int64)
+        unit_ends = np.cumsum(np.diff(ends_of_want, prepend=0) * good)
         links, groups = (np.diff(np.searchsorted(x, unit_ends, "right"), prepend=0) for x in (stretch, both))
-        names = self.names.__getitem__
-        text_a, text_b = list(map(names, flat_a.tolist())), list(map(names, flat_b.tolist()))
-        to_a, to_b = (np.searchsorted(x, both, "right").tolist() for x in (ends_a, ends_b))
-        said = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-        at = 0
-        for unit, n in zip(new, groups.tolist(), strict=True):
-            self.index[unit] = len(self.groups)
-            self.groups.append(";".join(said[at : at + n]))
-            at += n
+        said = self._say(flat_a, ends_a, flat_b, ends_b, both, unit_ends)
+        self.index.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        if all(good):
+            self.groups += said
+        else:
+            spoken = iter(said)
+            self.groups += [next(spoken) if ok else "" for ok in good]
         counts = np.column_stack([list(map(len, ids_a)), list(map(len, ids_b)), groups, good]).astype(np.int64).reshape(-1, 4)
         self.counts = np.concatenate([self.counts, counts])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(links)])
         self.pairs = np.concatenate([self.pairs, pairs])
 
+    def _say(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, both: np.ndarray, unit_ends: np.ndarray) -> list[str]:
+        """The groups of each unit as text, built in one go: every id is followed by the mark that its place asks for."""
+        last_a, last_b = np.isin(ends_a, both, assume_unique=True), np.isin(ends_b, both, assume_unique=True)
+        unit_b = np.isin(ends_b, unit_ends)
+        marked = np.concatenate([4 * a + last_a, 4 * b + np.where(unit_b, 3, 2 * last_b)])
+        # by group, then A before B, then in order
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        return "".join(map(self.marked.__getitem__, marked[order].tolist())).split("\n")[:-1]
+
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text (ids of a, ids of b, groups, links) and the checksum of its groups; and postings: (pair, text) and links of it.
 
@@ -149,10 +199,14 @@ class Aligner:
         if len(self.index) > self.keep:
             self.forget()
         split = [self.units(t) if t else [] for t in texts]
-        if new := list(dict.fromkeys(u for units in split for u in units if u not in self.index)):
-            self.learn(new)
+        flat_units = list(chain.from_iterable(split))
+        known = list(map(self.index.get, flat_units))
+        if None in known:
+            self.learn(list({u for u, k in zip(flat_units, known) if k is None}))
+            known = [self.index[u] if k is None else k for u, k in zip(flat_units, known)]
         at = np.concatenate(([0], np.cumsum(list(map(len, split)), dtype=np.int64)))
-        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(at[-1]))
+        flat = np.array(known, np.int64)
+        del known, flat_units
         found = np.stack([_group_sums(at, self.counts[flat, k]) for k in range(4)], axis=1)
         fits = (found[:, 3] == np.diff(at)) & (np.diff(at) > 0)
         sums = []
@@ -160,7 +214,9 @@ class Aligner:
             sums.append(sha256(";".join(map(self.groups.__getitem__, flat[i:j].tolist())).encode()).hexdigest() if ok else "")
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
         inside = fits[owner]
-        held, times = np.unique(owner[inside] * len(self.groups) + flat[inside], return_counts=True)
+        inside = np.sort(owner[inside] * len(self.groups) + flat[inside])
+        starts = np.flatnonzero(np.diff(inside, prepend=-1))
+        held, times = inside[starts], np.diff(starts, append=len(inside))
         owner, unit = np.divmod(held, max(len(self.groups), 1))
         size = (self.first[unit + 1] - self.first[unit]).astype(np.int64)
         start = np.repeat(self.first[unit] - np.cumsum(size) + size, size)
@@ -181,16 +237,16 @@ def _merged(keys: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def _blocks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+def _blocks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most ``most`` characters (or one text)."""
     first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > most:
+    for k, n in enumerate(lengths):
+        if k > first and size + n > most:
             yield first, k
             first, size = k, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        size += n
+    if first < len(lengths):
+        yield first, len(lengths)
 
 
 def _bitmaps(keys: np.ndarray, links: np.ndarray, size_b: int) -> dict[str, np.ndarray | list[bytes]]:
@@ -210,6 +266,14 @@ def _bitmaps(keys: np.ndarray, links: np.ndarray, size_b: int) -> dict[str, np.n
     return {name: np.concatenate(col) for name, col in cols.items()} | {"bitmap": bitmaps}
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _index(path_a: str, path_b: str, chunk_docs: int, postings: int, chars: int):
     """Documents with their place (chunk, slot) and counts, and after each chunk its bitmaps; one stream of rows."""
 
@@ -227,17 +291,19 @@ def _index(path_a: str, path_b: str, chunk_docs: int, postings: int, chars: int)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def closed() -> pa.RecordBatch:
-            cols = _bitmaps(*_merged(*map(np.concatenate, zip(*held))), aligner.size_b)
+            keys, links = map(np.concatenate, zip(*held))
+            held.clear()
+            cols = _bitmaps(*_merged(keys, links), aligner.size_b)
             return table(kind, len(cols["bitmap"]), cols | {"chunk": np.full(len(cols["bitmap"]), chunk)})
 
         for batch in batches:
-            texts, kind = batch.column("text").to_pylist(), batch.column("doc_id").type
-            for i, j in _blocks(texts, chars):
+            texts, kind = batch.column("text"), batch.column("doc_id").type
+            for i, j in _blocks(pc.utf8_length(texts).to_pylist(), chars):
                 for k in range(i, j, chunk_docs):
-                    part = texts[k : min(k + chunk_docs, j)]
+                    part = texts.slice(k, min(chunk_docs, j - k)).to_pylist()
                     if held and (used + len(part) > chunk_docs or sum(len(x) for x, _ in held) > postings):
                         yield closed()
-                        chunk, used, held = chunk + 1, 0, []
+                        chunk, used = chunk + 1, 0
                     counts, sums, keys, links = aligner.align(part)
                     known = dict(zip(("n_a", "n_b", "n_groups", "n_links"), counts.T)) | {"groups_sha256": sums, "doc_id": batch.column("doc_id").slice(k, len(part))}
                     yield table(kind, len(part), known | {"chunk": np.full(len(part), chunk), "slot": np.arange(used, used + len(part))})
@@ -245,6 +311,9 @@ def _index(path_a: str, path_b: str, chunk_docs: int, postings: int, chars: int)
                     used += len(part)
         if held:
             yield closed()
+        # an idle worker keeps the vocabularies only
+        aligner.forget()
+        _give_back()
 
     return run
 
@@ -264,7 +333,7 @@ def _scores(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_index(
-    docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK, postings: int = 4_000_000, chars: int = 4_000_000
+    docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK, postings: int = 400_000, chars: int = 300_000
 ) -> tuple[DataFrame, DataFrame]:
     """The documents' counts (chunk, slot, doc_id, ...) and the inverted index (chunk, a, b, plane, n, bitmap).
 

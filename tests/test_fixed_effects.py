@@ -19,7 +19,7 @@ def panel(cells, seed=0):
     return p.assign(y=2 * p.x + a[p.i] + 0.1 * p.t + rng.normal(size=len(p)))
 
 
-CHAIN = [(i, t) for i in range(40) for t in range(40) if abs(i - t) <= 1]
+CHAIN = [(i, t) for i in range(10) for t in range(10) if abs(i - t) <= 1]
 
 
 def dense(p, keys=("i", "t")):
