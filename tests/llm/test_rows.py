@@ -1,6 +1,7 @@
 """Row-wise operators against brute force: quality, personal data, tokens, packing, shards."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -291,3 +292,64 @@ def test_clause_contexts():
     assert kinds("not a fool") == ["negated"]
     assert kinds("critics said fool") == ["reported"]
     assert kinds("kill you") == ["threat_aimed"]
+    assert kinds("they will kill") == ["threat_aimed"] and kinds("will kill") == ["threat"]
+    assert kinds("he said he would kill you") == ["threat_reported"]
+    assert kinds("i will not kill you") == ["threat_negated"]
+
+
+def brute_features(text, stems):
+    """Looks back and forth from each word of each clause, without a state."""
+    found, direct = Counter(), []
+    for clause in re.split(r"[.!?;:\n|]", text.lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        held = [max((s for s in stems if (w == s[:-1] if s.endswith("$") else w.startswith(s))), key=len, default=None) for w in words]
+        is_in = [[held[k] is None and w in c for k, w in enumerate(words)] for c in (toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)]
+        threat, target, negation, report = is_in
+        target = [t and not x for t, x in zip(target, threat)]
+        negation = [n and not (x or t) for n, x, t in zip(negation, threat, target)]
+        report = [r and not (x or t or n) for r, x, t, n in zip(report, threat, target, negation)]
+        for k, stem in enumerate(held):
+            if stem is None and not threat[k]:
+                continue
+            near = any(target[:k]) or any(target[k + 1 : k + 4])
+            state = "negated" if any(negation[max(k - 2, 0) : k]) else "reported" if any(report[:k]) else "aimed" if near else "plain"
+            if stem is None:
+                found["threat" if state == "plain" else "threat_" + state] += 1
+            else:
+                found[state] += stems[stem]
+                direct += [stems[stem]] * (state in ("plain", "aimed"))
+    logs = [np.log1p(found[k]) for k in toxicity.KINDS]
+    return [*logs, max(direct, default=0.0), np.log1p(1000 * len(direct) / (len(text.lower()) + 1000))]
+
+
+def test_clauses_against_brute_force(sf_docs):
+    stems = {"fool": 2.0, "foolis": 1.5, "wretch$": 3.0, "scu": 1.0, "que": 0.5, "las": 0.25, "die$": 0.75}
+    cues = toxicity.automaton(stems)
+    rnd = random.Random(3)
+    some = ["fool", "foolish", "wretch", "wretched", "scum", "kill", "you", "not", "said", "and", "x1", "½fool", "été", "die", "diet", "fool_fool", "", "a"]
+    seen = ["you " + "word " * 300 + "fool", "he said " + "word " * 3000 + "kill him", "fool", "", "not", "." * 900 + "scum", "|".join(["you", "fool"] * 50)]
+    seen += ["".join(rnd.choice(some) + rnd.choice("     ,.!\n|'") for _ in range(rnd.randrange(60))) for _ in range(800)]
+    seen += [r["text"] or "" for r in sf_docs.collect()]
+    for text in seen:
+        assert np.allclose(toxicity.features(text, stems, cues), brute_features(text, stems)), text
+    first = dict(zip(toxicity.FEATURES, toxicity.features(seen[0], stems, cues)))
+    assert first["aimed"] > 0 and first["plain"] == 0
+
+
+def test_bounded_weights():
+    rnd = np.random.default_rng(4)
+    x = rnd.poisson(0.5, (3000, len(toxicity.FEATURES))).astype(float)
+    truth = np.array([1.0, 1.2, 2.0, -0.5, 0.4, 0.8, 0.1, 0.9, 0.0, 0.3])  # negated and threat_reported would pass their bounds
+    y = (rnd.random(3000) < 1 / (1 + np.exp(3 - x @ truth))).astype(float)
+    start, *w = toxicity._fit(x, y)
+    w = dict(zip(toxicity.FEATURES, w))
+    assert all(w[low] <= w[high] for low, high in toxicity.NOT_ABOVE)
+    assert w["negated"] == w["plain"] > 1 and w["threat_reported"] == w["threat"] > 0.4
+    assert abs(w["aimed"] - 1.2) < 0.3 and abs(w["reported"] + 0.5) < 0.3 and abs(w["threat_negated"] - 0.1) < 0.3
+
+
+def test_repeated_ids_in_the_fit(spark):
+    rows = [(i % 300, "a scoundrel walks" if i % 5 == 0 else "a person walks") for i in range(900)]
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    one, two = (toxicity.fit_grammar(spark.createDataFrame(r, "doc_id long, text string"), marks) for r in (rows, rows[::-1]))
+    assert one == two and "scoundrel$" in one.stems
