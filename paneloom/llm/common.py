@@ -35,6 +35,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def whole_number(docs: DataFrame, column: str) -> bool:
+    """Whether a column holds whole numbers of at most 64 bits."""
+    return docs.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def number_of(docs: DataFrame, column: str) -> Column:
+    """An id as a number: itself, or a hash of its text where it is no whole number."""
+    return F.col(column).cast("long") if whole_number(docs, column) else F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import let, ship
+from paneloom.llm.common import let, ship, whole_number
 from paneloom.session import cut_lineage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -166,7 +166,10 @@ def line_dedup(
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    order_id = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    if whole_number(docs, id_col):
+        kind, order_id = "long", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    else:
+        kind, order_id = "string", F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1"))
     lines = F.split(text, "\n", -1)
     base = cut_lineage(
         docs.select(
@@ -196,7 +199,7 @@ def line_dedup(
     unique = base.dropDuplicates(["id", "th"])
     earlier = unique.select(F.col("id").alias("a_id"), F.col("th").alias("a_th"), F.col("lines").alias("a_lines"))
     aligned = pairs.join(earlier, ["a_id", "a_th"]).join(unique, ["id", "th"]).select("id", "th", "a_lines", "lines", "telling")
-    gone = aligned.mapInPandas(_align, "id long, th long, gone array<int>")
+    gone = aligned.mapInPandas(_align, f"id {kind}, th long, gone array<int>")
     deleted = gone.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     packed = docs.select(order_id.alias("id"), F.xxhash64(text).alias("th"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import ship
+from paneloom.llm.common import number_of, ship
 from paneloom.session import cut_lineage
 
 #: An odd multiplier and its inverse mod 2**64, for rolling hashes.
@@ -262,12 +262,12 @@ def repeat_ranges(
     strings by hash instead, so no group has to fit in a task.
 
     The key is (id, hash of the text); rows equal in both are separate
-    occurrences.
+    occurrences. Ids that are no whole numbers go by a hash of their text.
     """
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keyed = docs.select(F.coalesce(number_of(docs, id_col), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = cut_lineage(keyed.mapInPandas(_cut(length, gram, batch_bytes), "id long, th long, anchor long, seg long, start int, stop int"))
     # written, so that the next join stands on exchanges alone and a hot anchor is split
     shared = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = repeat_ranges(docs, id_col=id_col, text_col=text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")
+        F.col(id_col).alias("doc_id"), F.coalesce(number_of(docs, id_col), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")
     )
     kind = keyed.schema["doc_id"].dataType.simpleString()
     joined = keyed.join(marks, ["id", "th"], "left").select("doc_id", "text", "marks")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import ship
+from paneloom.llm.common import number_of, ship
 from paneloom.session import cut_lineage
 
 
@@ -48,8 +48,8 @@ def shard(
     ``whole_group_share`` of a shard's bytes; larger groups are divided by id.
 
     ``slot`` counts the rows of a shard from 0 in key order. Null texts count
-    as empty; a null id sorts first; repeated rows are placed one by one, in
-    any order among themselves; an empty table gives no rows; other columns
+    as empty; a null id sorts first; ids that are no whole numbers sort by a hash
+    of their text; repeated rows are placed one by one, in any order among themselves; an empty table gives no rows; other columns
     are not read.
 
     Only (id, hash, size, checksum) moves, once. The driver sees the sample and
@@ -62,7 +62,7 @@ def shard(
     lean = cut_lineage(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("order_id"),
+            F.coalesce(number_of(docs, id_col), F.lit(-(2**63)).cast("long")).alias("order_id"),
             F.xxhash64(text).alias("text_hash"),
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
