@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import ship
+from paneloom.llm.tokens import blocks, byte_level
 from paneloom.operators.verbs import attach, lookup
 from paneloom.session import cut_lineage
 
@@ -43,13 +44,6 @@ ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 AT_ONCE = 4096
 
 
-def byte_level() -> dict[str, int]:
-    """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 def piece_bytes(piece: str) -> bytes:
     """Bytes of a piece: ``<0xHH>`` is byte HH, U+2581 a blank."""
     if len(piece) == 6 and piece.startswith("<0x"):
@@ -237,18 +231,6 @@ def _merged(keys: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def _blocks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most ``most`` characters (or one text)."""
-    first, size = 0, 0
-    for k, n in enumerate(lengths):
-        if k > first and size + n > most:
-            yield first, k
-            first, size = k, 0
-        size += n
-    if first < len(lengths):
-        yield first, len(lengths)
-
-
 def _bitmaps(keys: np.ndarray, links: np.ndarray, size_b: int) -> dict[str, np.ndarray | list[bytes]]:
     """Bitmaps of a chunk's postings: plane 0 says that a pair is linked, plane k holds bit k - 1 of how often more."""
     more = links - 1
@@ -298,7 +280,7 @@ def _index(path_a: str, path_b: str, chunk_docs: int, postings: int, chars: int)
 
         for batch in batches:
             texts, kind = batch.column("text"), batch.column("doc_id").type
-            for i, j in _blocks(pc.utf8_length(texts).to_pylist(), chars):
+            for i, j in blocks(pc.utf8_length(texts).to_pylist(), chars):
                 for k in range(i, j, chunk_docs):
                     part = texts.slice(k, min(chunk_docs, j - k)).to_pylist()
                     if held and (used + len(part) > chunk_docs or sum(len(x) for x, _ in held) > postings):

@@ -15,9 +15,6 @@ from paneloom.llm.common import id_text, ship
 from paneloom.llm.tokens import encoder
 from paneloom.session import cut_lineage
 
-#: Documents whose ids are in memory at the same time.
-DOCS_AT_ONCE = 256
-
 
 def fullest(room: int, free: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Counts of available lengths whose sum is the largest that fits ``room``.
@@ -78,8 +75,7 @@ def _pieces(path: str, capacity: int):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            texts = batch["text"].tolist()
-            encoded = (ids for k in range(0, len(texts), DOCS_AT_ONCE) for ids in library.batch(texts[k : k + DOCS_AT_ONCE]))
+            encoded = library.each(batch["text"].tolist())
             for doc_id, ids in zip(batch["doc_id"], encoded, strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]

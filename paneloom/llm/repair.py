@@ -16,9 +16,6 @@ from paneloom.llm.common import id_text, ship
 from paneloom.llm.tokens import encoder
 from paneloom.session import new_folder
 
-#: Documents that are encoded in one call.
-DOCS_AT_ONCE = 256
-
 
 def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: the sequence over terminals and rules, and the rules (left, right).
@@ -154,8 +151,7 @@ def _writer(path: str, block_ids: int, least: int):
             return pd.DataFrame([row])
 
         for batch in batches:
-            texts = batch["text"].tolist()
-            encoded = (ids for k in range(0, len(texts), DOCS_AT_ONCE) for ids in library.batch(texts[k : k + DOCS_AT_ONCE]))
+            encoded = library.each(batch["text"].tolist())
             for doc_id, ids in zip(batch["doc_id"], encoded, strict=True):
                 names.append(None if pd.isna(doc_id) else doc_id)
                 held.append(ids)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-from itertools import filterfalse
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -12,12 +14,110 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Stands between words that are encoded in one call, where the vocabulary drops white space.
 MARK = "\x01"
 
-#: White space beyond blank and line feed, where a word may depend on its neighbours, and the mark.
-ODD = frozenset([c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + [MARK])
+#: White space beyond blank and line feed, where a word may depend on its neighbours, the mark, and the start of an added token.
+ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + MARK + "]|<\\|")
 
 #: Words that are encoded in one call.
 TOGETHER = 512
 
+#: Latin letters and numbers up to U+017F, and what is neither these nor white space nor another printable character
+#: there (the capital with a dot is left out: its lower case takes two characters).
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼-¾"
+NOT_LATIN = re.compile("[^!-~¡-įı-ſ]")
+
+#: What both public vocabularies' pre-tokenizers say, and the same for words of such characters; a line feed ends a word.
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_SPLIT = re.compile(f"{SHORT}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\n")
+WORD_SPLIT = re.compile(f"{SHORT}|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+|\n")
+BYTE_STEPS = [None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]
+WORD_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SHORT + "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
+def byte_level() -> dict[str, int]:
+    """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def blocks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` characters (or one text)."""
+    first, size = 0, 0
+    for k, n in enumerate(lengths):
+        if k > first and size + n > most:
+            yield first, k
+            first, size = k, 0
+        size += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+class Pieces:
+    """Ids of words of Latin letters, numbers and signs, from the pieces that the pre-tokenizer cuts them into.
+
+    The library's normalizer and pre-tokenizer take most of the time of a rare
+    word. Both do little to such words: ``of`` does the same with one pass over
+    all of them, so that the library's model sees only pieces, each once.
+    """
+
+    #: Follows the ids of each word.
+    END = 0xFFFFFFFF
+
+    @classmethod
+    def fitting(cls, path: str) -> Pieces | None:
+        """None where the vocabulary normalizes or cuts words in another way."""
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [told["normalizer"], told["pre_tokenizer"]]
+        if told["model"].get("type") != "BPE" or steps not in (BYTE_STEPS, WORD_STEPS):
+            return None
+        return cls(path, steps == WORD_STEPS)
+
+    def __init__(self, path: str, lower: bool) -> None:
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path).model
+        self.lower = lower
+        self.split = WORD_SPLIT if lower else BYTE_SPLIT
+        self.spelled = np.zeros(256, "<u2")
+        for char, byte in byte_level().items():
+            self.spelled[byte] = ord(char)
+        self.spelled[ord("\n")] = ord("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {"\n": np.array([self.END], "<u4").tobytes()}
+
+    def _learn(self, new: list[str]) -> None:
+        spelled = self.spelled[np.frombuffer("\n".join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        ids: list[int] = []
+        ends = [0]
+        for piece in spelled:
+            ids += [token.id for token in self.model.tokenize(piece)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.known.update(zip(new, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
+
+    def of(self, words: list[str], prefix: str) -> bytes:
+        """Ids of ``prefix`` and each word, one word after the other, with ``END`` after each."""
+        text = prefix + f"\n{prefix}".join(words) + "\n"
+        found = self.split.findall(text.lower() if self.lower else text)
+        if new := list(set(found).difference(self.known)):
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, found))
+
+#: Characters of the texts that are encoded in one call.
+CHARS = 2_000_000
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -36,15 +136,17 @@ class Encoder:
     in a row: a word after a blank is encoded with the blank, a word after a
     line feed without it, after the id of the line feed (``words_only``: white
     space has no ids). New words are encoded by the library in one call, with
-    marks between them whose id tells them apart, and kept as bytes. Texts
-    with runs of white space, unusual white space or an added token's string
-    are encoded in one go.
+    marks between them whose id tells them apart, and kept as bytes; Latin
+    words are put together from their pieces (see ``Pieces``). Texts with runs
+    of white space, unusual white space or an added token's string are encoded
+    in one go; a word of theirs shows it.
     """
 
-    def __init__(self, path: str, words_only: bool = False, keep: int = 600_000) -> None:
+    def __init__(self, path: str, words_only: bool = False, keep: int = 900_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.pieces = Pieces.fitting(path)
         self.words_only = words_only
         self.keep = keep
         self.mark = MARK if words_only else "\n"
@@ -52,13 +154,33 @@ class Encoder:
         self.simple = len(marked) == 1
         self.mark_id = marked[0] if marked else -1
         self.line = np.array(marked, "<u4").tobytes()
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        if self.words_only:
+            self.known[""] = b""
+        else:
+            self.odd |= {"", "\n"}
+            self.known |= dict.fromkeys(self.odd, b"")
+        if self.pieces is not None:
+            self.pieces.forget()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes], prefix: str) -> None:
+    def _ids(self, words: list[str], prefix: str) -> dict[str, bytes]:
+        """Ids of ``prefix`` and a word, without those of white space, for each word."""
+        known: dict[str, bytes] = {}
+        if self.pieces is not None:
+            other = list(filter(NOT_LATIN.search, words)) if NOT_LATIN.search("".join(words)) else []
+            if other:
+                words = list(set(words).difference(other))
+            raw = self.pieces.of(words, prefix) if words else b""
+            ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == Pieces.END)).tolist()
+            known.update(zip(words, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)], strict=True))
+            words = other
         groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
         between = f" {self.mark} " if self.words_only else self.mark + prefix
         texts = [prefix + between.join(g) for g in groups]
@@ -71,45 +193,44 @@ class Encoder:
             for word, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
                 known[word] = raw[4 * at : 4 * cut]
                 at = cut + 1
-
-    def _plain(self, text: str) -> bool:
-        if not self.simple or "<|" in text or not ODD.isdisjoint(text):
-            return False
+        return known
+
+    def _learn(self, new: list[str]) -> None:
+        if ODD.search(" ".join(new)):
+            odd = set(filter(ODD.search, new))
+            self.odd |= odd
+            self.known |= dict.fromkeys(odd, b"")
+            new = list(set(new) - odd)
         if self.words_only:
-            return True
-        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+            self.known |= self._ids(new, "")
+            return
+        self.known |= self._ids([w for w in new if w[0] != "\n"], " ")
+        firsts = self._ids([w[1:] for w in new if w[0] == "\n"], "")
+        self.known |= {"\n" + w: self.line + ids for w, ids in firsts.items()}
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text and an end id 0, in calls of about ``CHARS`` characters."""
+        for i, j in blocks(list(map(len, texts)), CHARS):
+            yield from self.batch(texts[i:j])
 
     def batch(self, texts: list[str], end: bytes = b"\0\0\0\0") -> list[bytes]:
         """Little-endian 32-bit ids of each text, followed by ``end``."""
-        split: list[list[list[str]] | None] = []
-        for t in texts:
-            if not self._plain(t):
-                split.append(None)
-            elif self.words_only:
-                split.append([t.split()])
-            else:
-                split.append([line.split(" ") for line in t.split("\n")])
-        if len(self.spaced) + len(self.bare) > self.keep:
-            self.spaced, self.bare = {}, {}
-        spaced, bare = self.spaced, self.bare
-        new: set[str] = set()
-        first: set[str] = set()
-        for lines in split:
-            for words in lines or ():
-                if not self.words_only:
-                    first.add(words[0])
-                new.update(filterfalse(spaced.__contains__, words if self.words_only else words[1:]))
-        if new:
-            self._learn(list(new), spaced, "" if self.words_only else " ")
-        if fresh := [w for w in first if w not in bare]:
-            self._learn(fresh, bare, "")
-        known = spaced.__getitem__
+        if not self.simple:
+            return [self._encode(t) + end for t in texts]
+        # a word after a line feed, and the first one, keep a line feed
+        split = [(t.replace("\n", " ") if self.words_only else "\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        if len(self.known) > self.keep:
+            self.forget()
+        here = set().union(*split)
+        if new := list(here.difference(self.known)):
+            self._learn(new)
+        known = dict(zip(here, map(self.known.__getitem__, here))).__getitem__  # small, so that it stays near
+        odd = here & self.odd
+        first = 0 if self.words_only else len(self.line)
         out: list[bytes] = []
-        for text, lines in zip(texts, split, strict=True):
-            if lines is None:
+        for text, words in zip(texts, split, strict=True):
+            if odd and not odd.isdisjoint(words):
                 out.append(self._encode(text) + end)
-            elif self.words_only:
-                out.append(b"".join(map(known, lines[0])) + end)
             else:
-                out.append(self.line.join([bare[w[0]] + b"".join(map(known, w[1:])) for w in lines]) + end)
+                out.append(b"".join(map(known, words))[first:] + end)
         return out

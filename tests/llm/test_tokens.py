@@ -2,9 +2,9 @@ import random
 
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from paneloom.llm.tokens import Encoder
+from paneloom.llm.tokens import NOT_LATIN, Encoder, Pieces, blocks
 
 ODD = ["", " ", "\n", "a", " a", "a ", "a\n", "a  b", "a\n\nb", "a \nb", "a\n b", "don't won't 'll", "a\tb", "a\x1cb", "<|endoftext|>", "x\x01y", "Ünḯ ẞ Σας", "1234 5,6", "a b", "a　b"]
 
@@ -21,3 +21,36 @@ def test_same_ids(name, words):
         for t, ids in zip(texts[k : k + 100], mine.batch(texts[k : k + 100], b""), strict=True):
             want = library.encode(t, add_special_tokens=False).ids
             assert [int.from_bytes(ids[j : j + 4], "little") for j in range(0, len(ids), 4)] == want, repr(t)
+
+
+@pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_latin_words_come_from_their_pieces(name, words):
+    """Words of each Latin character give the library's ids, without a call of its normalizer and pre-tokenizer."""
+    path = public_tokenizers.path(name)
+    library, mine = Tokenizer.from_file(path), Encoder(path, words)
+    chars = [c for c in map(chr, range(0x21, 0x180)) if not NOT_LATIN.search(c)]
+    assert len(chars) > 300
+    texts = [f"{c} a{c}b {c}{c} 1{c}2\n{c}'s don't{c} {c}'LL" for c in chars]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class NoLibrary:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            assert not texts
+            return []
+
+    mine.library = NoLibrary()
+    found = mine.batch(texts, b"")
+    for t, ids, w in zip(texts, found, want, strict=True):
+        assert [int.from_bytes(ids[j : j + 4], "little") for j in range(0, len(ids), 4)] == w, repr(t)
+
+
+def test_other_vocabularies_have_no_pieces(tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.pre_tokenizer = pre_tokenizers.Whitespace()
+    library.save(str(tmp_path / "other.json"))
+    assert Pieces.fitting(str(tmp_path / "other.json")) is None
+
+
+def test_blocks_of_characters():
+    assert list(blocks([5, 5, 1, 30, 0, 2], 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(blocks([], 10)) == []
