@@ -29,33 +29,41 @@ def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, n
     """
     n = len(ids)
     sym = np.append(ids.astype(np.int32), np.int32(-1))  # the last place is past the end; after[] may name it
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after, before = np.arange(1, n + 1), np.arange(-1, n)
     places: dict[tuple[int, int], np.ndarray] = {}
     queue: list[tuple[int, int, int]] = []
 
-    def offer(key: np.ndarray, at: np.ndarray, pair_of: Callable[[int], tuple[int, int]]) -> None:
+    def by_symbol(key: np.ndarray) -> np.ndarray:
+        """A stable order; symbols of 16 bits are sorted by counting."""
+        return (key.astype(np.uint16) if terminals + len(rules) < 1 << 16 else key).argsort(kind="stable")
+
+    def offer(key: np.ndarray, at: np.ndarray, pair_of: Callable[[int], tuple[int, int]], order: np.ndarray | None = None) -> None:
         """Pairs, told apart by a key, that occur often enough, with their places in order."""
         if len(at) < least:
             return
-        order = key.argsort(kind="stable")
-        key = key[order]
+        if order is None:
+            order = by_symbol(key)
+        key = key.take(order)
         cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         counts = cuts[1:] - cuts[:-1]
         for k in np.flatnonzero(counts >= least).tolist():
             pair = pair_of(int(key[cuts[k]]))
-            places[pair] = at[order[cuts[k] : cuts[k + 1]]]
+            places[pair] = at.take(order[cuts[k] : cuts[k + 1]])
             heappush(queue, (-int(counts[k]), *pair))
 
+    rules: list[tuple[int, int]] = []
     if n > 1:
         often = np.bincount(sym[:n])[sym[:n]] >= least
-        at = np.flatnonzero(often[:-1] & often[1:]).astype(np.int32)
-        offer(sym[at].astype(np.int64) << 32 | sym[at + 1], at, lambda key: (key >> 32, key & 0xFFFFFFFF))
-    rules: list[tuple[int, int]] = []
+        at = np.flatnonzero(often[:-1] & often[1:])
+        left, right = sym.take(at), sym.take(at + 1)
+        order = by_symbol(right)
+        order = order.take(by_symbol(left.take(order)))
+        offer(left.astype(np.int64) << 32 | right, at, lambda key: (key >> 32, key & 0xFFFFFFFF), order)
     while queue:
         count, a, b = heappop(queue)
         at = places.pop((a, b))
-        at = at[sym[at] == a]
-        at = at[sym[after[at]] == b]
+        at = at.compress(sym.take(at) == a)
+        at = at.compress(sym.take(after.take(at)) == b)
         if a == b and len(at):
             # in a run of k places that follow each other every second one is taken
             starts = np.flatnonzero(np.concatenate(([True], after[at[:-1]] != at[1:])))
@@ -68,18 +76,18 @@ def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, n
             continue
         fresh = terminals + len(rules)
         rules.append((a, b))
-        gone = after[at]
-        then = after[gone]
+        gone = after.take(at)
+        then = after.take(gone)
         sym[at], sym[gone] = fresh, -1
         after[at], before[then] = then, at
-        prior = before[at]
-        prior = prior[prior >= 0]
-        left = sym[prior]
+        prior = before.take(at)
+        prior = prior.compress(prior >= 0)
+        left = sym.take(prior)
         other = left != fresh  # two fresh ones in a row count from the first
-        offer(left[other], prior[other], lambda key: (key, fresh))
-        right = sym[then]
+        offer(left.compress(other), prior.compress(other), lambda key: (key, fresh))
+        right = sym.take(then)
         other = right >= 0
-        offer(right[other], at[other], lambda key: (fresh, key))
+        offer(right.compress(other), at.compress(other), lambda key: (fresh, key))
     return sym[sym >= 0], np.array(rules, np.int64).reshape(-1, 2)
 
 

@@ -6,9 +6,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stands between words that are encoded in one call, where the vocabulary drops white space.
@@ -73,19 +77,17 @@ class Pieces:
     END = 0xFFFFFFFF
 
     @classmethod
-    def fitting(cls, path: str) -> Pieces | None:
-        """None where the vocabulary normalizes or cuts words in another way."""
+    def fitting(cls, path: str, library: Tokenizer, lower: bool | None = None) -> Pieces | None:
+        """None where the vocabulary normalizes or cuts words in another way, or not by the steps with (without) ``lower``."""
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         steps = [told["normalizer"], told["pre_tokenizer"]]
-        if told["model"].get("type") != "BPE" or steps not in (BYTE_STEPS, WORD_STEPS):
+        if told["model"].get("type") != "BPE" or steps not in (BYTE_STEPS, WORD_STEPS) or lower not in (None, steps == WORD_STEPS):
             return None
-        return cls(path, steps == WORD_STEPS)
-
-    def __init__(self, path: str, lower: bool) -> None:
-        from tokenizers import Tokenizer
+        return cls(library, steps == WORD_STEPS)
 
-        self.model = Tokenizer.from_file(path).model
+    def __init__(self, library: Tokenizer, lower: bool) -> None:
+        self.model = library.model
         self.lower = lower
         self.split = WORD_SPLIT if lower else BYTE_SPLIT
         self.spelled = np.zeros(256, "<u2")
@@ -146,7 +148,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = Pieces.fitting(path)
+        self.pieces = Pieces.fitting(path, self.library)
         self.words_only = words_only
         self.keep = keep
         self.mark = MARK if words_only else "\n"

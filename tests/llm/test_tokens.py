@@ -48,7 +48,7 @@ def test_other_vocabularies_have_no_pieces(tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     library.pre_tokenizer = pre_tokenizers.Whitespace()
     library.save(str(tmp_path / "other.json"))
-    assert Pieces.fitting(str(tmp_path / "other.json")) is None
+    assert Pieces.fitting(str(tmp_path / "other.json"), library) is None
 
 
 def test_blocks_of_characters():
