@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.common import ship
-from paneloom.llm.tokens import blocks, byte_level
+from paneloom.llm.tokens import NOT_LATIN, Pieces, blocks, byte_level
 from paneloom.operators.verbs import attach, lookup
 from paneloom.session import cut_lineage
 
@@ -38,7 +38,7 @@ CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
 #: White space; and all of it but blank and line feed.
 WHITE = re.compile(r"\s")
-ODD = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
 
 #: Units that are encoded in one call.
 AT_ONCE = 4096
@@ -75,12 +75,14 @@ def _group_sums(at: np.ndarray, values: np.ndarray) -> np.ndarray:
 class Aligner:
     """Units of text with their ids and links, of one Python worker."""
 
-    def __init__(self, path_a: str, path_b: str, keep: int = 180_000):
+    def __init__(self, path_a: str, path_b: str, keep: int = 180_000, keep_pieces: int = 400_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.pieces = Pieces.fitting(path_a, self.a, lower=False)
+        self.line = self.a.encode("\n", add_special_tokens=False).ids[0] if self.pieces else -1
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         chars, vocab = byte_level(), self.a.get_vocab()
         self.size_b = self.b.get_piece_size()
@@ -94,7 +96,7 @@ class Aligner:
         self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         # a piece across a cut would tie two units together
         self.parts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
-        self.keep = keep
+        self.keep, self.keep_pieces = keep, keep_pieces
         self.forget()
 
     def forget(self) -> None:
@@ -113,7 +115,7 @@ class Aligner:
         if not self.parts:
             return [" " + text]
         plain = text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text)
-        if plain and ODD.isdisjoint(text):
+        if plain and not ODD.search(text):
             out: list[str] = []
             for k, line in enumerate(text.split("\n")):
                 words = line.split(" ")
@@ -124,6 +126,52 @@ class Aligner:
         cut = CUT.split(text)
         return [" " + cut[0], *[w if sep == " " and not WHITE.search(w) else sep + w for sep, w in zip(cut[1::2], cut[2::2])]]
 
+    def _ids_a(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The units in another order, the ids of A of all of them in a row, and how many each has.
+
+        Latin units come from their pieces, as bare words or after a line feed.
+        """
+        plain: list[str] = []
+        lines: list[str] = []
+        other: list[str] = []
+        if self.pieces is None:
+            other = new
+        elif NOT_LATIN.search("".join(new)):
+            for u in new:
+                line = u[0] == "\n"
+                (other if NOT_LATIN.search(u, line) else lines if line else plain).append(u)
+        else:
+            plain = new
+        parts, sizes = [], []
+        for units, prefix in ((plain, " "), ([u[1:] for u in lines], "")):
+            if units:
+                ids = np.frombuffer(self.pieces.of(units, prefix), "<u4").astype(np.int64)
+                ends = np.flatnonzero(ids == self.pieces.END)
+                n = np.diff(ends, prepend=-1) - 1
+                if units is not plain:  # the line feed is a piece before
+                    ids[ends] = self.line
+                    ids, n = np.concatenate(([self.line], ids[:-1])), n + 1
+                else:
+                    ids = np.delete(ids, ends)
+                parts.append(ids)
+                sizes.append(n)
+        for k in range(0, len(other), AT_ONCE):
+            found = [e.ids for e in self.a.encode_batch_fast([u if u[0] in " \n" else " " + u for u in other[k : k + AT_ONCE]], add_special_tokens=False)]
+            parts.append(np.fromiter(chain.from_iterable(found), np.int64))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return plain + lines + other, np.concatenate(parts), np.concatenate(sizes)
+
+    def _ids_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of B of all texts in a row, and how many each has."""
+        found: list[list[int]] = []
+        for k in range(0, len(texts), AT_ONCE):
+            # the library puts the blank itself; before a line feed it is no part of the unit
+            found += self.b.encode([u[1:] if u[0] == " " else u for u in texts[k : k + AT_ONCE]], num_threads=1)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+        cut = np.fromiter((u[0] != " " for u in texts), bool, len(texts)) & (n > 0)
+        return np.delete(flat, (np.cumsum(n) - n)[cut]), n - cut
+
     def learn(self, new: list[str]) -> None:
         """Encodes and aligns units that are not known yet.
 
@@ -131,31 +179,21 @@ class Aligner:
         bytes into stretches; each stretch lies in one token of both, and is
         one link. Ends of both part the groups.
         """
-        ids_a: list[list[int]] = []
-        ids_b: list[list[int]] = []
+        new, flat_a, n_a = self._ids_a(new)
         texts = [u if u[0] in " \n" else " " + u for u in new]
-        for k in range(0, len(new), AT_ONCE):
-            part = texts[k : k + AT_ONCE]
-            ids_a += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            # the library puts the blank itself; before a line feed it is no part of the unit
-            found = self.b.encode([u[1:] if u[0] == " " else u for u in part], num_threads=1)
-            ids_b += [i if u[0] == " " else i[1:] for u, i in zip(part, found, strict=True)]
-        want, good = [u.encode() for u in texts], [True] * len(new)
-        spell = lambda table, ids: b"".join(map(table.__getitem__, ids))
-        ends_of_want = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
-
-        def whole(ids: list[list[int]], length: np.ndarray, table: list[bytes]) -> bool:
-            """All units come back byte for byte: their ends do, and all of them in a row."""
-            last = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(last[-1]))
-            at = np.concatenate(([0], np.cumsum(length[flat])))[last]
-            return np.array_equal(at, ends_of_want) and spell(table, flat.tolist()) == b"".join(want)
-
-        if not (whole(ids_a, self.length_a, self.bytes_a) and whole(ids_b, self.length_b, self.bytes_b)):
-            good = [spell(self.bytes_a, x) == w == spell(self.bytes_b, y) for w, x, y in zip(want, ids_a, ids_b, strict=True)]
-            ids_a = [x if ok else [] for x, ok in zip(ids_a, good, strict=True)]
-            ids_b = [x if ok else [] for x, ok in zip(ids_b, good, strict=True)]
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        flat_b, n_b = self._ids_b(texts)
+        want = "".join(texts).encode()
+        ends_of_want = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
+        spelled = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))]
+        ends = [np.concatenate(([0], np.cumsum(length[ids])))[np.cumsum(n)] for length, ids, n in ((self.length_a, flat_a, n_a), (self.length_b, flat_b, n_b))]
+        good = np.ones(len(new), bool)
+        if not all(x == want and np.array_equal(e, ends_of_want) for x, e in zip(spelled, ends, strict=True)):
+            # not all units come back byte for byte
+            cut = lambda raw, ends: [raw[i:j] for i, j in zip([0, *ends], ends)]
+            each = [cut(raw, e.tolist()) for raw, e in zip([want, *spelled], [ends_of_want, *ends], strict=True)]
+            good = np.array([w == x == y for w, x, y in zip(*each, strict=True)])
+            flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
         ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
         ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
         twice = np.diff(ends, append=-1) == 0
@@ -165,12 +203,12 @@ class Aligner:
         links, groups = (np.diff(np.searchsorted(x, unit_ends, "right"), prepend=0) for x in (stretch, both))
         said = self._say(flat_a, ends_a, flat_b, ends_b, both, unit_ends)
         self.index.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-        if all(good):
+        if good.all():
             self.groups += said
         else:
             spoken = iter(said)
-            self.groups += [next(spoken) if ok else "" for ok in good]
-        counts = np.column_stack([list(map(len, ids_a)), list(map(len, ids_b)), groups, good]).astype(np.int64).reshape(-1, 4)
+            self.groups += [next(spoken) if ok else "" for ok in good.tolist()]
+        counts = np.column_stack([n_a, n_b, groups, good]).astype(np.int64).reshape(-1, 4)
         self.counts = np.concatenate([self.counts, counts])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(links)])
         self.pairs = np.concatenate([self.pairs, pairs])
@@ -192,15 +230,17 @@ class Aligner:
         """
         if len(self.index) > self.keep:
             self.forget()
+        if self.pieces is not None and len(self.pieces.known) > self.keep_pieces:
+            self.pieces.forget()
         split = [self.units(t) if t else [] for t in texts]
         flat_units = list(chain.from_iterable(split))
-        known = list(map(self.index.get, flat_units))
-        if None in known:
-            self.learn(list({u for u, k in zip(flat_units, known) if k is None}))
-            known = [self.index[u] if k is None else k for u, k in zip(flat_units, known)]
+        here = set(flat_units)
+        if new := list(here.difference(self.index)):
+            self.learn(new)
+        known = dict(zip(here, map(self.index.__getitem__, here)))  # small, so that it stays near
         at = np.concatenate(([0], np.cumsum(list(map(len, split)), dtype=np.int64)))
-        flat = np.array(known, np.int64)
-        del known, flat_units
+        flat = np.fromiter(map(known.__getitem__, flat_units), np.int64, len(flat_units))
+        del known, here, flat_units
         found = np.stack([_group_sums(at, self.counts[flat, k]) for k in range(4)], axis=1)
         fits = (found[:, 3] == np.diff(at)) & (np.diff(at) > 0)
         sums = []
@@ -295,6 +335,8 @@ def _index(path_a: str, path_b: str, chunk_docs: int, postings: int, chars: int)
             yield closed()
         # an idle worker keeps the vocabularies only
         aligner.forget()
+        if aligner.pieces is not None:
+            aligner.pieces.forget()
         _give_back()
 
     return run

@@ -105,3 +105,26 @@ def test_planes(spark):
     _, index = alignment.pair_index(docs, A, B)
     rows = sorted(alignment.pair_counts(index).collect(), key=lambda r: -r["links"])
     assert [(r["docs"], r["links"]) for r in rows] == [(2, 7), (1, 1)]
+
+
+def test_latin_units_do_not_call_the_library_of_a():
+    """Bare words and words after a line feed get the ids that the library gives; others still ask it."""
+    path_a, path_b = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
+    units = ["été,", "\nWas", "don't%%%", "\n42a", "<|endoftext|>", "x\u0301y", " a\tb", "\n\u4e2d", "ﬁ"]
+    aligner, asked = alignment.Aligner(path_a, path_b), []
+    library = aligner.a
+
+    class Asked:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    aligner.a = Asked()
+    new, ids, sizes = aligner._ids_a(units)
+    assert sorted(new) == sorted(units) and sorted(asked) == sorted([" x\u0301y", " a\tb", "\n\u4e2d", " ﬁ"])
+    at = 0
+    for unit, n in zip(new, sizes.tolist(), strict=True):
+        want = library.encode(unit if unit[0] in " \n" else " " + unit, add_special_tokens=False).ids
+        assert ids[at : at + n].tolist() == want, unit
+        at += n
+    assert at == len(ids)
