@@ -42,19 +42,24 @@ def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, n
         if len(at) < least:
             return
         if order is None:
+            alike = key.astype(np.uint16) if terminals + len(rules) < 1 << 16 else key.copy()
+            alike.sort()
+            if not (alike[least - 1 :] == alike[: len(alike) - least + 1]).any():
+                return  # no key is there so often
             order = by_symbol(key)
         key = key.take(order)
-        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        cuts = np.concatenate(([0], (key[1:] != key[:-1]).nonzero()[0] + 1, [len(key)]))
         counts = cuts[1:] - cuts[:-1]
-        for k in np.flatnonzero(counts >= least).tolist():
+        for k in (counts >= least).nonzero()[0].tolist():
             pair = pair_of(int(key[cuts[k]]))
             places[pair] = at.take(order[cuts[k] : cuts[k + 1]])
             heappush(queue, (-int(counts[k]), *pair))
 
     rules: list[tuple[int, int]] = []
     if n > 1:
-        often = np.bincount(sym[:n])[sym[:n]] >= least
-        at = np.flatnonzero(often[:-1] & often[1:])
+        # pairs in a crowded place of a hashed count, which are all frequent pairs and few others
+        hashed = (sym[: n - 1] * np.int32(0x9E3B1) + sym[1:n]) & np.int32((1 << 20) - 1)
+        at = (np.bincount(hashed) >= least).take(hashed).nonzero()[0]
         left, right = sym.take(at), sym.take(at + 1)
         order = by_symbol(right)
         order = order.take(by_symbol(left.take(order)))
@@ -62,32 +67,38 @@ def compress(ids: np.ndarray, terminals: int, least: int) -> tuple[np.ndarray, n
     while queue:
         count, a, b = heappop(queue)
         at = places.pop((a, b))
-        at = at.compress(sym.take(at) == a)
-        at = at.compress(sym.take(after.take(at)) == b)
-        if a == b and len(at):
+        gone = after.take(at)
+        still = (sym.take(at) == a) & (sym.take(gone) == b)
+        left_over = np.count_nonzero(still)
+        if left_over < least:
+            continue
+        if left_over < len(at):
+            at, gone = at.compress(still), gone.compress(still)
+        if a == b:
             # in a run of k places that follow each other every second one is taken
             starts = np.flatnonzero(np.concatenate(([True], after[at[:-1]] != at[1:])))
-            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
-        if len(at) < least:
-            continue
+            second = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
+            at, gone = at.compress(second), gone.compress(second)
+            if len(at) < least:
+                continue
         if len(at) < -count and queue and -len(at) > queue[0][0]:
             places[a, b] = at
             heappush(queue, (-len(at), a, b))
             continue
         fresh = terminals + len(rules)
         rules.append((a, b))
-        gone = after.take(at)
         then = after.take(gone)
         sym[at], sym[gone] = fresh, -1
         after[at], before[then] = then, at
         prior = before.take(at)
-        prior = prior.compress(prior >= 0)
+        if prior[0] < 0:  # places are in order; before the first and after the last there may be none
+            prior = prior[1:]
         left = sym.take(prior)
         other = left != fresh  # two fresh ones in a row count from the first
         offer(left.compress(other), prior.compress(other), lambda key: (key, fresh))
-        right = sym.take(then)
-        other = right >= 0
-        offer(right.compress(other), at.compress(other), lambda key: (fresh, key))
+        if then[-1] == n:
+            at, then = at[:-1], then[:-1]
+        offer(sym.take(then), at, lambda key: (fresh, key))
     return sym[sym >= 0], np.array(rules, np.int64).reshape(-1, 2)
 
 

@@ -6,9 +6,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -27,7 +31,8 @@ TOGETHER = 512
 #: Latin letters and numbers up to U+017F, and what is neither these nor white space nor another printable character
 #: there (the capital with a dot is left out: its lower case takes two characters).
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ", "0-9²³¹¼-¾"
-NOT_LATIN = re.compile("[^!-~¡-įı-ſ]")
+LATIN = "!-~¡-įı-ſ"
+NOT_LATIN = re.compile(f"[^{LATIN}]")
 
 #: What both public vocabularies' pre-tokenizers say, and the same for words of such characters; a line feed ends a word.
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -99,15 +104,16 @@ class Pieces:
     def forget(self) -> None:
         self.known = {"\n": np.array([self.END], "<u4").tobytes()}
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         spelled = self.spelled[np.frombuffer("\n".join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
-        ids: list[int] = []
-        ends = [0]
-        for piece in spelled:
-            ids += [token.id for token in self.model.tokenize(piece)]
-            ends.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        self.known.update(zip(new, [raw[a:b] for a, b in zip(ends, ends[1:])], strict=True))
+        out: list[bytes] = []
+        for k in range(0, len(new), TOGETHER):
+            found = list(map(self.model.tokenize, spelled[k : k + TOGETHER]))
+            ends = [0, *accumulate(map(len, found))]
+            raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), "<u4", ends[-1]).tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
+        self.known.update(zip(new, out, strict=True))
+        return out
 
     def of(self, words: list[str], prefix: str) -> bytes:
         """Ids of ``prefix`` and each word, one word after the other, with ``END`` after each."""
@@ -117,8 +123,25 @@ class Pieces:
             self._learn(new)
         return b"".join(map(self.known.__getitem__, found))
 
-#: Characters of the texts that are encoded in one call.
-CHARS = 2_000_000
+    def table(self, words: str, line: bytes) -> pa.Array:
+        """Ids of words in a row, each with its blank or line feed before it, as bytes. ``line``: those of a line feed."""
+        found = pa.array(self.split.findall(words), pa.large_string()).dictionary_encode()
+        pieces = found.dictionary.to_pylist()
+        ids = list(map(self.known.get, pieces))
+        if new := [k for k, known in enumerate(ids) if known is None]:
+            for k, learnt in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+                ids[k] = learnt
+        if "\n" in words:
+            ids[pieces.index("\n")] = line
+        raw = pa.array(ids, pa.large_binary()).take(found.indices)
+        first = pc.match_substring_regex(found.dictionary, "\\A[ \n]").to_numpy(zero_copy_only=False).take(found.indices.to_numpy())
+        at = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)
+        cuts = np.append(at[:-1][first], at[-1])
+        return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), raw.buffers()[2]])
+
+
+#: Characters of the texts that are encoded in one call, and in one whose words Arrow tells apart.
+CHARS, ARROW_CHARS = 2_000_000, 16_000_000
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -141,7 +164,9 @@ class Encoder:
     marks between them whose id tells them apart, and kept as bytes; Latin
     words are put together from their pieces (see ``Pieces``). Texts with runs
     of white space, unusual white space or an added token's string are encoded
-    in one go; a word of theirs shows it.
+    in one go; a word of theirs shows it. Where white space has ids, Arrow cuts
+    the texts and numbers their words, so that only different words are seen
+    here, and only pieces and words that are not Latin are kept.
     """
 
     def __init__(self, path: str, words_only: bool = False, keep: int = 900_000) -> None:
@@ -211,28 +236,65 @@ class Encoder:
         self.known |= {"\n" + w: self.line + ids for w, ids in firsts.items()}
 
     def each(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text and an end id 0, in calls of about ``CHARS`` characters."""
-        for i, j in blocks(list(map(len, texts)), CHARS):
+        """Ids of each text and an end id 0, in calls of about ``CHARS`` (``ARROW_CHARS``) characters."""
+        for i, j in blocks(list(map(len, texts)), CHARS if self.words_only else ARROW_CHARS):
             yield from self.batch(texts[i:j])
 
     def batch(self, texts: list[str], end: bytes = b"\0\0\0\0") -> list[bytes]:
         """Little-endian 32-bit ids of each text, followed by ``end``."""
         if not self.simple:
             return [self._encode(t) + end for t in texts]
-        # a word after a line feed, and the first one, keep a line feed
-        split = [(t.replace("\n", " ") if self.words_only else "\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        if len(self.known) > self.keep:
+        if len(self.known) > self.keep or not self.words_only and self.pieces is not None and len(self.pieces.known) > self.keep:
             self.forget()
+        return self._words_only(texts, end) if self.words_only else self._with_blanks(texts, end)
+
+    def _words_only(self, texts: list[str], end: bytes) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         here = set().union(*split)
         if new := list(here.difference(self.known)):
             self._learn(new)
         known = dict(zip(here, map(self.known.__getitem__, here))).__getitem__  # small, so that it stays near
         odd = here & self.odd
-        first = 0 if self.words_only else len(self.line)
         out: list[bytes] = []
         for text, words in zip(texts, split, strict=True):
             if odd and not odd.isdisjoint(words):
                 out.append(self._encode(text) + end)
             else:
-                out.append(b"".join(map(known, words))[first:] + end)
+                out.append(b"".join(map(known, words)) + end)
         return out
+
+    def _with_blanks(self, texts: list[str], end: bytes) -> list[bytes]:
+        kind = pa.large_string()
+        # a word after a line feed, and the first one, keep a line feed
+        lines = pc.replace_substring(pa.array(texts, kind), "\n", " \n")
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", kind), lines, pa.scalar("", kind)), " ")
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        if self.pieces is None:
+            latin = np.zeros(len(words), bool)
+        else:
+            known = pc.match_substring_regex(words, f"\\A\\n?[{LATIN}]+\\z")
+            latin = pc.and_not(known, pc.match_substring(words, "<|")).to_numpy(zero_copy_only=False)
+        parts = []
+        if latin.any():
+            plain = words.filter(pa.array(latin))
+            blank = pc.if_else(pc.starts_with(plain, "\n"), pa.scalar("", kind), pa.scalar(" ", kind))
+            plain = pc.binary_join_element_wise(blank, plain, pa.scalar("", kind))
+            parts.append(self.pieces.table(pc.binary_join(pa.LargeListArray.from_arrays([0, len(plain)], plain), pa.scalar("", kind))[0].as_py(), self.line))
+        others = words.filter(pa.array(~latin)).to_pylist()
+        if new := list(set(others).difference(self.known)):
+            self._learn(new)
+        parts.append(pa.array(list(map(self.known.__getitem__, others)), pa.large_binary()))
+        place = np.empty(len(words), np.int64)
+        place[latin] = np.arange(len(words) - len(others))
+        place[~latin] = np.arange(len(words) - len(others), len(words))
+        ids = pa.concat_arrays(parts).take(pa.array(place.take(codes)))
+        cuts = split.offsets.to_numpy()
+        odd = set()
+        if not self.odd.isdisjoint(others):
+            shows = np.zeros(len(words), bool)
+            shows[~latin] = [w in self.odd for w in others]
+            odd = set((np.searchsorted(cuts, np.flatnonzero(shows.take(codes)), "right") - 1).tolist())
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[cuts].tolist()
+        raw, first = memoryview(ids.buffers()[2] or b""), len(self.line)
+        return [self._encode(texts[k]) + end if k in odd else bytes(raw[at[k] + first : at[k + 1]]) + end for k in range(len(texts))]

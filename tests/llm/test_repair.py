@@ -30,3 +30,20 @@ def test_symbols_that_outgrow_16_bits():
     assert len(rules) > 100
     grammar = repair.Grammar(seq.astype(np.int64), rules, repair.rule_lengths(rules, terminals), terminals)
     assert np.array_equal(grammar.ids(0, len(ids)), ids)
+
+
+@pytest.mark.parametrize("terminals", [50_000, 1 << 17])
+def test_pairs_that_share_a_hashed_place(terminals):
+    """Pairs that are frequent only together make no rule; one that is frequent alone makes one."""
+    place = lambda a, b: (a * 0x9E3B1 + b) & 0xFFFFF
+    other = next(a for a in range(2, terminals) if place(a, 0) - place(1, 2000) & 0xFFFFF > 0xFFFFF - 2000)
+    alike = (2000 + place(1, 0) - place(other, 0)) & 0xFFFFF
+    assert alike < terminals and place(other, alike) == place(1, 2000)
+    apart = iter(range(3000, 12000))
+    rows = lambda a, b, n: [x for _ in range(n) for x in (a, b, next(apart))]
+    rare = np.array(rows(1, 2000, 9) + rows(other, alike, 9), np.uint32)
+    assert len(repair.compress(rare, terminals, 10)[1]) == 0
+    often = np.array(rows(1, 2000, 10) + rows(other, alike, 9), np.uint32)
+    seq, rules = repair.compress(often, terminals, 10)
+    assert rules.tolist() == [[1, 2000]]
+    assert repair.Grammar(seq.astype(np.int64), rules, repair.rule_lengths(rules, terminals), terminals).ids(0, len(often)).tolist() == often.tolist()

@@ -44,6 +44,21 @@ def test_latin_words_come_from_their_pieces(name, words):
         assert [int.from_bytes(ids[j : j + 4], "little") for j in range(0, len(ids), 4)] == w, repr(t)
 
 
+def test_only_words_that_are_not_latin_are_kept():
+    """Words of one call are told apart by Arrow; texts that need the library as a whole may stand between others."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), Encoder(path)
+    texts = ["été a-b\n'sword a-b", "a  b", "Σας été Σας\nΣας", "", "été <|endoftext|> x", "été", "été", "\nété", "x\ty a-b", "z"]
+    found = mine.batch(texts, b"")
+    assert len(found) == len(texts)
+    for t, ids in zip(texts, found, strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert [int.from_bytes(ids[j : j + 4], "little") for j in range(0, len(ids), 4)] == want, repr(t)
+    assert {w for w in mine.known if w not in mine.odd} == {"Σας", "\nΣας"}
+    assert list(mine.each([])) == []
+    assert mine.batch([""], b"..") == [b".."]
+
+
 def test_other_vocabularies_have_no_pieces(tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     library.pre_tokenizer = pre_tokenizers.Whitespace()
