@@ -6,8 +6,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
-from operator import attrgetter
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -106,12 +104,13 @@ class Pieces:
 
     def _learn(self, new: list[str]) -> list[bytes]:
         spelled = self.spelled[np.frombuffer("\n".join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
-        out: list[bytes] = []
-        for k in range(0, len(new), TOGETHER):
-            found = list(map(self.model.tokenize, spelled[k : k + TOGETHER]))
-            ends = [0, *accumulate(map(len, found))]
-            raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), "<u4", ends[-1]).tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
+        ids: list[int] = []
+        ends = [0]
+        for piece in spelled:
+            ids += [token.id for token in self.model.tokenize(piece)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:])]
         self.known.update(zip(new, out, strict=True))
         return out
 
@@ -244,12 +243,12 @@ class Encoder:
         """Little-endian 32-bit ids of each text, followed by ``end``."""
         if not self.simple:
             return [self._encode(t) + end for t in texts]
-        if len(self.known) > self.keep or not self.words_only and self.pieces is not None and len(self.pieces.known) > self.keep:
-            self.forget()
         return self._words_only(texts, end) if self.words_only else self._with_blanks(texts, end)
 
     def _words_only(self, texts: list[str], end: bytes) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > self.keep:
+            self.forget()
         here = set().union(*split)
         if new := list(here.difference(self.known)):
             self._learn(new)
@@ -264,6 +263,8 @@ class Encoder:
         return out
 
     def _with_blanks(self, texts: list[str], end: bytes) -> list[bytes]:
+        if max(len(self.known), len(self.pieces.known) if self.pieces is not None else 0) > self.keep:
+            self.forget()
         kind = pa.large_string()
         # a word after a line feed, and the first one, keep a line feed
         lines = pc.replace_substring(pa.array(texts, kind), "\n", " \n")
